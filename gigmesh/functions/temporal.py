@@ -86,14 +86,17 @@ def clock_label(ts: Column, minutes: bool = True) -> Column:
     return F.when(F.minute(ts) == 0, whole).otherwise(F.lower(F.date_format(ts, "h:mma")))
 
 
-def times_similar(a: Column, b: Column) -> Column:
+def minutes_similar(ma: Column, mb: Column, a: Column, b: Column) -> Column:
     """Within an hour, never across midnight; unparsable times compare as text."""
-    ma, mb = time_to_minutes(a), time_to_minutes(b)
     return F.when((ma < 0) | (mb < 0), F.lower(a) == F.lower(b)).otherwise(
         F.abs(ma - mb) <= fx.SAME_SHOW_MINUTES
     )
 
 
+def times_similar(a: Column, b: Column) -> Column:
+    return minutes_similar(time_to_minutes(a), time_to_minutes(b), a, b)
+
+
 def event_time(day_col: Column, time: Column) -> Column:
     """Day plus the clock in ``time`` (pm assumed, 20:00 when unreadable)."""
     hour, minute, suffix = _hour_minute_suffix(time, fx.CLOCK_ANCHORED)

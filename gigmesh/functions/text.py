@@ -15,9 +15,14 @@ U = "(?U)"
 UI = "(?iU)"
 
 
+WHITESPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006" + (
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c: Column) -> Column:
-    """Trim any Unicode whitespace (``trim`` only knows U+0020)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Trim any Unicode whitespace (plain ``trim`` only knows U+0020)."""
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def clean_text(c: Column) -> Column:
@@ -25,9 +30,19 @@ def clean_text(c: Column) -> Column:
     return strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
 
 
+def sql_string(value: str) -> str:
+    """A value as a Spark SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def literal_map(pairs: dict) -> Column:
     """A constant map column. For small fixed tables only."""
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    lit = lambda v: sql_string(v) if isinstance(v, str) else str(v)
+    return F.expr("map(" + ", ".join(f"{lit(k)}, {lit(v)}" for k, v in pairs.items()) + ")")
+
+
+def literal_array(values) -> Column:
+    return F.expr("array(" + ", ".join(sql_string(v) for v in values) + ")")
 
 
 def blank(c: Column) -> Column:
@@ -129,18 +144,22 @@ def title_case(c: Column) -> Column:
     )
 
 
-def normalize_band(c: Column) -> Column:
-    """Strip article and "band" suffix, fix shouting, apply corrections."""
-    c = F.regexp_replace(strip(c), UI + fx.BAND_ARTICLE_AND_SUFFIX, "$1")
-    c = F.when(F.lower(c).startswith("the "), F.concat(F.lit("The "), F.substring(c, 5, 1 << 30))).otherwise(c)
-    shouting = (F.upper(c) == c) & (F.lower(c) != c) & (F.length(c) > 4)
-    c = F.when(shouting, title_case(c)).otherwise(c)
-    return strip(F.coalesce(F.try_element_at(literal_map(fx.BAND_CORRECTIONS), F.lower(c)), c))
-
-
 def normalize_bands(bands: Column) -> Column:
-    named = F.filter(bands, lambda b: ~blank(b))
-    return F.filter(F.transform(named, normalize_band), lambda b: b != "")
+    """Strip article and "band" suffix, fix shouting, apply corrections, drop empty names.
+
+    Each step is its own ``transform``: a lambda variable is computed once, while a
+    nested expression used twice would be computed twice.
+    """
+    c = F.transform(F.filter(bands, lambda b: ~blank(b)), strip)
+    c = F.transform(c, lambda b: F.regexp_replace(b, UI + fx.BAND_ARTICLE_AND_SUFFIX, "$1"))
+    c = F.transform(
+        c, lambda b: F.when(F.lower(b).startswith("the "), F.concat(F.lit("The "), F.substring(b, 5, 1 << 30))).otherwise(b)
+    )
+    shouting = lambda b: (F.upper(b) == b) & (F.lower(b) != b) & (F.length(b) > 4)
+    c = F.transform(c, lambda b: F.when(shouting(b), title_case(b)).otherwise(b))
+    corrections = literal_map(fx.BAND_CORRECTIONS)
+    c = F.transform(c, lambda b: F.coalesce(F.try_element_at(corrections, F.lower(b)), b))
+    return F.filter(F.transform(c, strip), lambda b: b != "")
 
 
 def split_bands(c: Column) -> Column:

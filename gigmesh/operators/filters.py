@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gigmesh import fixed_values as fx
-from gigmesh.functions import fuzzy, temporal
+from gigmesh.functions import fuzzy, temporal, text
 
 
 def not_past(df: DataFrame, as_of) -> DataFrame:
@@ -58,11 +58,8 @@ def tag_verdict(tags: Column, include=None, exclude=None, strict: bool = True) -
 
     def verdict(tag: Column) -> Column:
         low = F.lower(tag)
-        kept, dropped = F.lit(False), F.lit(False)
-        for word in include:
-            kept = kept | low.contains(word)
-        for word in exclude if strict else []:
-            dropped = dropped | low.contains(word)
+        kept = F.exists(text.literal_array(include), lambda w: low.contains(w))
+        dropped = F.exists(text.literal_array(exclude), lambda w: low.contains(w)) if strict else F.lit(False)
         return F.when(kept, F.lit(True)).when(dropped, F.lit(False))
 
     decided = F.filter(F.transform(tags, verdict), lambda v: v.isNotNull())
@@ -75,7 +72,7 @@ def priority_names(df: DataFrame, priority=None, bands: str = "bands") -> DataFr
     The test runs on distinct names. Lengths rule out most of the fixed list
     before any ratio is computed.
     """
-    wanted = F.array(*[F.lit(p) for p in (fx.PRIORITY_BANDS if priority is None else priority)])
+    wanted = text.literal_array(fx.PRIORITY_BANDS if priority is None else priority)
     names = df.select(F.explode(bands).alias("band")).distinct()
     pairs = names.select(
         "band",
@@ -138,10 +135,7 @@ def genre_reason(df: DataFrame, include=None, priority=None) -> DataFrame:
 
 def contains_any(c: Column, words) -> Column:
     low = F.lower(c)
-    out = F.lit(False)
-    for word in words:
-        out = out | low.contains(word)
-    return out
+    return F.exists(text.literal_array(words), lambda w: low.contains(w)) if words else F.lit(False)
 
 
 def skip_rows(df: DataFrame, column: str, words=(), patterns: Column | None = None) -> DataFrame:

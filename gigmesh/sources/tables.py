@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _pick(values: list[str], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), index.cast("int") + 1)
+    return F.element_at(text.literal_array(values), index.cast("int") + 1)
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
