@@ -1 +1,124 @@
+"""Position-dependent operators over the lines of documents and the turns of conversations."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gigmesh.functions import text
+from gigmesh.operators import lines
+from gigmesh.sources import dated_text
+from gigmesh.sources.tables import table
+from registry.base import query
+
+C = F.col
+SHORT = 40
+
+
+def is_short(s):
+    return F.length(s) < SHORT
+
+
+def is_heading(s):
+    return (s != "") & (F.length(s) < SHORT)
+
+
+def doc_lines(spark, d, keep_blank=False):
+    return table(spark, d, "documents").select("doc_id", lines.lines_of(C("text"), keep_blank).alias("lines"))
+
+
+WS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || ' ' || chr(133) || chr(160) || chr(8239) || chr(12288)"
+ALL_LINES = f"""all_lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS p FROM (
+    SELECT doc_id, list_transform(string_split(text, chr(10)), lambda s: trim(s, {WS})) AS l FROM documents))"""
+LINES = f"""WITH {ALL_LINES},
+  ln AS (SELECT doc_id, line, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p) AS INT) AS pos FROM all_lines WHERE line <> ''),
+  mk AS (SELECT *, length(line) < {SHORT} AS m FROM ln)"""
+
+
+@query("ffill_dates", LINES + """ SELECT doc_id, heading, pos, line FROM (SELECT *, last_value(CASE WHEN m THEN line END IGNORE NULLS)
+  OVER (PARTITION BY doc_id ORDER BY pos) AS heading FROM mk) WHERE NOT m AND heading IS NOT NULL""")
+def ffill_dates(spark, d):
+    return lines.carry_forward(doc_lines(spark, d), "lines", is_short)
+
+
+@query("look_ahead_lines", LINES + """ SELECT doc_id, pos, line, next_1, next_2 FROM (SELECT *, lead(line) OVER w AS next_1, lead(line, 2) OVER w AS next_2
+  FROM mk WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE m""")
+def look_ahead_lines(spark, d):
+    f = lines.around(doc_lines(spark, d), "lines", is_short, after=2)
+    return f.select("doc_id", "pos", "line", F.get("following", F.lit(0)).alias("next_1"), F.get("following", F.lit(1)).alias("next_2"))
+
+
+@query("look_ahead", """SELECT conv_id, turn, role, lead(text) OVER w AS next_text, lead(role, 2) OVER w AS role_after_next
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def look_ahead(spark, d):
+    t = table(spark, d, "conversations")
+    out = lines.neighbours(t, ["conv_id"], "turn", {"next_text": ("text", 1), "role_after_next": ("role", 2)})
+    return out.select("conv_id", "turn", "role", "next_text", "role_after_next")
+
+
+def _look_back_sql():
+    expr = "NULL"
+    for k in (4, 3, 2, 1):
+        s = f"lag(line, {k}) OVER w"
+        expr = f"CASE WHEN length({s}) < {SHORT} THEN NULL WHEN length({s}) BETWEEN 60 AND 400 THEN {s} ELSE {expr} END"
+    return expr
+
+
+@query("look_back", LINES + f""" SELECT doc_id, pos, title FROM (SELECT doc_id, pos, m, {_look_back_sql()} AS title FROM mk
+  WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE m""")
+def look_back(spark, d):
+    f = lines.around(doc_lines(spark, d), "lines", is_short, before=4)
+    title = lines.first_acceptable(C("previous"), lambda s: (F.length(s) >= 60) & (F.length(s) <= 400), is_short)
+    return f.select("doc_id", "pos", title.alias("title"))
+
+
+@query("look_back_turns", """SELECT conv_id, turn, lag(role) OVER w AS before, lag(text, 2) OVER w AS own_last
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def look_back_turns(spark, d):
+    out = lines.neighbours(
+        table(spark, d, "conversations"), ["conv_id"], "turn", {"before": ("role", -1), "own_last": ("text", -2)}
+    )
+    return out.select("conv_id", "turn", "before", "own_last")
+
+
+@query("context_frame", LINES + """, f AS (SELECT doc_id, pos, m, list(line) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS b,
+    list(line) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS a FROM mk)
+  SELECT doc_id, pos, CAST(coalesce(len(b), 0) AS INT) AS n_before, CAST(coalesce(len(a), 0) AS INT) AS n_after,
+    list_filter(list_concat(coalesce(b, []), coalesce(a, [])), lambda s: length(s) BETWEEN 4 AND 150)[1] AS first_fit,
+    list_filter(list_concat(coalesce(b, []), coalesce(a, [])), lambda s: length(s) BETWEEN 4 AND 150)[-1] AS last_fit FROM f WHERE m""")
+def context_frame(spark, d):
+    f = lines.around(doc_lines(spark, d), "lines", is_short, before=2, after=5)
+    fits = F.filter(F.concat(F.reverse("previous"), C("following")), lambda s: (F.length(s) >= 4) & (F.length(s) <= 150))
+    return f.select(
+        "doc_id", "pos", F.size("previous").alias("n_before"), F.size("following").alias("n_after"),
+        F.try_element_at(fits, F.lit(1)).alias("first_fit"), F.try_element_at(fits, F.lit(-1)).alias("last_fit"),
+    )
+
+
+@query("line_sessions", f"""WITH {ALL_LINES}, b AS (SELECT *, line <> '' AND length(line) < {SHORT} AS h, line = '' AS blank FROM all_lines),
+  g AS (SELECT *, sum(CASE WHEN h OR blank THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS s FROM b),
+  r AS (SELECT doc_id, s, min(p) AS pos, list(line ORDER BY p)[1] AS heading, bool_or(h) AS headed,
+     coalesce(array_to_string(list(line ORDER BY p) FILTER (WHERE NOT h AND NOT blank), '|'), '') AS body,
+     CASE WHEN bool_or(blank) THEN 'blank' WHEN bool_or(h) THEN 'heading' END AS kind FROM g GROUP BY 1, 2)
+  SELECT doc_id, CAST(pos AS INT) AS pos, heading, body, coalesce(lead_kind, 'end') AS closed_by FROM (
+    SELECT *, lead(kind) OVER (PARTITION BY doc_id ORDER BY s) AS lead_kind FROM r) WHERE headed""")
+def line_sessions(spark, d):
+    runs = lines.sessions(doc_lines(spark, d, keep_blank=True), "lines", is_heading)
+    return runs.withColumn("body", F.array_join("body", "|"))
+
+
+@query("skip_rules", """SELECT doc_id FROM documents WHERE NOT (regexp_matches(lower(text), 'license|http|the the') OR
+  CASE WHEN lang = 'en' THEN regexp_matches(lower(text), 'ion\\b.*ing') WHEN lang = 'de' THEN regexp_matches(lower(text), 'ung$') ELSE false END)""")
+def skip_rules(spark, d):
+    """Skip words for all texts, and patterns that depend on the language."""
+    from gigmesh.operators import filters
+
+    rules = spark.createDataFrame([("en", ["ion\\b.*ing"]), ("de", ["ung$"])], "lang string, patterns array<string>")
+    docs = table(spark, d, "documents").join(F.broadcast(rules), "lang", "left")
+    return filters.skip_rows(docs, "text", ["license", "http", "the the"], C("patterns")).select("doc_id")
+
+
+@query("document_listings")
+def document_listings(spark, d):
+    """Conversation and document texts read as listing pages: entries of any dated lines."""
+    docs = table(spark, d, "documents").select(C("doc_id").alias("seq"), text.html_escape(C("text")).alias("html"))
+    return dated_text.next_line_listings(docs, "2026-01-01").select("seq", "id", "date", F.array_join("bands", "|").alias("bands"))
