@@ -263,6 +263,31 @@ MONTHS = {
     "oct": 10, "october": 10, "nov": 11, "november": 11, "dec": 12, "december": 12,
 }
 
+# -- words in event titles (fixed values) ------------------------------------------------
+OTHER_EVENT_WORDS = [
+    "swing", "salsa class", "latin dance class", "dance class", "dance lesson",
+    "ballroom", "tango class", "bachata class",
+    "farmers market", "flea market", "craft fair", "bazaar", "holiday market",
+    "artisan market", "vintage market",
+    "workshop", "yoga", "meditation", "pilates", "fitness", "training session",
+    "art class", "painting class", "pottery", "crafting",
+    "comedy", "stand-up", "open mic comedy", "improv", "storytelling",
+    "poetry slam", "poetry workshop", "the moth", "storyslam",
+    "wrestling", "trivia", "game night", "bingo", "karaoke",
+    "ttrpg", "rpg convention", "board game",
+    "meeting", "club meeting", "networking", "mixer",
+    "brunch", "breakfast", "luncheon",
+    "kids", "children's", "family day", "storytime",
+    "wellness", "healing", "reiki", "sound bath",
+]
+MUSIC_WORDS = [
+    "concert", "live music", "band", "singer", "songwriter", "jazz",
+    "rock", "punk", "metal", "folk", "blues", "reggae", "ska",
+    "hip hop", "rap", "r&b", "soul", "funk", "electronic", "dj set",
+    "orchestra", "symphony", "chamber", "quartet", "trio",
+    "album release", "record release", "tour", "farewell show",
+]
+
 # -- published pages (fixed values): page, priority, change frequency ---------------
 STATIC_PAGES = [
     ("index.html", "1.0", "weekly"),

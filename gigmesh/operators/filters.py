@@ -130,6 +130,15 @@ def genre_reason(df: DataFrame, include=None, priority=None) -> DataFrame:
     return flagged.withColumn("reason", reason)
 
 
+def music_label(title: Column) -> Column:
+    """``music``, ``other`` or ``unknown`` from words in a title; music words win."""
+    low = F.lower(title)
+    some = lambda words: F.exists(text.literal_array(words), lambda w: low.contains(w))
+    return (
+        F.when(some(fx.MUSIC_WORDS), F.lit("music")).when(some(fx.OTHER_EVENT_WORDS), F.lit("other")).otherwise(F.lit("unknown"))
+    )
+
+
 # -- text rules ------------------------------------------------------------------
 
 
@@ -144,7 +153,7 @@ def skip_rows(df: DataFrame, column: str, words=(), patterns: Column | None = No
     if patterns is not None:
         bad = bad | F.exists(
             F.coalesce(patterns, F.array().cast("array<string>")),
-            lambda p: F.lower(F.col(column)).rlike(F.concat(F.lit("(?i)"), p)),
+            lambda p: F.regexp_like(F.lower(F.col(column)), F.concat(F.lit("(?i)"), p)),
         )
     return df.where(~F.coalesce(bad, F.lit(False)))
 

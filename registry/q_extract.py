@@ -1 +1,313 @@
+"""Extraction jobs over payloads derived from the tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gigmesh import fixed_values as fx
+from gigmesh.functions import text
+from gigmesh.schema import COLUMNS, NESTED_LISTING
+from gigmesh.sources import dated_text, feeds, free_text, pages
+from gigmesh.sources.listings import SourceRegistry, from_nested, recurring, to_nested
+from gigmesh.sources.tables import AS_OF, TIMES, listings, table
+from registry.base import id_sql, line_slug, query, sql_list, with_raw
+
+C = F.col
+
+
+def flat(df, *drop):
+    for n, t in df.dtypes:
+        if t.startswith("array"):
+            df = df.withColumn(n, F.array_join(n, "|"))
+    return df.drop(*drop)
+
+
+# -- round trips and unions --------------------------------------------------------
+
+
+@query("nested_round_trip", with_raw("""SELECT seq, id, date, venue_id, venue_name, venue_location, array_to_string(bands, '|') AS bands, age_requirement,
+  price_advance, price_door, "time", array_to_string(flags, '|') AS flags, source, CAST(NULL AS VARCHAR) AS source_url, array_to_string(genre_tags, '|') AS genre_tags FROM raw"""))
+def nested_round_trip(spark, d):
+    """Listings to nested JSON text and back."""
+    nested = to_nested(listings(spark, d))
+    stored = nested.select("seq", F.to_json(F.struct(*[c for c in nested.columns if c != "seq"])).alias("j"))
+    back = from_nested(stored.select("seq", F.from_json("j", NESTED_LISTING).alias("v")).select("seq", "v.*"))
+    return flat(back.select(*COLUMNS))
+
+
+@query("nested_display", with_raw("""SELECT seq, strftime(date, '%Y-%m-%dT%H:%M:%S') AS date, strftime(date, '%a') AS day_of_week, venue_name AS venue,
+  CASE WHEN coalesce(price_advance, 0) <> 0 AND coalesce(price_door, 0) <> 0 THEN '$' || price_advance || '/$' || price_door
+       WHEN coalesce(price_advance, 0) <> 0 THEN '$' || price_advance WHEN coalesce(price_door, 0) <> 0 THEN '$' || price_door ELSE '' END AS price FROM raw"""))
+def nested_display(spark, d):
+    return to_nested(listings(spark, d)).select("seq", "date", "day_of_week", C("venue.name").alias("venue"), C("price.display").alias("price"))
+
+
+@query("union_sources", with_raw(f"""SELECT seq + CASE source WHEN 'ticketmaster' THEN 0 WHEN 'seatgeek' THEN {1 << 48} ELSE {2 << 48} END AS seq, id, source FROM raw"""))
+def union_sources(spark, d):
+    """Three sources in fixed order and one that fails."""
+    rows = listings(spark, d)
+    reg = SourceRegistry()
+    for name in ("ticketmaster", "seatgeek", "scrape:safe_in_a_crowd"):
+        reg.register(name, lambda s, name=name: rows.where(C("source") == name))
+    reg.register("broken", lambda s: s.read.parquet(f"{d}/no_such_table.parquet"))
+    return reg.union(spark)[0].select("seq", "id", "source")
+
+
+# -- free text ------------------------------------------------------------------------
+
+LINE_AS_OF = "1998-06-15"
+LINE_SQL = f"""ln AS (SELECT *, CAST(least(day(date), 28) AS INT) AS dd, CAST(month(date) AS INT) AS mm,
+   CASE seq % 4 WHEN 0 THEN ', ' WHEN 1 THEN ' w/ ' WHEN 2 THEN ' + ' ELSE ' with ' END AS sep FROM raw WHERE len(bands) > 0)"""
+_this = "make_date(1998, mm, dd)"
+
+
+@query("line_parser", with_raw(f""", {LINE_SQL} SELECT seq, array_to_string(bands, '|') AS bands, regexp_replace(venue_name, ' - ', ' @@ ') AS venue_name,
+   CASE WHEN seq % 3 = 0 THEN 'Boston' ELSE venue_location END AS venue_location,
+   CASE WHEN seq % 5 = 4 THEN DATE '{LINE_AS_OF}' WHEN DATE '{LINE_AS_OF}' - {_this} > 14 THEN make_date(1999, mm, dd) ELSE {_this} END AS day,
+   CASE WHEN "time" = '' THEN '8pm' ELSE lower(replace("time", ' ', '')) END AS show_time,
+   price_advance, CASE WHEN seq % 2 = 0 THEN price_advance + 5 END AS price_door,
+   CASE seq % 4 WHEN 0 THEN '21+' WHEN 1 THEN '18+' ELSE 'a/a' END AS age_requirement FROM ln"""))
+def line_parser(spark, d):
+    s, rows = C("seq"), listings(spark, d).where(F.size("bands") > 0)
+    pick = lambda n, values: F.element_at(text.literal_array(values), (s % n).cast("int") + 1)
+    dd, mm = F.least(F.dayofmonth("date"), F.lit(28)), F.month("date")
+    named = F.date_format(F.make_date(F.lit(1998), mm, dd), "MMMM d")
+    dated = F.when(s % 5 == 4, F.lit("")).when(s % 2 == 0, F.concat_ws("/", mm.cast("string"), dd.cast("string"))).otherwise(named)
+    door = F.when(s % 2 == 0, F.concat(F.lit("/$"), (C("price_advance") + 5).cast("string"))).otherwise(F.lit(""))
+    joined = F.replace(F.array_join("bands", "\x01"), F.lit("\x01"), pick(4, [", ", " w/ ", " + ", " with "]))
+    place = F.when(s % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(", "), "venue_location", F.lit(" MA")))
+    line = F.concat_ws(
+        " ",
+        F.concat(joined, F.lit(" at "), F.replace("venue_name", F.lit(" - "), F.lit(" @@ ")), place),
+        F.nullif(dated, F.lit("")), F.nullif("time", F.lit("")), F.concat(F.lit("$"), C("price_advance").cast("string"), door),
+        pick(4, ["21+", "18+", "a/a", "all ages"]),
+    )
+    out = free_text.line_listings(rows.select("seq", line.alias("line")), as_of=LINE_AS_OF)
+    return out.select(
+        "seq", F.array_join("bands", "|").alias("bands"), "venue_name", "venue_location", F.to_date("date").alias("day"),
+        C("time").alias("show_time"), "price_advance", "price_door", "age_requirement",
+    )
+
+
+# -- JSON and feeds -----------------------------------------------------------------------
+
+API_LABEL = "CASE WHEN seq % 3 = 0 THEN '8pm' WHEN seq % 3 = 1 THEN '7pm' ELSE '10pm' END"
+
+
+@query("api_a_events", with_raw(f"""SELECT seq, date, left(regexp_replace(trim(translate(lower(venue_name), '''.,', '')), '\\s+', '_', 'g'), 30) AS venue_id,
+   venue_name, venue_location, CASE WHEN len(bands) > 0 THEN array_to_string(bands, '|') ELSE 'Show ' || seq END AS bands,
+   CASE seq % 4 WHEN 0 THEN 'a/a' WHEN 1 THEN '21+' ELSE '18+' END AS age_requirement, nullif(price_advance, 0) AS price_advance,
+   price_advance + 7 AS price_door, {API_LABEL} AS "time", CASE WHEN seq % 9 = 1 THEN '$' ELSE '' END AS flags,
+   array_to_string(genre_tags, '|') AS genre_tags FROM raw WHERE seq % 9 <> 0"""))
+def api_a_events(spark, d):
+    s = C("seq")
+    start = F.struct(F.date_format("date", "yyyy-MM-dd").alias("localDate"), F.when(s % 3 == 1, F.lit("19:30:00")).when(s % 3 == 2, F.lit("22:00:00")).alias("localTime"))
+    code = F.when(s % 9 == 0, F.lit("Cancelled")).when(s % 9 == 1, F.lit("limited")).otherwise(F.lit("onsale"))
+    venue = F.struct(F.lit("x").alias("id"), C("venue_name").alias("name"), F.struct(C("venue_location").alias("name")).alias("city"))
+    inside = F.struct(F.array(venue).alias("venues"), F.transform("bands", lambda b: F.struct(b.alias("name"))).alias("attractions"))
+    note = F.when(s % 4 == 0, F.lit("All Ages welcome")).when(s % 4 == 1, F.lit("21 and over"))
+    price = F.array(F.struct(C("price_advance").cast("double").alias("min"), (C("price_advance") + 7.5).alias("max")))
+    kinds = F.transform("genre_tags", lambda g: F.struct(F.struct(F.upper(g).alias("name")).alias("genre")))
+    event = F.struct(
+        F.concat(F.lit("Show "), s).alias("name"), note.alias("info"),
+        F.struct(F.struct(code.alias("code")).alias("status"), start.alias("start")).alias("dates"),
+        inside.alias("_embedded"), price.alias("priceRanges"), kinds.alias("classifications"),
+    )
+    out = feeds.api_a_listings(listings(spark, d).select("seq", F.to_json(event).alias("payload")))
+    return flat(out, "id", "source", "source_url")
+
+
+@query("api_b_events", with_raw(f"""SELECT seq, date + INTERVAL 19 HOUR + INTERVAL 30 MINUTE AS date, left(regexp_replace(trim(translate(lower(venue_name), '''.,', '')), '\\s+', '_', 'g'), 30) AS fallback_id,
+   CASE WHEN lower(venue_name) IN ('the sinclair') THEN 'sinclair' WHEN lower(venue_name) = 'paradise rock club' THEN 'paradise' WHEN lower(venue_name) = 'royale boston' THEN 'royale'
+     ELSE left(regexp_replace(trim(translate(lower(venue_name), '''.,', '')), '\\s+', '_', 'g'), 30) END AS venue_id,
+   CASE WHEN len(bands) > 0 THEN array_to_string(list_filter(bands, lambda b, i: list_position(bands, b) = i), '|') ELSE 'Title ' || seq END AS bands,
+   nullif(price_advance, 0) AS price_advance, price_door AS price_door, CASE WHEN seq % 10 > 7 THEN '$' ELSE '' END AS flags, '7pm' AS "time",
+   CASE WHEN len(bands) > 0 THEN 'rock|' || lower(source) ELSE '' END AS genre_tags FROM raw""").replace("date + INTERVAL 19 HOUR", "date + INTERVAL 19 HOUR"))
+def api_b_events(spark, d):
+    s = C("seq")
+    genres = F.array(F.struct(F.lit("Rock").alias("name")), F.struct(F.upper("source").alias("name")), F.struct(F.lit("rock").alias("name")))
+    event = F.struct(
+        F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit("T19:30:00")).alias("datetime_local"),
+        F.concat(F.lit("Title "), s).alias("title"), ((s % 10) / 10).alias("score"),
+        F.struct(C("venue_name").alias("name"), C("venue_location").alias("city")).alias("venue"),
+        F.transform("bands", lambda b: F.struct(b.alias("name"), genres.alias("genres"))).alias("performers"),
+        F.struct(C("price_advance").alias("lowest_price"), C("price_door").alias("highest_price")).alias("stats"),
+    )
+    out = feeds.api_b_listings(listings(spark, d).select("seq", F.to_json(event).alias("payload")))
+    fallback = text.slug(C("venue_name"), "api")
+    return flat(out.withColumn("fallback_id", fallback), "id", "source", "source_url", "venue_name", "venue_location", "age_requirement")
+
+
+_east = "timezone('America/New_York', timezone('UTC', date + INTERVAL 23 HOUR + INTERVAL 30 MINUTE))"
+
+
+@query("jsonld_events", with_raw(f"""SELECT seq * 1000000 AS seq, {_east} AS date, regexp_replace(regexp_replace(lower(venue_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug,
+   CASE WHEN contains(lower(venue_name), 'royale') THEN 'royale' WHEN contains(lower(venue_name), 'sinclair') THEN 'sinclair'
+     ELSE regexp_replace(regexp_replace(lower(venue_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') END AS venue_id,
+   'Act ' || seq || '|Guest' AS bands, nullif(price_advance, 0) AS price_advance,
+   CAST((hour({_east}) + 11) % 12 + 1 AS VARCHAR) || ':30pm' AS "time" FROM raw WHERE date >= DATE '{AS_OF}'"""))
+def jsonld_events(spark, d):
+    s = C("seq")
+    offer = F.struct(C("price_advance").cast("string").alias("price"))
+    event = F.struct(
+        F.lit("MusicEvent").alias("@type"), F.concat(F.lit("Act "), s, F.lit(" - Tour of "), C("venue_location")).alias("name"),
+        F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit("T23:30:00Z")).alias("startDate"),
+        F.struct(C("venue_name").alias("name")).alias("location"),
+        F.when(s % 2 == 0, F.to_json(F.array(offer))).otherwise(F.to_json(offer)).alias("offers_json"),
+    )
+    body = F.to_json(event)
+    # Offers appear as an object or a list, performers as a list.
+    body = F.replace(F.replace(F.regexp_replace(body, r'"offers_json":"((?:[^"\\]|\\.)*)"', '"offers":@@$1@@,"performer":[{"name":"Guest"}]'), F.lit("@@"), F.lit("")), F.lit('\\"'), F.lit('"'))
+    html = F.concat(F.lit('<html><script type="application/ld+json">'), F.when(s % 3 == 0, F.concat(F.lit("["), body, F.lit("]"))).otherwise(body), F.lit("</script></html>"))
+    rows = listings(spark, d).where(C("date") >= F.to_timestamp_ntz(F.lit(AS_OF)))
+    out = feeds.jsonld_listings(rows.select("seq", html.alias("html")), as_of=AS_OF)
+    known = rows.select((s * 1000000).alias("seq"), text.slug(C("venue_name"), "runs").alias("slug"))
+    return flat(out.join(known, "seq").select("seq", "date", "slug", "venue_id", "bands", "price_advance", "time"))
+
+
+NOW_FEED = f"{AS_OF} 00:00:00"
+
+
+@query("embedded_json_events", with_raw(f"""SELECT seq * 100000 AS seq, date + INTERVAL 20 HOUR AS date, array_to_string(bands[1:2], '|') AS bands, price_advance, "time", CASE WHEN seq % 6 = 0 THEN 'SOLD OUT' ELSE '' END AS flags
+   FROM (SELECT * REPLACE (CASE WHEN "time" = '' OR "time" = '10 PM' THEN CASE "time" WHEN '' THEN '8pm' ELSE '10pm' END ELSE "time" END AS "time") FROM raw)
+   WHERE len(bands) > 0 AND seq % 8 <> 0 AND date >= DATE '{AS_OF}' AND date + INTERVAL 20 HOUR <= TIMESTAMP '{NOW_FEED}' + INTERVAL 301 DAY"""))
+def embedded_json_events(spark, d):
+    s = C("seq")
+    title = F.concat(F.when(s % 8 == 0, F.lit("CLOSED ")).otherwise(F.lit("An Evening with ")), F.array_join(F.slice("bands", 1, 2), " featuring "))
+    event = F.struct(
+        title.alias("title"), F.concat(F.date_format("date", "MM/dd/yyyy"), F.lit(" 8:00 pm")).alias("date_and_time"),
+        F.when(C("time") == "", F.lit("late")).otherwise(F.upper("time")).alias("show_string"),
+        C("price_advance").cast("string").alias("cost"), (s % 6 == 0).alias("sold_out"),
+    )
+    body = F.concat(F.lit('<script>var remEvents = {"1":'), F.to_json(event), F.lit("};\nother();</script>"))
+    rows = listings(spark, d).where(F.size("bands") > 0)
+    out = feeds.embedded_listings(rows.select("seq", body.alias("html")), now=NOW_FEED)
+    return flat(out.select("seq", "date", "bands", "price_advance", "time", "flags"))
+
+
+@query("ical_events", with_raw(f"""SELECT venue_id AS feed, seq * 100000 AS seq, date + INTERVAL 19 HOUR + INTERVAL 30 MINUTE AS date, array_to_string(bands[1:2], '|') AS bands, price_advance, price_advance + 2 AS price_door, '7:30pm' AS "time"
+   FROM (SELECT *, row_number() OVER (PARTITION BY seq % 2, date, bands[1:2] ORDER BY seq) AS r FROM (SELECT * REPLACE (CASE WHEN seq % 2 = 0 THEN 'lizardlounge' ELSE 'rockwell' END AS venue_id) FROM raw WHERE len(bands) > 0))
+   WHERE r = 1 AND date >= DATE '{AS_OF}' AND date + INTERVAL 19 HOUR + INTERVAL 30 MINUTE <= TIMESTAMP '{NOW_FEED}' + INTERVAL 301 DAY"""))
+def ical_events(spark, d):
+    s = C("seq")
+    ics = F.concat(
+        F.lit("BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nDTSTART;TZID=America/New_York:"), F.date_format("date", "yyyyMMdd"), F.lit("T193000\r\nSUMMARY:"),
+        F.array_join(F.slice("bands", 1, 2), " \r\n & "), F.lit("\r\nDESCRIPTION:doors\\, $"), C("price_advance").cast("string"), F.lit(" / $"),
+        (C("price_advance") + 2).cast("string"), F.lit("\r\nEND:VEVENT\r\nEND:VCALENDAR\r\n"),
+    )
+    venue = F.when(s % 2 == 0, F.lit("lizardlounge")).otherwise(F.lit("rockwell"))
+    rows = listings(spark, d).where(F.size("bands") > 0).select("seq", ics.alias("ics"), venue.alias("venue"))
+    out = feeds.ical_listings(rows, now=NOW_FEED)
+    return flat(out.select(C("venue_id").alias("feed"), "seq", "date", "bands", "price_advance", "price_door", "time"))
+
+
+@query("rss_events", with_raw(f"""SELECT seq * 100000 AS seq, date, CASE WHEN seq % 3 = 0 THEN 'toad' ELSE 'mccarthys' END AS venue_id,
+   CASE seq % 3 WHEN 0 THEN 'Toad' WHEN 1 THEN 'McCarthy''s' ELSE 'Upstairs at McCarthy''s' END AS venue_name, array_to_string(bands, '|') AS bands,
+   price_advance, price_advance + 4 AS price_door, '21+' AS age_requirement, '6:30pm' AS "time" FROM raw WHERE len(bands) > 0 AND date >= DATE '{AS_OF}'
+   AND date <= TIMESTAMP '{NOW_FEED}' + INTERVAL 301 DAY"""))
+def rss_events(spark, d):
+    s = C("seq")
+    room = F.when(s % 3 == 0, F.lit("Toad: ")).when(s % 3 == 1, F.lit("McCarthy's: ")).otherwise(F.lit("Upstairs at McCarthy's: "))
+    about = F.concat(
+        F.lit("&lt;p&gt;"), F.date_format("date", "EEEE, MMMM d, yyyy"), F.lit(" 6:30 PM &lt;b&gt;$"), C("price_advance").cast("string"),
+        F.lit(" in advance. $"), (C("price_advance") + 4).cast("string"), F.lit(" at the door"),
+    )
+    xml = F.concat(
+        F.lit("<rss><channel><item><title>"), F.replace(room, F.lit("'"), F.lit("&apos;")), F.array_join("bands", " with "),
+        F.lit("</title><description>"), about, F.lit("</description><link>https://x.example</link></item></channel></rss>"),
+    )
+    rows = listings(spark, d).where(F.size("bands") > 0)
+    out = feeds.rss_listings(rows.select("seq", xml.alias("xml")), now=NOW_FEED)
+    return flat(out.select("seq", "date", "venue_id", "venue_name", "bands", "price_advance", "price_door", "age_requirement", "time"))
+
+
+# -- pages ------------------------------------------------------------------------------------
+
+
+@query("page_blocks", """SELECT page_id, t AS title, h AS heading, len(l) AS n_items, len(a) AS n_links, coalesce(a[1], '') AS first_link FROM (
+  SELECT page_id, regexp_extract_all(html, '(?is)<li\\b[^>]*>(.*?)</li>', 1) AS l, regexp_extract_all(html, '(?is)<a\\b[^>]*\\bhref="([^"]*)"', 1) AS a,
+  trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) AS t,
+  trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) AS h FROM pages)""")
+def page_blocks(spark, d):
+    out = pages.page_fields(table(spark, d, "pages"))
+    return out.select(
+        "page_id", "title", "heading", F.size("items").cast("bigint").alias("n_items"), F.size("links").cast("bigint").alias("n_links"),
+        F.coalesce(F.get("links", F.lit(0)), F.lit("")).alias("first_link"),
+    )
+
+
+@query("page_lines", """SELECT page_id, len(list_filter(list_transform(string_split(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>', '', 'g'), '(?s)<[^>]*>', chr(10), 'g'), chr(10)), lambda s: trim(s)), lambda s: s <> '')) AS n_lines FROM pages""")
+def page_lines(spark, d):
+    from gigmesh.operators.lines import lines_of
+
+    return table(spark, d, "pages").select("page_id", F.size(lines_of(dated_text.page_text(C("html")))).cast("bigint").alias("n_lines"))
+
+
+GUIDE_SQL = with_raw(f"""SELECT date, array_to_string(bands, '|') AS bands, venue_name, price_advance, CASE WHEN seq % 2 = 0 THEN price_advance + 3 ELSE price_advance END AS price_door,
+   CASE WHEN "time" = '' THEN '8pm' WHEN "time" = '8:30pm' THEN '8pm' ELSE lower(replace("time", ' ', '')) END AS "time", count(*) AS n
+   FROM raw WHERE len(bands) > 0 GROUP BY 1, 2, 3, 4, 5, 6""")
+
+
+@query("page_listings", GUIDE_SQL)
+def page_listings(spark, d):
+    """Guide pages, one per hundred listings, read back block by block."""
+    s = C("seq")
+    price = F.concat(F.lit("$"), C("price_advance").cast("string"), F.when(s % 2 == 0, F.concat(F.lit(" / $"), (C("price_advance") + 3).cast("string"))).otherwise(F.lit("")))
+    block = F.concat(
+        F.lit('<div class="event-card"><h2>'), text.html_escape(F.array_join("bands", " w/ ")), F.lit('</h2><span class="date">'),
+        F.date_format("date", "EEE MMM d, yyyy"), F.lit('</span><p class="venue">'), text.html_escape(C("venue_name")),
+        F.lit('</p><i class="time">'), C("time"), F.lit('</i><em class="price">'), price, F.lit('</em><a href="/x">tickets</a></div>'),
+    )
+    rows = listings(spark, d).where(F.size("bands") > 0).select((F.floor(s / 100)).alias("seq"), block.alias("b"))
+    html = rows.groupBy("seq").agg(F.concat(F.lit("<html><body>"), F.array_join(F.collect_list("b"), "\n"), F.lit("</body></html>")).alias("html"))
+    out = pages.extract(html, pages.page_sources()["do617"], AS_OF)
+    cols = ["date", F.array_join("bands", "|").alias("bands"), "venue_name", "price_advance", "price_door", "time"]
+    return out.select(*cols).groupBy("date", "bands", "venue_name", "price_advance", "price_door", "time").agg(F.count("*").alias("n"))
+
+
+@query("dated_line_listings", with_raw("""SELECT seq * 100000 + 3 AS seq, date, array_to_string(bands, '|') AS bands, price_advance, '9pm' AS "time" FROM raw WHERE len(bands) > 0
+  UNION ALL SELECT seq * 100000 + 4 AS seq, date, array_to_string(list_reverse(bands), '|') AS bands, price_advance + 1, '10pm' FROM raw WHERE len(bands) > 0"""))
+def dated_line_listings(spark, d):
+    """Text pages whose date line covers the two show lines after it."""
+    line = lambda bands, price, clock: F.concat(F.array_join(bands, ", "), F.lit(f" {clock} $"), price.cast("string"))
+    body = F.concat_ws(
+        "\n", F.lit("<p>calendar</p>"), F.concat(F.lit("<b>"), F.date_format("date", "EEE, MMM d, yyyy"), F.lit("</b>")),
+        line(C("bands"), C("price_advance"), "9:15pm"), line(F.reverse("bands"), C("price_advance") + 1, "10pm"), F.lit("no show here"),
+    )
+    rows = listings(spark, d).where(F.size("bands") > 0).select("seq", body.alias("html"))
+    out = dated_text.line_listings(rows, AS_OF)
+    return flat(out.select("seq", "date", "bands", "price_advance", "time"))
+
+
+# -- schedules and work lists ---------------------------------------------------------------------
+
+
+@query("recurring", f"""WITH e AS (SELECT s_suppkey AS entry, s_name, CASE s_suppkey % 3 WHEN 0 THEN ['monday','Friday'] WHEN 1 THEN ['sunday'] ELSE ['tuesday','wednesday','funday'] END AS days,
+    {sql_list(TIMES)}[CAST(s_suppkey % 5 AS INT) + 1] AS t FROM supplier), dd AS (SELECT DATE '{AS_OF}' + CAST(unnest(range(28)) AS INT) AS day)
+  SELECT entry * 10000 + (day - DATE '{AS_OF}') AS seq, CAST(day AS TIMESTAMP) + CASE t WHEN '7pm' THEN INTERVAL 19 HOUR WHEN '8:30pm' THEN INTERVAL 1230 MINUTE WHEN '10 PM' THEN INTERVAL 22 HOUR ELSE INTERVAL 20 HOUR END AS date,
+    s_name AS band, t AS "time", '21+' AS age_requirement FROM e, dd WHERE list_contains(list_transform(days, lambda x: lower(x)), lower(dayname(day)))""")
+def recurring_events(spark, d):
+    """A weekly schedule with one entry per supplier."""
+    s, k = table(spark, d, "supplier"), C("s_suppkey")
+    days = F.when(k % 3 == 0, text.literal_array(["monday", "Friday"])).when(k % 3 == 1, text.literal_array(["sunday"])).otherwise(
+        text.literal_array(["tuesday", "wednesday", "funday"]))
+    schedule = s.select(
+        k.alias("entry"), days.alias("days"), F.element_at(text.literal_array(TIMES), (k % 5).cast("int") + 1).alias("time"),
+        F.array("s_name").alias("bands"), F.array().cast("array<string>").alias("genre_tags"),
+    )
+    out = recurring(schedule, AS_OF)
+    return out.select("seq", "date", F.element_at("bands", 1).alias("band"), "time", "age_requirement")
+
+
+STEPS = fx.WEEKS_AHEAD // 4 + 1
+
+
+@query("month_grid", f"""SELECT s_suppkey, 'month' AS by, CAST(k AS INT) AS step, CAST(year(m) AS INT) AS year, CAST(month(m) AS INT) AS month
+    FROM (SELECT s_suppkey, k, DATE '1998-01-01' + CAST(k || ' months' AS INTERVAL) AS m FROM supplier, (SELECT unnest(range({STEPS})) AS k))
+  UNION ALL SELECT s_suppkey, 'days', CAST(k AS INT), CAST(year(m) AS INT), CAST(month(m) AS INT)
+    FROM (SELECT s_suppkey, k, DATE '1998-01-31' + CAST(30 * k AS INT) AS m FROM supplier, (SELECT unnest(range({STEPS})) AS k))""")
+def month_grid(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey")
+    true_months = feeds.month_worklist(s, "1998-01-31").select("s_suppkey", F.lit("month").alias("by"), "step", "year", "month")
+    stepped = feeds.month_worklist(s, "1998-01-31", by="days").select("s_suppkey", F.lit("days").alias("by"), "step", "year", "month")
+    return true_months.unionByName(stepped)

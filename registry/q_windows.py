@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gigmesh.functions import text
 from gigmesh.operators import lines
-from gigmesh.sources import dated_text
 from gigmesh.sources.tables import table
 from registry.base import query
 
@@ -115,10 +113,3 @@ def skip_rules(spark, d):
     rules = spark.createDataFrame([("en", ["ion\\b.*ing"]), ("de", ["ung$"])], "lang string, patterns array<string>")
     docs = table(spark, d, "documents").join(F.broadcast(rules), "lang", "left")
     return filters.skip_rows(docs, "text", ["license", "http", "the the"], C("patterns")).select("doc_id")
-
-
-@query("document_listings")
-def document_listings(spark, d):
-    """Conversation and document texts read as listing pages: entries of any dated lines."""
-    docs = table(spark, d, "documents").select(C("doc_id").alias("seq"), text.html_escape(C("text")).alias("html"))
-    return dated_text.next_line_listings(docs, "2026-01-01").select("seq", "id", "date", F.array_join("bands", "|").alias("bands"))
