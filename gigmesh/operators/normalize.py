@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gigmesh import fixed_values as fx
 from gigmesh.functions import temporal, text
 from gigmesh.operators import dimension
+from gigmesh.runtime import computed_once
 
 
 def venue_id_by_rule(venue_id: Column, venue_name: Column) -> Column:
@@ -55,7 +56,7 @@ def normalize_listings(df: DataFrame, venues: DataFrame | None = None) -> DataFr
     With a venue registry, ids and cities are looked up on the distinct
     ``(venue_id, venue_name)`` pairs and joined back once.
     """
-    out = df.withColumn("bands", text.normalize_bands(F.col("bands"))).where(F.size("bands") > 0)
+    out = computed_once(df.withColumn("bands", text.normalize_bands(F.col("bands"))), "bands").where(F.size("bands") > 0)
     by_rule = venue_id_by_rule(F.col("venue_id"), F.col("venue_name"))
     fallback = venue_id_fallback(F.col("venue_id"))
     if venues is None:

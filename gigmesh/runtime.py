@@ -44,3 +44,14 @@ def largest_group(df: DataFrame, *keys: str) -> int:
     """Row count of the biggest group; 0 for an empty frame. One number reaches the driver."""
     top = df.groupBy(*keys).count().agg(F.max("count").alias("n")).first()
     return top["n"] or 0
+
+
+def computed_once(df: DataFrame, *names: str) -> DataFrame:
+    """Keep the optimizer from evaluating derived columns again in later filters and projections.
+
+    The columns pass through a one-element ``explode``. Filters on other columns are
+    still pushed down to the scan.
+    """
+    rest = [c for c in df.columns if c not in names]
+    packed = df.select(*rest, F.struct(*names).alias("__once"))
+    return packed.select(*rest, F.explode(F.array("__once")).alias("__once")).select(*rest, "__once.*").select(*df.columns)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gigmesh import fixed_values as fx
 from gigmesh.functions import text
+from gigmesh.runtime import computed_once
 
 LISTING = """
     seq BIGINT, id STRING, date TIMESTAMP_NTZ,
@@ -68,6 +69,7 @@ def as_listings(df: DataFrame, **values: Column) -> DataFrame:
     if "seq" in df.columns and "seq" not in values:
         keep.append(F.col("seq"))
     out = df.select(*keep, *[c.alias(n) for n, c in cols.items()])
+    out = computed_once(out, *[n for n in out.columns if n != "seq"])
     return out if "id" in values else with_id(out)
 
 

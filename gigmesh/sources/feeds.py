@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gigmesh import fixed_values as fx
 from gigmesh.functions import temporal, text
 from gigmesh.functions.text import blank, strip
+from gigmesh.runtime import computed_once
 from gigmesh.schema import as_listings, no_strings
 
 C = F.col
@@ -332,16 +333,17 @@ def ical_events(df: DataFrame, ics: str = "ics") -> DataFrame:
     props = F.filter(F.transform(F.split("event", "\r?\n"), strip), lambda s: s.contains(":"))
     pairs = F.transform(
         props,
-        lambda s: F.struct(
-            F.regexp_extract(s, "^([^:;]*)", 1).alias("k"), F.regexp_extract(s, "^[^:]*:(.*)$", 1).alias("v")
+        lambda s, i: F.struct(
+            F.regexp_extract(s, "^([^:;]*)", 1).alias("k"), F.regexp_extract(s, "^[^:]*:(.*)$", 1).alias("v"), i.alias("i")
         ),
     )
+    rows = computed_once(rows.select("seq", "i", pairs.alias("pairs")), "pairs")
     last = F.filter(
-        F.transform(pairs, lambda x, i: F.struct(x["k"].alias("k"), x["v"].alias("v"), i.alias("i"))),
-        lambda x: ~F.exists(F.slice(pairs, x["i"] + 2, F.size(pairs)), lambda y: y["k"] == x["k"]),
+        "pairs", lambda x: ~F.exists(F.slice(F.col("pairs"), x["i"] + 2, F.size("pairs")), lambda y: y["k"] == x["k"])
     )
-    entries = F.map_from_arrays(F.transform(last, lambda x: x["k"]), F.transform(last, lambda x: x["v"]))
-    return rows.select("seq", "i", entries.alias("p"))
+    rows = computed_once(rows.select("seq", "i", last.alias("last")), "last")
+    entries = F.map_from_arrays(F.transform("last", lambda x: x["k"]), F.transform("last", lambda x: x["v"]))
+    return computed_once(rows.select("seq", "i", entries.alias("p")), "p")
 
 
 def _prop(name: str, default: str = "") -> Column:

@@ -10,13 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gigmesh import fixed_values as fx
 from gigmesh.functions import temporal, text
 from gigmesh.functions.text import strip
 from gigmesh.operators import filters, grouping
+from gigmesh.runtime import computed_once
 from gigmesh.schema import as_listings, no_strings
 from gigmesh.sources import dates
 
@@ -126,7 +127,7 @@ def extract(df: DataFrame, source: PageSource, now="1970-01-01", html: str = "ht
         values = {**source.shared, **fields(C("block"), now)}
         values.setdefault("source", F.lit(source.source))
         rows = cut.select("seq", "i", F.struct(*[v.alias(k) for k, v in values.items()]).alias("v"))
-        rows = rows.where(C("v.date").isNotNull() & (F.size("v.bands") > 0)).withColumn("rank", F.lit(rank))
+        rows = computed_once(rows, "v").where(C("v.date").isNotNull() & (F.size("v.bands") > 0)).withColumn("rank", F.lit(rank))
         rows = as_listings(
             rows.select(C("seq").alias("page"), "i", "rank", "v"),
             seq=(C("page") * 100000 + C("i")).cast("bigint"),
@@ -134,9 +135,9 @@ def extract(df: DataFrame, source: PageSource, now="1970-01-01", html: str = "ht
         ).withColumn("rank", F.lit(rank))
         out = rows if out is None else out.unionByName(rows)
     if len(source.starts) > 1:
-        page = F.floor(C("seq") / 100000)
-        best = out.groupBy(page.alias("page")).agg(F.min("rank").alias("rank"))
-        out = out.withColumn("page", page).join(best, ["page", "rank"], "left_semi").drop("page")
+        # All rows of a page fit one cell of the input, so the window partition is small.
+        best = F.min("rank").over(Window.partitionBy(F.floor(C("seq") / 100000)))
+        out = out.withColumn("best", best).where(C("rank") == C("best")).drop("best")
     out = out.drop("rank")
     if source.window:
         out = filters.lookahead(out, now, source.window)

@@ -260,7 +260,7 @@ def page_listings(spark, d):
     )
     rows = listings(spark, d).where(F.size("bands") > 0).select((F.floor(s / 100)).alias("seq"), block.alias("b"))
     html = rows.groupBy("seq").agg(F.concat(F.lit("<html><body>"), F.array_join(F.collect_list("b"), "\n"), F.lit("</body></html>")).alias("html"))
-    out = pages.extract(html, pages.page_sources()["do617"], AS_OF)
+    out = pages.extract(html.repartition(32, "seq"), pages.page_sources()["do617"], AS_OF)
     cols = ["date", F.array_join("bands", "|").alias("bands"), "venue_name", "price_advance", "price_door", "time"]
     return out.select(*cols).groupBy("date", "bands", "venue_name", "price_advance", "price_door", "time").agg(F.count("*").alias("n"))
 
