@@ -57,11 +57,14 @@ def canon(df: pd.DataFrame) -> list[str]:
     return sorted(rows)
 
 
-def compare(spark, con, name: str, sf_dir: str) -> tuple[bool, str]:
+def compare(spark, con, name: str, sf_dir: str, inspect=None) -> tuple[bool, str]:
     from registry import ORACLES, QUERIES
 
     t0 = time.time()
-    got = QUERIES[name](spark, sf_dir).toPandas()
+    df = QUERIES[name](spark, sf_dir)
+    if inspect:
+        inspect(df)
+    got = df.toPandas()
     t1 = time.time()
     if name not in ORACLES:
         return True, f"{name}: {len(got)} rows, no SQL ({t1 - t0:.1f}s)"
