@@ -72,19 +72,26 @@ def leaders(nodes: DataFrame, matches: Matches, size: int = FIRST_ROUND) -> Data
     and returns the matching ones. Nodes without any match are left out.
     """
     biggest = largest_group(nodes, "block")
+    width = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def edges(pairs):
         return matches(pairs).select(
             F.col("a.block").alias("block"), F.col("a.pos").alias("a"), F.col("b.pos").alias("b")
         )
 
+    def decide(batch):
+        # Few bytes but much work per pair: a fixed width keeps every core busy, and the
+        # join and the fold both reuse this partitioning.
+        spread = batch.repartition(width, "block")
+        return settle(edges(_pairs(spread, spread, ordered=True)))
+
     if biggest <= size:
-        return settle(edges(_pairs(nodes, nodes, ordered=True)))
+        return decide(nodes)
 
     decided, open_ = [], nodes
     while True:
         batch = cut_lineage(first_of_block(open_, size))
-        settled = cut_lineage(settle(edges(_pairs(batch, batch, ordered=True))))
+        settled = cut_lineage(decide(batch))
         decided.append(settled)
         absorbed = settled.where("pos <> leader").select("block", "pos")
         chosen = batch.join(absorbed, ["block", "pos"], "left_anti")
