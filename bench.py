@@ -33,9 +33,6 @@ def main() -> None:
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        # Text work is heavy per byte: keep every core busy on small shuffles.
-        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
-        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
