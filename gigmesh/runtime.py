@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,3 +57,20 @@ def computed_once(df: DataFrame, *names: str) -> DataFrame:
     rest = [c for c in df.columns if c not in names]
     packed = df.select(*rest, F.struct(*names).alias("__once"))
     return packed.select(*rest, F.explode(F.array("__once")).alias("__once")).select(*rest, "__once.*").select(*df.columns)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per context, so that workers find it wherever they start."""
+    sc = spark.sparkContext
+    if getattr(sc, "_gigmesh_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="spark-")), "gigmesh_package.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._gigmesh_shipped = True
