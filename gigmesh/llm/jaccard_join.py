@@ -127,7 +127,7 @@ def heavy_runs(feats: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def published(docs: DataFrame, heavy) -> DataFrame:
-    """``token, sig``: each text's rarest runs, enough that linked sets share one."""
+    """``token, sig, place``: each text's rarest runs in order, enough that linked sets share one."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, times = heavy.value
@@ -152,11 +152,14 @@ def published(docs: DataFrame, heavy) -> DataFrame:
                     out.append(runs[:first])
                 if out:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(sigs, np.int64), sizes))],
-                        names=["token", "sig"],
+                        [
+                            pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(sigs, np.int64), sizes)),
+                            pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in sizes])),
+                        ],
+                        names=["token", "sig", "place"],
                     )
 
-    return docs.select("text").mapInArrow(prefixes, "token bigint, sig bigint")
+    return docs.select("text").mapInArrow(prefixes, "token bigint, sig bigint, place int")
 
 
 def _shared(rows: DataFrame, by: str) -> DataFrame:
@@ -260,10 +263,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     placed = cut_lineage(_blocks(grouped.select("sig", "rep", "n", F.coalesce("component", "rep").alias("grp"))))
 
     # Queries across groups, through the matrix.
-    crossing = cut_lineage(_shared(live.join(placed, "sig"), "grp").select("token", "rep", "n", "grp", "slot"))
-    matrix = crossing.groupBy("token", "grp", "slot").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    asked = crossing.select("token", "rep", "n", F.col("grp").alias("own"))
-    fits = (F.col("own") < F.col("grp")) & (PERCENT * F.col("n") <= 100 * F.col("most")) & (PERCENT * F.col("least") <= 100 * F.col("n"))
+    # The first shared run of linked sets stands at places that leave room for the overlap in both.
+    room = (100 + PERCENT) * (F.col("n") - F.col("place")) - PERCENT * F.col("n")
+    crossing = cut_lineage(
+        _shared(live.join(placed, "sig"), "grp").select("token", "rep", "n", "grp", "slot", room.alias("room"))
+    )
+    matrix = crossing.groupBy("token", "grp", "slot").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max("room").alias("spare")
+    )
+    asked = crossing.select("token", "rep", "n", "room", F.col("grp").alias("own"))
+    fits = (
+        (F.col("own") < F.col("grp"))
+        & (F.col("spare") >= PERCENT * F.col("n"))
+        & (F.col("room") >= PERCENT * F.col("least")) & (100 * F.col("room") >= PERCENT * PERCENT * F.col("n"))
+        & (PERCENT * F.col("n") <= 100 * F.col("most")) & (PERCENT * F.col("least") <= 100 * F.col("n"))
+    )
     queries = cut_lineage(asked.join(matrix, "token").where(fits).select("rep", "grp", "slot").distinct())
     opened = _bounded(queries, texts, placed)
     sized = opened.join(placed.select("rep", F.col("n").alias("x")).distinct(), "rep").select(F.col("rep").alias("a"), "x", "grp", "slot")

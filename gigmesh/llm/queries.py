@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from gigmesh.llm import quality_rules
+from gigmesh.llm import decontaminate, jaccard_join, quality_rules
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
+    "op9_decontaminate": decontaminate.query,
+    "op10_jaccard_join": jaccard_join.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_decontaminate": decontaminate.ORACLE,
+    "op10_jaccard_join": jaccard_join.ORACLE,
+}
