@@ -12,7 +12,8 @@ that agree by chance are left alone, a shared passage of fifty words is not.
 
 Null and empty texts have no chunks. Rows that repeat both id and text are one document and are
 treated alike; the texts of one ``doc_id`` each keep what no smaller id holds. Rows without
-``doc_id`` come last in the order, as one document per text. Empty tables give empty results. Only ``doc_id`` and ``text`` are read.
+``doc_id`` come last in the order, as one document per text. Empty tables give empty results.
+Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -165,12 +166,12 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
         return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    found = spans.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(
-        F.array_sort(F.collect_list(F.struct("begin", "finish"))).alias("__spans")
+    doc, key, cuts = tb.unused(docs.columns, "cut_id", "cut_key", "cut_spans")
+    found = spans.groupBy(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).agg(
+        F.array_sort(F.collect_list(F.struct("begin", "finish"))).alias(cuts)
     )
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
-    joined = docs.join(found.hint("merge"), same, "left")
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut("text", "__spans"))
+    joined = docs.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key)), "left")
+    text = F.when(F.col(cuts).isNull(), F.col("text")).otherwise(cut("text", cuts))
     return joined.withColumn("text", text).select(*docs.columns)
 
 

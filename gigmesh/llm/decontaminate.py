@@ -18,6 +18,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -266,8 +267,6 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id)
 
 def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with the words of the spans, and what lies between them, removed from ``text``."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         def one(text, found):
@@ -283,9 +282,10 @@ def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
         return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    found = spans.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.first("spans").alias("__spans"))
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left")
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut("text", "__spans"))
+    doc, key, cuts = tb.unused(docs.columns, "cut_id", "cut_key", "cut_spans")
+    found = spans.groupBy(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).agg(F.first("spans").alias(cuts))
+    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key)), "left")
+    text = F.when(F.col(cuts).isNull(), F.col("text")).otherwise(cut("text", cuts))
     return joined.withColumn("text", text).select(*docs.columns)
 
 

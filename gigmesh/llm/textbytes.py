@@ -143,3 +143,14 @@ def string_hash(word: str) -> int:
     """``word_hashes`` of one word."""
     raw = np.frombuffer(word.encode(), np.uint8)
     return int(word_hashes(raw, np.array([0]), np.array([len(raw)]))[0])
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores before them until no column has them."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
