@@ -6,6 +6,9 @@ listing text (accents, curly quotes, no-break spaces) needs.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -338,13 +341,43 @@ def html_escape(c: Column) -> Column:
     return c
 
 
+# The standard's named references, with and (the old ones) without a closing semicolon.
+_NAMED = json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})
+_WINDOWS = json.dumps({k: bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(128, 160)})
+_OPEN = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point; the standard reads 128 to 159 as Windows-1252, and 0, surrogates and codes out of range as U+FFFD."""
+    bad = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF) | code.isNull()
+    old = code.between(128, 159)
+    windows = F.try_element_at(F.from_json(F.lit(_WINDOWS), "map<string,string>"), code.cast("string"))
+    wide = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when(bad, F.lit("\ufffd")).when(old, windows).otherwise(wide)
+
+
 def html_unescape(c: Column) -> Column:
-    for entity, raw in (
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"),
-        ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"),
-    ):
-        c = F.replace(c, F.lit(entity), F.lit(raw))
-    return c
+    """Every character reference decoded once: named, decimal and hexadecimal."""
+
+    def piece(x: Column) -> Column:
+        named = F.regexp_extract(x, "^&([A-Za-z][A-Za-z0-9]*);", 1)
+        digits = F.regexp_extract(x, r"^&#(\d+);?", 1)
+        hexed = F.regexp_extract(x, "^&#[xX]([0-9a-fA-F]+);?", 1)
+        opened = F.regexp_extract(x, "^&(" + "|".join(_OPEN) + ")", 1)
+        number = lambda d, base: F.try_to_number(F.conv(F.when(F.length(F.ltrim(d, F.lit("0"))) > 9, F.lit("7fffffff" if base == 16 else "2147483647")).otherwise(d), base, 10), F.lit("9999999999")).cast("bigint")
+        rest = lambda pattern: F.regexp_replace(x, pattern, "")
+        table = F.from_json(F.lit(_NAMED), "map<string,string>")  # a constant: folded into one literal map
+        known = F.try_element_at(table, named)
+        return (
+            F.when(digits != "", F.concat(_character(number(digits, 10)), rest(r"^&#\d+;?")))
+            .when(hexed != "", F.concat(_character(number(hexed, 16)), rest("^&#[xX][0-9a-fA-F]+;?")))
+            .when((named != "") & known.isNotNull(), F.concat(known, rest("^&[A-Za-z0-9]+;")))
+            .when(opened != "", F.concat(F.try_element_at(table, opened), F.substr(x, F.length(opened) + 2)))
+            .otherwise(x)
+        )
+
+    parts = F.split(c, "(?=&)")
+    return F.when(~c.contains("&"), c).otherwise(F.array_join(F.transform(parts, piece), ""))
 
 
 def unescape_ical(c: Column) -> Column:

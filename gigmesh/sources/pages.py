@@ -146,10 +146,16 @@ def extract(df: DataFrame, source: PageSource, now="1970-01-01", html: str = "ht
 
 # -- keys and words (fixed values) -----------------------------------------------------
 
+# Titles of the arts center that are navigation: any word, the whole title, the whole link text.
 NAV_WORDS = [
     "next", "prev", "previous", "month", "today", "calendar", "filter", "search", "buy tickets", "buy now",
-    "get tickets", "on sale", "more info", "view all", "see all", "tickets", "buy", "more", "details",
+    "get tickets", "on sale", "more info", "view all", "see all",
 ]
+NAV_TITLES = ["buy tickets", "tickets", "buy", "more", "details"]
+NAV_LINKS = [
+    "buy tickets", "tickets", "buy", "buy now", "get tickets", "more", "details", "more info", "view", "see all",
+]
+SHOW_LINK = r"<a\b[^>]*href=[\"'][^\"']*(?:eventperformances|ordertickets)[^>]*>"
 PERFORMANCE_VENUES = {
     "berklee performance center": "berklee_bpc",
     "red room at cafe 939": "cafe939",
@@ -418,24 +424,38 @@ def _jazz(b: Column, now) -> dict:
     }
 
 
-def _arts_center(title_of: Callable[[Column], Column]) -> Fields:
+def _is_word(title: Column, words: list[str]) -> Column:
+    """The title is one of the words or contains it between spaces."""
+    parts = F.split(F.lower(title), r"\s+")
+    return F.exists(text.literal_array(words), lambda w: (F.lower(title) == w) | F.array_contains(parts, w))
+
+
+def _arts_center(title_of: Callable[[Column], Column], reject: Callable[[Column], Column] | None = None, linked: bool = False) -> Fields:
+    """``reject`` tells titles that are no shows; ``linked``: the link strategy reads neither time nor price."""
+
     def fields(b: Column, now) -> dict:
         title = title_of(b)
-        words = F.split(F.lower(title), r"\s+")
-        nav = F.exists(text.literal_array(NAV_WORDS), lambda w: (F.lower(title) == w) | F.array_contains(words, w))
+        bad = F.length(title) < 3
         clock = text_of(b, "time")
         whole = plain(b, " ")
+        when = [dates.month_day(whole, now), dates.slashed(whole, now)]
+        more = {} if linked else {"price_advance": text.parse_price(text_of(b, "price"))["advance"]}
         return {
-            "date": F.coalesce(dates.month_day(text_of(b, "date"), now), dates.month_day(whole, now), dates.slashed(whole, now)),
-            "bands": _blank_when(nav | (F.length(title) < 3), _or_title(text.split_bands(title), title)),
-            "time": F.when(clock == "", F.lit("7:30pm")).otherwise(temporal.parse_time(clock)),
-            "price_advance": text.parse_price(text_of(b, "price"))["advance"],
+            "date": F.coalesce(*when) if linked else F.coalesce(dates.month_day(text_of(b, "date"), now), *when),
+            "bands": _blank_when(reject(title) | bad if reject else bad, _or_title(text.split_bands(title), title)),
+            "time": F.lit("7:30pm") if linked else F.when(clock == "", F.lit("7:30pm")).otherwise(temporal.parse_time(clock)),
+            **more,
             **_venue("narrowscenter", "Narrows Center for the Arts", "Fall River"),
         }
 
     return fields
 
 
+def holder(tags: str, inside: str) -> str:
+    """Pattern of the opening tag nearest before ``inside``, of the given kinds."""
+    return rf"<(?:{tags})\b[^>]*>(?=(?:(?!<(?:{tags})\b).)*?{inside})"
+
+
 def _residency(b: Column, now) -> dict:
     """Tour table: a dated row, then its information row up to the next date."""
     cell = inner(b, "gigpress-venue")
@@ -606,10 +626,10 @@ def page_sources() -> dict[str, PageSource]:
             PageSource("jazzboston", "jazzboston", [start_tag("eli_row", "div")], [_jazz], keys=[head(), day()], window=None),
             PageSource(
                 "narrows_center", "narrows_center",
-                [start_tag("perfname"), start_tag(r"(?:event-item|performance-item|show-item)"), r"<a\b[^>]*href=[\"'][^\"']*(?:eventperformances|ordertickets)"],
-                [_arts_center(lambda b: text_of(b, "perfname")),
+                [holder("div|li|tr|td", start_tag("perfname")), start_tag(r"(?:event-item|performance-item|show-item)"), holder("div|li|tr", SHOW_LINK)],
+                [_arts_center(lambda b: text_of(b, "perfname"), lambda t: _is_word(t, NAV_WORDS) | F.lower(t).isin(NAV_TITLES)),
                  _arts_center(lambda b: F.coalesce(F.nullif(text_of(b, r"(?:title|name|perf)"), F.lit("")), *[F.nullif(text_of(b, tag=t), F.lit("")) for t in ("h2", "h3", "h4", "a")], F.lit(""))),
-                 _arts_center(lambda b: plain(F.regexp_extract(b, r"(?is)^<a\b[^>]*>(.*?)</a>", 1)))],
+                 _arts_center(lambda b: plain(F.regexp_extract(b, "(?is)" + SHOW_LINK + "(.*?)</a>", 1)), lambda t: F.lower(t).isin(NAV_LINKS), linked=True)],
                 keys=[day(), head()], window=None,
             ),
             PageSource("club_delf", "club_delf",

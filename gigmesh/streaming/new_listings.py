@@ -13,6 +13,11 @@ from gigmesh.schema import with_id
 C = F.col
 
 
+def _is_missing(error: AnalysisException) -> bool:
+    """Nothing was written yet; every other fault must surface, or all listings would count as new."""
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def new_since(df: DataFrame, notified: DataFrame) -> DataFrame:
     """Listings whose id was not notified before."""
     return df.join(notified.select("id"), "id", "left_anti")
@@ -32,7 +37,9 @@ class NotifiedIds:
     def read(self) -> DataFrame:
         try:
             last = self.spark.read.parquet(f"{self.path}/log").agg(F.max("run").alias("run")).first()["run"]
-        except AnalysisException:
+        except AnalysisException as error:
+            if not _is_missing(error):
+                raise
             last = None
         if last is None:
             return self.spark.createDataFrame([], "id string")
@@ -89,8 +96,9 @@ def stream_digest(raw: DataFrame, path: str, checkpoint: str, as_of) -> Streamin
         try:
             seen = spark.read.parquet(f"{path}/rows").where(C("batch") < batch_id).select("id")
             rows = new_since(rows, seen)
-        except AnalysisException:
-            pass
+        except AnalysisException as error:
+            if not _is_missing(error):
+                raise
         rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
 
     return (

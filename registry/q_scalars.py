@@ -310,8 +310,11 @@ def html_escape(spark, d):
     return table(spark, d, "pages").select("page_id", text.html_escape(C("html")).alias("escaped"))
 
 
-@query("unescape_text", "SELECT page_id, html AS text FROM pages")
+@query("unescape_text", """SELECT page_id, html || 'é–’‘€A&amp;lt; ñ &nosuch; ©2' AS text FROM pages""")
 def unescape_text(spark, d):
-    return table(spark, d, "pages").select(
-        "page_id", text.html_unescape(text.html_escape(C("html"))).alias("text")
-    )
+    """Page text encoded here by plain replacement, with references of every kind appended."""
+    coded = C("html")
+    for raw, reference in (("&", "&#38;"), ("<", "&lt;"), (">", "&#x3E;"), ('"', "&quot;"), ("'", "&apos;"), ("é", "&eacute;"), ("ü", "&#252;"), ("ñ", "&#xF1;")):
+        coded = F.replace(coded, F.lit(raw), F.lit(reference))
+    tail = F.lit("&eacute;&ndash;&#8217;&#x2018;&#128;&#65;&amp;amp;lt; &ntilde; &nosuch; &copy2")
+    return table(spark, d, "pages").select("page_id", text.html_unescape(F.concat(coded, tail)).alias("text"))

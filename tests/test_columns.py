@@ -205,3 +205,16 @@ def test_lookahead_modes(spark):
 def test_upcoming_spans_four_days(spark):
     df = spark.createDataFrame([(i, dt.datetime(2026, 1, 1 + i, 22)) for i in range(6)], "i int, date timestamp_ntz")
     assert sorted(r.i for r in filters.upcoming(df, "2026-01-02").collect()) == [1, 2, 3, 4]
+
+
+def test_html_unescape_follows_the_standard(evaluate):
+    import html
+    import random
+
+    r = random.Random(4)
+    names = ["amp", "eacute", "NotEqualTilde", "ngE", "copy", "nosuch", "fjlig", "notit", "notin"]
+    given = [None, "", "plain", "&", "&;", "a&&b", "Caf&eacute; Tacvba &#8217;n&#8217; Friends &ndash; &rsquo;77", "&#0; &#55296; &#1114112; &#x110000; &#99999999999;"]
+    for _ in range(200):
+        kind = [f"&{r.choice(names)}{r.choice([';', ''])}", f"&#{r.choice([38, 39, 128, 146, 233, 8217, 128512])}{r.choice([';', ''])}", f"&#x{r.choice(['e9', '1F600', '2019'])};", "x", " ", "&amp;lt;"]
+        given.append("".join(r.choices(kind, k=5)))
+    assert evaluate(text.html_unescape, given) == [None if g is None else html.unescape(g) for g in given]

@@ -132,8 +132,12 @@ PAGES = {
     ),
     "narrows_center": (
         '<td><span class="display-perfname">Big Act</span><span class="display-date">Feb 20, 2026</span><span class="display-perftime">8:00 PM</span><b class="display-perfprice">$35</b></td>'
-        '<td><span class="display-perfname">Next</span><span class="date">Feb 21, 2026</span></td>',
-        [(dt.datetime(2026, 2, 20), ["Big Act"], "narrowscenter", "8pm", 35)],
+        '<td><span class="display-perfname">Next</span><span class="date">Feb 21, 2026</span></td>'
+        '<td><span class="date">March 5, 2026</span><span class="display-perfname">No More Heroes</span></td>'
+        '<td><span class="date">March 6, 2026</span><span class="display-perfname">More Details</span></td>'
+        '<td><span class="date">March 7, 2026</span><span class="display-perfname">Details</span></td>',
+        [(dt.datetime(2026, 2, 20), ["Big Act"], "narrowscenter", "8pm", 35), (dt.datetime(2026, 3, 5), ["No More Heroes"], "narrowscenter", "7:30pm", None),
+         (dt.datetime(2026, 3, 6), ["More Details"], "narrowscenter", "7:30pm", None)],
     ),
     "club_delf": (
         '<table><tr class="gigpress-row"><td class="gigpress-date">02/12/26</td><td class="gigpress-venue"><a>Lizard Lounge</a></td><td class="gigpress-city">Cambridge</td></tr>'
