@@ -356,8 +356,8 @@ def _character(code: Column) -> Column:
     return F.when(bad, F.lit("\ufffd")).when(old, windows).otherwise(wide)
 
 
-def html_unescape(c: Column) -> Column:
-    """Every character reference decoded once: named, decimal and hexadecimal."""
+def _references(c: Column, shown) -> Column:
+    """References replaced by ``shown(character)``. A large expression: evaluate it once per text."""
 
     def piece(x: Column) -> Column:
         named = F.regexp_extract(x, "^&([A-Za-z][A-Za-z0-9]*);", 1)
@@ -369,10 +369,10 @@ def html_unescape(c: Column) -> Column:
         table = F.from_json(F.lit(_NAMED), "map<string,string>")  # a constant: folded into one literal map
         known = F.try_element_at(table, named)
         return (
-            F.when(digits != "", F.concat(_character(number(digits, 10)), rest(r"^&#\d+;?")))
-            .when(hexed != "", F.concat(_character(number(hexed, 16)), rest("^&#[xX][0-9a-fA-F]+;?")))
-            .when((named != "") & known.isNotNull(), F.concat(known, rest("^&[A-Za-z0-9]+;")))
-            .when(opened != "", F.concat(F.try_element_at(table, opened), F.substr(x, F.length(opened) + 2)))
+            F.when(digits != "", F.concat(shown(_character(number(digits, 10))), rest(r"^&#\d+;?")))
+            .when(hexed != "", F.concat(shown(_character(number(hexed, 16))), rest("^&#[xX][0-9a-fA-F]+;?")))
+            .when((named != "") & known.isNotNull(), F.concat(shown(known), rest("^&[A-Za-z0-9]+;")))
+            .when(opened != "", F.concat(shown(F.try_element_at(table, opened)), F.substr(x, F.length(opened) + 2)))
             .otherwise(x)
         )
 
@@ -380,6 +380,29 @@ def html_unescape(c: Column) -> Column:
     return F.when(~c.contains("&"), c).otherwise(F.array_join(F.transform(parts, piece), ""))
 
 
+def html_unescape(c: Column) -> Column:
+    """Every character reference decoded once: named, decimal and hexadecimal."""
+    return _references(c, lambda x: x)
+
+
+def settle_references(c: Column) -> Column:
+    """References decoded but for those of markup characters, which become their short names.
+
+    Markup can still be cut by its tags, and ``basic_unescape`` then finishes the parts.
+    """
+    return _references(c, html_escape)
+
+
+def basic_unescape(c: Column) -> Column:
+    """The references that ``settle_references`` and ``html_escape`` leave, decoded. A small expression."""
+    for entity, raw in (
+        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"),
+        ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"),
+    ):
+        c = F.replace(c, F.lit(entity), F.lit(raw))
+    return c
+
+
 def unescape_ical(c: Column) -> Column:
     for escaped, raw in (("\\n", "\n"), ("\\,", ","), ("\\;", ";"), ("\\:", ":"), ("\\\\", "\\")):
         c = F.replace(c, F.lit(escaped), F.lit(raw))

@@ -439,6 +439,7 @@ def rss_listings(df: DataFrame, xml: str = "xml", now="1970-01-01") -> DataFrame
         text.html_unescape(_xml_text(C("item"), "description")).alias("about"),
         _xml_text(C("item"), "link").alias("link"),
     )
+    rows = computed_once(rows, "title", "about", "link")
     low = F.lower("title")
     toad, pub, up = low.startswith("toad:"), low.startswith("mccarthy's:"), low.contains("upstairs")
     colon = C("title").contains(":")

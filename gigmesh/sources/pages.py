@@ -47,7 +47,7 @@ def inner(block: Column, cls: str = "", tag: str = r"\w+") -> Column:
 def plain(markup: Column, between: str = "") -> Column:
     """Text of markup: scripts and tags removed, entities decoded, whitespace collapsed."""
     bare = F.regexp_replace(markup, r"(?is)<(script|style)\b.*?</\1>", "")
-    return text.clean_text(text.html_unescape(F.regexp_replace(bare, r"(?s)<[^>]*>", between)))
+    return text.clean_text(text.basic_unescape(F.regexp_replace(bare, r"(?s)<[^>]*>", between)))
 
 
 def text_of(block: Column, cls: str = "", tag: str = r"\w+") -> Column:
@@ -57,7 +57,7 @@ def text_of(block: Column, cls: str = "", tag: str = r"\w+") -> Column:
 def attribute(block: Column, name: str, tag: str = r"\w+", containing: str = "") -> Column:
     """Value of the first such attribute, NULL when there is none."""
     found = F.regexp_extract(block, rf"(?is)<(?:{tag})\b[^>]*\b{name}=[\"']([^\"']*{containing}[^\"']*)[\"']", 1)
-    return F.nullif(text.html_unescape(found), F.lit(""))
+    return F.nullif(text.basic_unescape(found), F.lit(""))
 
 
 def absolute(url: Column, site: str, default: str | None = None) -> Column:
@@ -66,14 +66,20 @@ def absolute(url: Column, site: str, default: str | None = None) -> Column:
     return F.when(url.startswith("http"), url).when(url.startswith("/"), F.concat(F.lit(site), url)).otherwise(fallback)
 
 
+def settled(df: DataFrame, html: str = "html") -> DataFrame:
+    """Pages with their character references decoded, but for those of markup characters; done once per page."""
+    return computed_once(df.withColumn(html, text.settle_references(C(html))), html)
+
+
 def page_fields(df: DataFrame, html: str = "html") -> DataFrame:
     """Title, first heading, list entries and links of any page."""
+    df = settled(df, html)
     page = C(html)
     items = F.regexp_extract_all(page, F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), F.lit(1))
     links = F.regexp_extract_all(page, F.lit(r"(?is)<a\b[^>]*\bhref=\"([^\"]*)\""), F.lit(1))
     return df.withColumn("title", plain(inner(page, tag="title"))).withColumn(
         "heading", plain(inner(page, tag="h1"))
-    ).withColumn("items", F.transform(items, plain)).withColumn("links", F.transform(links, text.html_unescape))
+    ).withColumn("items", F.transform(items, plain)).withColumn("links", F.transform(links, text.basic_unescape))
 
 
 # -- sources ------------------------------------------------------------------------
@@ -122,6 +128,7 @@ def extract(df: DataFrame, source: PageSource, now="1970-01-01", html: str = "ht
     strategy's rows carry its rank and only the best rank per page stays.
     """
     out = None
+    df = settled(df.select("seq", html), html)
     for rank, (start, fields) in enumerate(zip(source.starts, source.fields)):
         cut = df.select("seq", F.posexplode(blocks(C(html), start)).alias("i", "block"))
         values = {**source.shared, **fields(C("block"), now)}
@@ -509,7 +516,7 @@ def _winery(b: Column, now) -> dict:
 def _secret_show(b: Column, now) -> dict:
     href = attribute(b, "href", "a", "/events/")
     link = F.regexp_extract(b, r"(?is)^<a\b[^>]*>(.*?)</a>", 1)
-    parts = F.filter(F.transform(F.split(F.regexp_replace(link, r"(?s)<[^>]*>", "|"), r"\|"), lambda s: strip(text.html_unescape(s))), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(F.regexp_replace(link, r"(?s)<[^>]*>", "|"), r"\|"), lambda s: strip(text.basic_unescape(s))), lambda s: s != "")
     more = F.slice(parts, 3, 1 << 20)
     is_kind = lambda s: F.exists(text.literal_array(SECRET_VENUE_KINDS), lambda k: F.lower(s).contains(k))
     kinds = F.filter(more, is_kind)

@@ -55,8 +55,8 @@ def normalize_with_registry(spark, d):
     return out.select("seq", "venue_id", "venue_name", "venue_location", F.array_join("bands", "|").alias("bands"))
 
 
-@query("map_values", f"""WITH {RAW} SELECT seq, coalesce('Region ' || n_regionkey, venue_location) AS region FROM raw LEFT JOIN nation ON lower(n_name) = lower(trim(venue_location)) AND n_nationkey < 20""")
+@query("map_values", f"""WITH {RAW} SELECT seq, coalesce('Region ' || n_regionkey, venue_location) AS region FROM raw LEFT JOIN nation ON lower(n_name) = lower(trim(venue_location))""")
 def map_values(spark, d):
-    n = table(spark, d, "nation").where("n_nationkey < 20")
+    n = table(spark, d, "nation")
     lookup = n.select(F.lower("n_name").alias("key"), F.concat(F.lit("Region "), "n_regionkey").alias("value"))
     return dimension.map_values(listings(spark, d), lookup, "venue_location", "region").select("seq", "region")

@@ -100,11 +100,13 @@ def source_counts(spark, d):
 @query("distinct_flag_union", with_norm("""SELECT venue_id, array_to_string(list_sort(list_distinct(flatten(list(flags)))), '|') AS flags,
   array_to_string(list_sort(list_distinct(flatten(list(genre_tags)))), '|') AS genre_tags FROM norm GROUP BY 1"""))
 def distinct_flag_union(spark, d):
-    """Union of array values per venue."""
-    out = norm(spark, d).groupBy("venue_id").agg(
-        *[F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))), "|").alias(c) for c in ("flags", "genre_tags")]
-    )
-    return out
+    """Union of array values per venue: distinct values before they meet in one row."""
+    rows = norm(spark, d)
+    tagged = lambda c: F.transform(c, lambda x: F.struct(F.lit(c).alias("k"), x.alias("x")))
+    named = F.concat(tagged("flags"), tagged("genre_tags"))
+    values = rows.select("venue_id", F.explode_outer(named).alias("v")).distinct()
+    one = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(F.col("v.k") == c, F.col("v.x")))), "|").alias(c)
+    return values.groupBy("venue_id").agg(one("flags"), one("genre_tags"))
 
 
 @query("snapshot_meta", with_norm(f"""SELECT TIMESTAMP '{AS_OF} 00:00:00' AS last_updated, count(*) AS total, 'gigmesh' AS generated_by FROM norm"""))
