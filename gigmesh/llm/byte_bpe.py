@@ -3,8 +3,9 @@
 A text is split by the tokenizer's pattern. A piece that is a token is that token. Each other
 distinct piece of a slice becomes rows (piece, position, token), one per byte; a recursive query
 joins neighbours to the merge table and contracts each piece's leftmost pair of least rank until
-no pair is left. Equal pairs of one piece that don't overlap are contracted in the same step,
-from the left: contracting one leaves the others the next in line. Decoding joins ids to the
+no pair is left. In pieces over ``LONG`` bytes, equal pairs that don't overlap are contracted in
+one step, from the left: contracting one leaves the others next in line, and the number of
+steps then follows the different pairs, not the length. Decoding joins ids to the
 bytes of the vocabulary and concatenates them by an ordered aggregation.
 
 Every task works alone on slices of its rows; nothing is shuffled. The vocabulary is of fixed
@@ -18,7 +19,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from itertools import chain
 
 import duckdb
 import numpy as np
@@ -32,30 +32,43 @@ from gigmesh.llm import textbytes as tb
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+#: Bytes of a piece from which a step contracts all its pairs of least rank.
+LONG = 128
 #: Distinct pieces whose tokens a task remembers; when full it starts over.
-REMEMBERED = 200_000
+REMEMBERED = 250_000
 
+#: ``p`` is a token's place: its piece above 24 bits, its first byte in the piece below. A step contracts
+#: one pair of each piece; pieces without a pair are done and leave.
 _CONTRACT = """
 WITH RECURSIVE t AS (
-  SELECT 0 AS step, w, i, tok FROM bytes_of
+  SELECT w::BIGINT << 24 | i AS p, tok, false AS done FROM bytes_of
   UNION ALL
-  (WITH pairs AS (
-     SELECT step, w, row_number() OVER spot AS i, tok, lead(tok) OVER spot AS nxt FROM t WINDOW spot AS (PARTITION BY w ORDER BY i)),
-   ranked AS (
-     SELECT pairs.*, rank, min(rank) OVER (PARTITION BY w) AS best
-     FROM pairs LEFT JOIN merges ON merges.pair = tok::BIGINT << 32 | nxt QUALIFY best IS NOT NULL),
-   runs AS (
-     SELECT *, coalesce(rank = best, false) AS hit,
-            i - coalesce(max(CASE WHEN rank = best THEN NULL ELSE i END) OVER (PARTITION BY w ORDER BY i), 0) AS nth FROM ranked),
-   kept AS (
-     SELECT *, hit AND nth % 2 = 1 AS here, coalesce(lag(hit AND nth % 2 = 1) OVER (PARTITION BY w ORDER BY i), false) AS gone FROM runs)
-   SELECT step + 1, w, i, CASE WHEN here THEN best ELSE tok END FROM kept WHERE NOT gone))
-SELECT w, list(tok ORDER BY i) AS ids
-FROM (SELECT * FROM t QUALIFY step = max(step) OVER (PARTITION BY w)) GROUP BY w
+  (WITH pairs AS (SELECT p, tok, lead(tok) OVER o AS nxt, lead(p) OVER o AS np FROM t WHERE NOT done WINDOW o AS (ORDER BY p)),
+   best AS (SELECT p >> 24 AS w, min(rank::BIGINT << 46 | p) AS top, arg_min(np, rank::BIGINT << 46 | p) AS np
+            FROM pairs JOIN merges ON merges.pair = (tok::BIGINT << 32 | nxt) WHERE p >> 24 = np >> 24 GROUP BY 1)
+   SELECT a.p, CASE WHEN a.p = (top & 70368744177663) THEN (top >> 46)::INT ELSE a.tok END, b.w IS NULL
+   FROM pairs a LEFT JOIN best b ON a.p >> 24 = b.w WHERE b.np IS NULL OR a.p <> b.np))
+SELECT p >> 24 AS w, list(tok ORDER BY p) AS ids FROM t WHERE done GROUP BY 1
+"""
+
+#: The same for long pieces: a step contracts all pairs of least rank that don't overlap, from the left.
+_CONTRACT_LONG = """
+WITH RECURSIVE t AS (
+  SELECT w::BIGINT << 24 | i AS p, tok, false AS done FROM bytes_of
+  UNION ALL
+  (WITH pairs AS (SELECT p, tok, lead(tok) OVER o AS nxt, lead(p) OVER o AS np FROM t WHERE NOT done WINDOW o AS (ORDER BY p)),
+   ranked AS (SELECT p, np, p >> 24 AS w, rank FROM pairs JOIN merges ON merges.pair = (tok::BIGINT << 32 | nxt) WHERE p >> 24 = np >> 24),
+   best AS (SELECT w, min(rank) AS best FROM ranked GROUP BY w),
+   hits AS (SELECT p, np, best, lag(np) OVER (ORDER BY p) IS DISTINCT FROM p AS fresh, row_number() OVER (ORDER BY p) AS n
+            FROM ranked JOIN best USING (w) WHERE rank = best),
+   kept AS (SELECT p, np, best FROM hits QUALIFY (n - max(CASE WHEN fresh THEN n END) OVER (ORDER BY p)) % 2 = 0)
+   SELECT a.p, coalesce(k.best, a.tok), b.w IS NULL
+   FROM pairs a LEFT JOIN best b ON a.p >> 24 = b.w LEFT JOIN kept k ON a.p = k.p LEFT JOIN kept g ON a.p = g.np WHERE g.np IS NULL))
+SELECT p >> 24 AS w, list(tok ORDER BY p) AS ids FROM t WHERE done GROUP BY 1
 """
 
 _DECODE = """
-SELECT d, unhex(string_agg(hex, '' ORDER BY at)) AS bytes FROM ids_of JOIN vocabulary USING (id) GROUP BY d
+SELECT d, unhex(string_agg(hex, '' ORDER BY spot)) AS bytes FROM ids_of JOIN vocabulary USING (id) GROUP BY d
 """
 
 
@@ -70,7 +83,7 @@ class Tables:
     def __init__(self, raw: bytes) -> None:
         self.ranks = read_ranks(raw)
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         pairs, ranks = [], []
         for token, rank in self.ranks.items():
             for k in range(1, len(token)):
@@ -82,6 +95,10 @@ class Tables:
         known = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
         self._load("vocabulary", known)
 
+    def close(self) -> None:
+        """Give the memory back: the worker lives on."""
+        self.db.close()
+
     def _load(self, name: str, table: pa.Table) -> None:
         self.db.register("incoming", table)
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM incoming").fetchall()
@@ -90,37 +107,40 @@ class Tables:
     def _ask(self, name: str, table: pa.Table, sql: str) -> pa.Table:
         self.db.register(name, table)
         try:
-            return self.db.execute(sql).to_arrow_table()
+            return self.db.sql(sql).to_arrow_table()
         finally:
             self.db.unregister(name)
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+    def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Token ids of distinct pieces."""
-        out: list[list[int]] = [[]] * len(pieces)
-        hard = []
+        out = [np.zeros(0, np.int32)] * len(pieces)
+        hard: dict[str, list[int]] = {_CONTRACT: [], _CONTRACT_LONG: []}
         for k, piece in enumerate(pieces):
             rank = self.ranks.get(piece)
             if rank is None:
-                hard.append(k)
+                hard[_CONTRACT if len(piece) <= LONG else _CONTRACT_LONG].append(k)
             else:
-                out[k] = [rank]
-        if hard:
-            lengths = np.array([len(pieces[k]) for k in hard])
-            ends = np.cumsum(lengths)
-            joined = np.frombuffer(b"".join(pieces[k] for k in hard), np.uint8)
-            rows = pa.table({
-                "w": pa.array(np.repeat(np.array(hard, np.int32), lengths)),
-                "i": pa.array(np.arange(len(joined)) - np.repeat(ends - lengths, lengths)),
-                "tok": pa.array(self.byte_ids[joined]),
-            })
-            found = self._ask("bytes_of", rows, _CONTRACT)
-            for w, ids in zip(found["w"].to_pylist(), found["ids"].to_pylist(), strict=True):
-                out[w] = ids
+                out[k] = np.array([rank], np.int32)
+        for sql, some in hard.items():
+            if some:
+                lengths = np.array([len(pieces[k]) for k in some])
+                ends = np.cumsum(lengths)
+                joined = np.frombuffer(b"".join([pieces[k] for k in some]), np.uint8)
+                rows = pa.table({
+                    "w": pa.array(np.repeat(np.arange(len(some)), lengths)),
+                    "i": pa.array(np.arange(len(joined)) - np.repeat(ends - lengths, lengths)),
+                    "tok": pa.array(self.byte_ids[joined]),
+                })
+                found = self._ask("bytes_of", rows, sql)
+                ids = found["ids"].combine_chunks()
+                bounds, flat = np.asarray(ids.offsets), np.asarray(ids.values).astype(np.int32)
+                for k, w in enumerate(found["w"].to_pylist()):
+                    out[some[w]] = flat[bounds[k] : bounds[k + 1]]
         return out
 
     def decode(self, ids: np.ndarray, owner: np.ndarray, n: int) -> list[bytes]:
         """Bytes of ``n`` id sequences; ``owner`` names the sequence of each id, in order."""
-        rows = pa.table({"d": pa.array(owner.astype(np.int32)), "at": pa.array(np.arange(len(ids))), "id": pa.array(ids.astype(np.int32))})
+        rows = pa.table({"d": pa.array(owner.astype(np.int32)), "spot": pa.array(np.arange(len(ids), dtype=np.int32)), "id": pa.array(ids.astype(np.int32))})
         found = self._ask("ids_of", rows, _DECODE)
         out = [b""] * n
         for d, raw in zip(found["d"].to_pylist(), found["bytes"].to_pylist(), strict=True):
@@ -141,14 +161,16 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN
                 pieces = [split.findall(s.text(i).decode()) for i in range(s.last - s.first)]
                 if len(known) > REMEMBERED:
                     known.clear()
-                fresh = list({p for own in pieces for p in own if p not in known})
-                known.update(zip(fresh, tables.encode_pieces([p.encode() for p in fresh]), strict=True))
-                ids = [list(chain.from_iterable([known[p] for p in own])) for own in pieces]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(s.first, s.last - s.first), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"]
-                )
+                fresh = list(set().union(*pieces).difference(known))
+                known.update((p, ids.tobytes()) for p, ids in zip(fresh, tables.encode_pieces([p.encode() for p in fresh]), strict=True))
+                ids = [b"".join(map(known.__getitem__, own)) for own in pieces]
+                ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(s.first, s.last - s.first), column], names=["doc_id", "ids"])
+        if tables:
+            tables.close()
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tokens, "doc_id bigint, ids array<int>")
+    return tb.small_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(tokens, "doc_id bigint, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -166,8 +188,10 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 owner = np.repeat(np.arange(len(ids)), np.asarray(pa.compute.fill_null(pa.compute.list_value_length(ids), 0)))
                 decoded = tables.decode(np.asarray(ids.flatten()), owner, len(ids))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
+        if tables:
+            tables.close()
 
-    return encoded.select("doc_id", "ids").mapInArrow(texts, "doc_id bigint, ids array<int>, decoded binary")
+    return tb.small_batches(encoded.select("doc_id", "ids")).mapInArrow(texts, "doc_id bigint, ids array<int>, decoded binary")
 
 
 def digests(docs: DataFrame) -> DataFrame:

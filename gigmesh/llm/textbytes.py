@@ -13,8 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 1 << 21
+#: Rows that Spark hands to a Python worker at once, unless the session says otherwise: what the
+#: JVM and the worker hold of a table is this many texts, not Spark's usual 10 000.
+BATCH_ROWS = 1000
 _BLOCK = 1 << 18
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -74,8 +78,8 @@ class Slice:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
 
-def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[Slice]:
-    """Cut a string column into runs of rows of about ``most`` bytes; nulls are empty."""
+def slices(column: pa.Array) -> Iterator[Slice]:
+    """Cut a string column into runs of rows of about ``SLICE_BYTES``; nulls are empty."""
     n = len(column)
     if n == 0:
         return
@@ -88,7 +92,7 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[Slice]:
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     at = 0
     while at < n:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, side="right")) - 1)
         end = min(end, n)
         yield Slice(at, end, raw[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
         at = end
@@ -154,3 +158,11 @@ def unused(columns: list[str], *names: str) -> list[str]:
             name = "_" + name
         out.append(name)
     return out
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches set to ``BATCH_ROWS`` where they are unset."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return df
