@@ -135,18 +135,20 @@ def score(docs: DataFrame, model: Classifier, *keep: str) -> DataFrame:
                 part = batch.slice(s.first, s.last - s.first)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(fitted.probability(measures))], names=[*keep, "score"])
 
-    return kept.mapInArrow(rate, schema)
+    return tb.small_batches(kept).mapInArrow(rate, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    # Twice the sample by a hash of the id, chosen before any text moves.
-    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labels.where("quality in (0, 1)").withColumn("no", F.row_number().over(order)).where(F.col("no") <= 2 * SAMPLE_ROWS).select("doc_id", "quality")
-    shares = {r["quality"]: r["count"] for r in labels.where("quality in (0, 1)").groupBy("quality").count().collect()}
-    # At most 4 * SAMPLE_ROWS ids: a proven bound.
+    labels = labels.where("quality in (0, 1)")
+    shares = {r["quality"]: r["count"] for r in labels.groupBy("quality").count().collect()}
+    # About twice the sample of each class by a hash of the id, chosen where the labels lie and before any text moves.
+    part = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 30))
+    limits = [F.when(F.col("quality") == k, F.lit(round(min(1.0, 2 * SAMPLE_ROWS / n) * (1 << 30)))) for k, n in shares.items()]
+    chosen = labels.where(part < F.coalesce(*limits, F.lit(0))).limit(6 * SAMPLE_ROWS)
+    # At most 6 * SAMPLE_ROWS ids: a proven bound.
     model = fit(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), shares)
     marked = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     scored = score(marked, model, "doc_id", "held_out")

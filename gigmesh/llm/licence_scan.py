@@ -116,7 +116,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataF
                     [batch.column("doc_id").slice(s.first, s.last - s.first), pa.array(found, kind)], names=["doc_id", "matches"]
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(look, f"doc_id bigint, matches array<{MATCH}>")
+    return tb.small_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(look, f"doc_id bigint, matches array<{MATCH}>")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -145,7 +145,7 @@ WITH t AS (SELECT k, licence, {grams} AS g FROM (
   SELECT k, licence, {words.format("body")} AS w FROM (VALUES {quoted}) AS v(k, licence, body))),
 lines AS (
   SELECT doc_id, n, line, strlen(text) AS size,
-         coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin
+         CAST(coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begin
   FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)),
 marked AS (SELECT *, sum(CASE WHEN line = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS block FROM lines),
 parts AS (
