@@ -18,8 +18,8 @@ named columns are read.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from gigmesh.llm import textbytes as tb
 
 #: Characters of labelled text per language that the model is fitted on.
-SAMPLE_CHARS = 3_000_000
+SAMPLE_CHARS = 1_500_000
 #: Languages that a model holds at most, the most frequent ones.
-LANGUAGES = 200
+LANGUAGES = 64
 LONGEST_GRAM = 4
 LEAST_COUNT = 2
 #: Pieces of evidence in a text beyond which the posterior gets no sharper.
@@ -53,43 +53,123 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies of words and n-grams per language, against their mean over languages."""
+    """Log frequencies of words and n-grams per language, less their mean over the languages."""
 
-    def __init__(self, texts: Iterator[tuple[str, str]], shares: dict[str, float]) -> None:
+    def __init__(self, texts: Iterable[tuple[str, str]], shares: dict[str, float]) -> None:
         self.languages = sorted(shares)
         self.prior = np.log([shares[x] for x in self.languages]) if shares else np.zeros(0)
-        k = len(self.languages)
-        place = {x: i for i, x in enumerate(self.languages)}
-        counts: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(k)) for _ in range(LONGEST_GRAM + 1)]
+        counts = [[Counter() for _ in self.languages] for _ in range(LONGEST_GRAM + 1)]
         for lang, text in texts:
-            i = place[lang]
+            i = self.languages.index(lang)
             for word, times in Counter(words(text)).items():
-                counts[0][word][i] += times
+                counts[0][i][word] += times
                 for n in range(1, LONGEST_GRAM + 1):
                     for gram in grams(word, n):
-                        counts[n][gram][i] += times
-        self.levels = [self._logs(c) for c in counts]
-
-    @staticmethod
-    def _logs(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        known = {key: c for key, c in counts.items() if c.sum() >= LEAST_COUNT}
-        if not known:
-            return {}
-        totals = np.maximum(sum(known.values()), 1)
-        return {key: np.log((c + 0.5) / (totals + 0.5 * len(known))).astype(np.float32) for key, c in known.items()}
-
-    def word_score(self, word: str) -> np.ndarray | None:
-        """Log frequency per language, less the mean over languages; nothing if no part is known."""
-        found = self.levels[0].get(word)
-        if found is None:
-            for n in range(LONGEST_GRAM, 0, -1):
-                known = [v for v in map(self.levels[n].get, grams(word, n)) if v is not None]
-                if known:
-                    found = np.mean(known, axis=0)
-                    break
-        return None if found is None else found - found.mean()
-
-    def predict(self, text: str | None, memory: dict) -> tuple[str, float]:
+                        counts[n][i][gram] += times
+        built = [self._logs(c) for c in counts]
+        self.keys = [{key: k for k, key in enumerate(keys)} for keys, _ in built]
+        self.logs = [logs for _, logs in built]
+
+    def _logs(self, counts: list[Counter]) -> tuple[list[str], np.ndarray]:
+        total = sum(counts, Counter())
+        keys = [key for key, n in total.items() if n >= LEAST_COUNT]
+        each = np.array([[c[key] for c in counts] for key in keys], np.float64).reshape(len(keys), len(counts))
+        logs = np.log((each + 0.5) / (each.sum(axis=0) + 0.5 * max(1, len(keys))))
+        return keys, (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32) if keys else logs
+
+    def word_scores(self, found: list[str]) -> np.ndarray:
+        """A row per word: its score in each language, and 1; zeros if no part of it is known."""
+        out = np.zeros((len(found), len(self.languages) + 1), np.float32)
+        left = []
+        for k, word in enumerate(found):
+            row = self.keys[0].get(word)
+            if row is None:
+                left.append(k)
+            else:
+                out[k, :-1] = self.logs[0][row]
+                out[k, -1] = 1
+        for n in range(LONGEST_GRAM, 0, -1):
+            known, rows, hit, counts, missed = self.keys[n], [], [], [], []
+            for k in left:
+                own = [known[g] for g in grams(found[k], n) if g in known]
+                if own:
+                    rows += own
+                    hit.append(k)
+                    counts.append(len(own))
+                else:
+                    missed.append(k)
+            if hit:
+                firsts = np.cumsum(counts) - counts
+                out[hit, :-1] = np.add.reduceat(self.logs[n][rows], firsts, axis=0) / np.array(counts, np.float32)[:, None]
+                out[hit, -1] = 1
+            left = missed
+        return out
+
+    def predict(self, texts: list[str], memory: Memory) -> tuple[list[str], list[float]]:
+        """Languages and scores of texts."""
+        found = [words(t) for t in texts]
+        if not self.languages:
+            return [UNKNOWN] * len(texts), [0.0] * len(texts)
+        rows = memory.rows({w for own in found for w in own}, self)
+        places = memory.places
+        flat = np.array([places[w] for own in found for w in own], np.int64)
+        bounds = np.concatenate([[0], np.cumsum([len(own) for own in found])])
+        sums = np.zeros((len(flat) + 1, rows.shape[1]))
+        np.cumsum(rows[flat], axis=0, out=sums[1:])
+        totals = sums[bounds[1:]] - sums[bounds[:-1]]
+        evidence = np.rint(totals[:, -1:])
+        logs = self.prior + totals[:, :-1] / np.maximum(evidence, 1) * np.minimum(evidence, SHARPNESS)
+        chance = np.exp(logs - logs.max(axis=1, keepdims=True))
+        best = chance.argmax(axis=1)
+        score = chance[np.arange(len(texts)), best] / chance.sum(axis=1)
+        names = [self.languages[b] if own else UNKNOWN for own, b in zip(found, best, strict=True)]
+        return names, [float(x) if own else 0.0 for own, x in zip(found, score, strict=True)]
+
+
+class Memory:
+    """Scores of words that a task has met; starts over when full."""
+
+    def __init__(self) -> None:
+        self.places: dict[str, int] = {}
+        self.table: np.ndarray | None = None
+
+    def rows(self, found: set[str], model: Model) -> np.ndarray:
+        if len(self.places) > REMEMBERED:
+            self.places, self.table = {}, None
+        fresh = [w for w in found if w not in self.places]
+        known = len(self.places)
+        scores = model.word_scores(fresh)
+        if self.table is None:
+            self.table = np.zeros((0, scores.shape[1]), np.float32)
+        if known + len(fresh) > len(self.table):
+            grown = np.zeros((max(2 * len(self.table), known + len(fresh)), scores.shape[1]), np.float32)
+            grown[:known] = self.table[:known]
+            self.table = grown
+        self.table[known : known + len(fresh)] = scores
+        self.places.update(zip(fresh, range(known, known + len(fresh)), strict=True))
+        return self.table
+
+
+def fit(labelled: DataFrame) -> Model:
+    """Fit on ``lang, text`` and a ``doc_id`` to sample by. Shares count all rows; the sample is bounded."""
+    spark = labelled.sparkSession
+    counted = labelled.groupBy("lang").agg(F.count("*").alias("count"), F.sum(F.length("text")).alias("chars"))
+    shares = counted.orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    if not shares:
+        return Model([], {})
+    # Per language, the hash below which about twice the sample's characters lie: what is beyond never moves.
+    top = (1 << 63) - 1
+    most = [(r["lang"], min(top, int(2.0 * SAMPLE_CHARS / max(1, r["chars"]) * (1 << 64)) - top)) for r in shares]
+    limits = F.broadcast(spark.createDataFrame(most, "lang string, most bigint"))  # LANGUAGES rows
+    hashed = labelled.select("lang", "doc_id", "text", F.xxhash64("doc_id").alias("h"), F.length("text").alias("size"))
+    thin = hashed.join(limits, "lang").where("h <= most")
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
+    chosen = thin.select("lang", "text", F.coalesce(F.sum("size").over(order), F.lit(0)).alias("before")).where(F.col("before") < SAMPLE_CHARS)
+    total = sum(r["count"] for r in shares)
+    return Model(((r["lang"], r["text"]) for r in chosen.toLocalIterator()), {r["lang"]: r["count"] / total for r in shares})
+
+
+def predict(self, text: str | None, memory: dict) -> tuple[str, float]:
         counted = Counter(words(text or ""))
         if not counted or not self.languages:
             return UNKNOWN, 0.0
@@ -137,19 +217,16 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema if f.name != "text") + ", lang_pred string, score double"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted, memory = shared.value, {}
+        fitted, memory = shared.value, Memory()
         for batch in batches:
             for s in tb.slices(batch.column("text")):
-                if len(memory) > REMEMBERED:
-                    memory.clear()
-                found = [fitted.predict(s.text(i).decode(), memory) for i in range(s.last - s.first)]
-                names, scores = zip(*found, strict=True)
+                names, scores = fitted.predict([s.text(i).decode() for i in range(s.last - s.first)], memory)
                 part = batch.slice(s.first, s.last - s.first)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"]
                 )
 
-    return kept.mapInArrow(score, schema)
+    return tb.small_batches(kept).mapInArrow(score, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gigmesh.llm import compression_classifier as c
@@ -31,11 +32,25 @@ def test_language_edges(spark, table, clashes):
 
 
 def test_language_backs_off_to_shorter_grams():
-    model = g.Model(iter([("a", "banana banana"), ("b", "quiz quiz")]), {"a": 0.5, "b": 0.5})
-    assert "banana" in model.levels[0] and model.word_score("banana")[0] > 0
-    assert "bananas" not in model.levels[0] and model.word_score("bananas")[0] > 0  # by its 4-grams
-    assert model.word_score("zu")[1] > 0  # by single letters
-    assert model.word_score("xyk") is None or len(model.word_score("xyk")) == 2
+    model = g.Model([("a", "banana banana"), ("b", "quiz quiz")], {"a": 0.5, "b": 0.5})
+    assert "banana" in model.keys[0] and "bananas" not in model.keys[0]
+    word, by_long, by_letter, none = model.word_scores(["banana", "bananas", "zu", "\u0436"])
+    assert word[0] > 0 > word[1] and by_long[0] > 0 and by_letter[1] > 0
+    assert "zu" not in model.keys[2] and by_letter[-1] == 1
+    # Of a word nobody knows, the spaces around it may still be known as single letters.
+    assert none[-1] in (0, 1)
+    mean = np.mean([model.logs[4][model.keys[4][x]] for x in g.grams("bananas", 4) if x in model.keys[4]], axis=0)
+    assert np.allclose(by_long[:-1], mean, atol=1e-6)
+
+
+def test_language_memory_may_start_over(table, monkeypatch):
+    model = g.Model([("a", "ana nana bana"), ("b", "quiz quit quick")] * 3, {"a": 0.5, "b": 0.5})
+    docs = table([(k, ["ana banana", "quit the quiz"][k % 2]) for k in range(40)])
+    want = {(r.doc_id, r.lang_pred, round(r.score, 9)) for r in g.predict(docs, model, "doc_id").collect()}
+    monkeypatch.setattr(g, "REMEMBERED", 1)
+    monkeypatch.setattr(g.tb, "SLICE_BYTES", 30)
+    assert {(r.doc_id, r.lang_pred, round(r.score, 9)) for r in g.predict(docs, model, "doc_id").collect()} == want
+    assert {n for _, n, _ in want} == {"a", "b"}
 
 
 def test_language_sample_is_bounded(spark, monkeypatch):
