@@ -32,12 +32,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gigmesh.llm import textbytes as tb
 from gigmesh.llm.components import components
-from gigmesh.runtime import cut_lineage
+from gigmesh.runtime import checkpoint_dir, cut_lineage
 
 WIDTH = 5
 PERCENT = 75
@@ -49,6 +50,8 @@ COUNTED, FREQUENT = 1 << 20, 3
 HEAVY = 1 << 16
 #: Members of a block of the matrix.
 BLOCK = 32
+#: Comparisons with one text that a task makes before another copy of the text is used.
+PER_COPY = 500
 
 _MULTIPLIERS = tb.mix(np.arange(101, 101 + SKETCH, dtype=np.uint64)) | np.uint64(1)
 
@@ -72,11 +75,43 @@ def _signature(runs: np.ndarray) -> bytes:
     return hashlib.blake2b(runs.tobytes(), digest_size=16).digest()
 
 
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """``rep, packed``: ids with their compressed texts, for the shuffles ahead."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shut = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for s in tb.slices(batch.column("text")):
+                texts = [shut.compress(s.text(i)) for i in range(s.last - s.first)]
+                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(s.first, s.last - s.first), pa.array(texts, pa.binary())], names=["rep", "packed"])
+
+    return tb.small_batches(docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text")).mapInArrow(pack, "rep bigint, packed binary")
+
+
+def packed_set(packed: bytes) -> np.ndarray:
+    return shingle_set(zstandard.ZstdDecompressor().decompress(packed))
+
+
+def _placed_by(df: DataFrame, key: str) -> DataFrame:
+    """A checkpoint of the distinct rows that keeps their partitioning by ``key``: joins on it move the other side only.
+
+    The adaptive planner forgets the partitioning of what it ran, so it is off for this one job.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key).distinct().checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def _long(raw: bytes) -> int:
     return int.from_bytes(raw, "little", signed=True)
 
 
-_FEATURES = "doc_id bigint, n bigint, sig bigint, sig2 bigint, sketch array<bigint>, token bigint, times bigint"
+_FEATURES = "doc_id bigint, text_key bigint, n bigint, sig bigint, sig2 bigint, sketch array<bigint>, token bigint, times bigint"
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -84,18 +119,18 @@ def features(docs: DataFrame) -> DataFrame:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in _FEATURES.split(", ")]
-        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] + [pa.int64()] * 2
+        kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] + [pa.int64()] * 2
         seen, held, size = set(), [], 0
 
         def frequent() -> pa.RecordBatch:
             tokens, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64),) * 2
             often = times >= FREQUENT
             tokens, times = tokens[often].view(np.int64), times[often].astype(np.int64)
-            none = [pa.nulls(len(tokens), k) for k in kinds[:5]]
+            none = [pa.nulls(len(tokens), k) for k in kinds[:6]]
             return pa.RecordBatch.from_arrays([*none, pa.array(tokens), pa.array(times)], names=names)
 
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, keys = batch.column("doc_id"), batch.column("text_key")
             for s in tb.slices(batch.column("text")):
                 rows = []
                 for runs in _sets(s.data, s.offsets):
@@ -107,14 +142,16 @@ def features(docs: DataFrame) -> DataFrame:
                         held.append(runs)
                         size += len(runs)
                 n, sig, sig2, sketch = zip(*rows, strict=True)
-                known = [ids.slice(s.first, s.last - s.first), *(pa.array(c, k) for c, k in zip((n, sig, sig2, sketch), kinds[1:5], strict=True))]
+                known = [c.slice(s.first, s.last - s.first) for c in (ids, keys)]
+                known += [pa.array(c, k) for c, k in zip((n, sig, sig2, sketch), kinds[2:6], strict=True)]
                 yield pa.RecordBatch.from_arrays([*known, pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64())], names=names)
                 if size >= COUNTED:
                     yield frequent()
                     seen, held, size = set(), [], 0
         yield frequent()
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(hashed, _FEATURES)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return tb.small_batches(texts).mapInArrow(hashed, _FEATURES)
 
 
 def heavy_runs(feats: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +164,11 @@ def heavy_runs(feats: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def published(docs: DataFrame, heavy) -> DataFrame:
-    """``token, sig, place``: each text's rarest runs in order, enough that linked sets share one."""
+    """``token, sig, n, room``: each text's rarest runs, enough that linked sets share one.
+
+    The first run that linked sets share leaves room for the overlap in both: its ``room``, from
+    the run's place in the text's order, is at least ``PERCENT`` times the other's size.
+    """
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, times = heavy.value
@@ -135,7 +176,7 @@ def published(docs: DataFrame, heavy) -> DataFrame:
         some[(tokens & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         for batch in batches:
             for s in tb.slices(batch.column("text")):
-                out, sigs, sizes = [], [], []
+                out, sigs, sizes, full = [], [], [], []
                 for runs in _sets(s.data, s.offsets):
                     n = len(runs)
                     if not n:
@@ -143,6 +184,7 @@ def published(docs: DataFrame, heavy) -> DataFrame:
                     first = n - -(-PERCENT * n // 100) + 1
                     sigs.append(_long(_signature(runs)[:8]))
                     sizes.append(first)
+                    full.append(n)
                     maybe = np.flatnonzero(some[(runs & np.uint64((1 << 20) - 1)).astype(np.int64)])
                     if len(maybe):
                         place = np.minimum(np.searchsorted(tokens, runs[maybe]), len(tokens) - 1)
@@ -151,21 +193,20 @@ def published(docs: DataFrame, heavy) -> DataFrame:
                         runs = runs[np.argsort(count, kind="stable")]
                     out.append(runs[:first])
                 if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(sigs, np.int64), sizes)),
-                            pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in sizes])),
-                        ],
-                        names=["token", "sig", "place"],
-                    )
+                    n = np.repeat(np.array(full, np.int64), sizes)
+                    place = np.concatenate([np.arange(x) for x in sizes])
+                    columns = [np.concatenate(out).view(np.int64), np.repeat(np.array(sigs, np.int64), sizes), n, (100 + PERCENT) * (n - place) - PERCENT * n]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "sig", "n", "room"])
 
-    return docs.select("text").mapInArrow(prefixes, "token bigint, sig bigint, place int")
+    return tb.small_batches(docs.select("text")).mapInArrow(prefixes, "token bigint, sig bigint, n bigint, room bigint")
 
 
 def _shared(rows: DataFrame, by: str) -> DataFrame:
-    """Rows whose ``token`` occurs with more than one value of ``by``."""
+    """Rows whose ``token`` occurs with more than one value of ``by`` and, by its sizes, could link."""
     w = Window.partitionBy("token")
-    return rows.select("*", F.min(by).over(w).alias("__a"), F.max(by).over(w).alias("__b")).where("__a <> __b").drop("__a", "__b")
+    known = rows.select("*", F.min(by).over(w).alias("__a"), F.max(by).over(w).alias("__b"), F.min("n").over(w).alias("__n"), F.max("room").over(w).alias("__room"))
+    fits = (F.col("__a") != F.col("__b")) & (F.col("room") >= PERCENT * F.col("__n")) & (F.col("__room") >= PERCENT * F.col("n"))
+    return known.where(fits).select(*rows.columns)
 
 
 def _needed_overlap(a, b):
@@ -186,65 +227,73 @@ def leader_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets link, by exact comparison of their texts (``rep, text``)."""
+    """The pairs ``(a, b)`` whose sets link, by exact comparison of their texts (``rep, packed``).
+
+    ``texts`` is partitioned by ``rep`` and stays where it is. One ``b`` may stand in very many
+    pairs: its text is repeated, one copy for each ``PER_COPY`` pairs.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known: dict[int, np.ndarray] = {}
+            known: dict[bytes, np.ndarray] = {}
             keep = []
-            for a, b, left, right in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "left", "right")), strict=True):
+            for sides in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
                 if len(known) > 512:
                     known.clear()
-                x = known.setdefault(a, None) if a in known else known.setdefault(a, shingle_set(left))
-                y = known.setdefault(b, None) if b in known else known.setdefault(b, shingle_set(right))
+                for packed in sides:
+                    if packed not in known:
+                        known[packed] = packed_set(packed)
+                x, y = known[sides[0]], known[sides[1]]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= PERCENT * (len(x) + len(y) - both) > 0)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(compare, "a bigint, b bigint")
+    copies = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(PER_COPY)).alias("copies"))
+    right = copies.join(texts, F.col("b") == F.col("rep")).select(
+        "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("copy"), F.col("packed").alias("right")
+    )
+    dealt = pairs.join(copies, "b").select("a", "b", F.pmod(F.xxhash64("a"), "copies").alias("copy"))
+    left = dealt.join(texts, F.col("a") == F.col("rep")).select("a", "b", "copy", F.col("packed").alias("left"))
+    return tb.small_batches(left.join(right, ["b", "copy"]).select("a", "b", "left", "right")).mapInArrow(compare, "a bigint, b bigint")
 
 
 def _blocks(nodes: DataFrame) -> DataFrame:
     """Nodes with their block of the matrix: a slot inside their group."""
-    sizes = nodes.groupBy("grp").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK)
+    sizes = nodes.groupBy("grp").agg(F.count("*").alias("members")).where("members > 1")
     slots = F.ceil(F.coalesce("members", F.lit(1)) / F.lit(BLOCK))
-    return nodes.join(sizes, "grp", "left").withColumn("slot", F.pmod(F.xxhash64("rep"), slots).cast("bigint")).drop("members")
+    placed = nodes.join(sizes, "grp", "left").withColumn("slot", F.pmod(F.xxhash64("rep"), slots).cast("bigint"))
+    return placed.withColumn("alone", F.col("members").isNull()).drop("members")
 
 
 def _bounded(queries: DataFrame, texts: DataFrame, blocks: DataFrame) -> DataFrame:
     """Queries ``(rep, grp, slot)`` whose overlap with the block's union may reach a partner."""
 
     def union(frame: pd.DataFrame) -> pd.DataFrame:
-        runs: set[int] = set()
-        for text in frame["text"]:
-            runs.update(shingle_set(text).tolist())
-        joined = np.array(sorted(runs), np.uint64).tobytes()
+        joined = np.unique(np.concatenate([packed_set(x) for x in frame["packed"]])).tobytes()
         return pd.DataFrame({"grp": frame["grp"].iloc[:1], "slot": frame["slot"].iloc[:1], "runs": [joined], "least": [int(frame["n"].min())]})
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for text, runs, least in zip(*(batch.column(c).to_pylist() for c in ("text", "runs", "least")), strict=True):
-                own = shingle_set(text)
+            for packed, runs, least in zip(*(batch.column(c).to_pylist() for c in ("packed", "runs", "least")), strict=True):
+                own = packed_set(packed)
                 both = len(np.intersect1d(own, np.frombuffer(runs, np.uint64), assume_unique=True))
                 smallest = max(least, -(-PERCENT * len(own) // 100))
                 keep.append(both >= _needed_overlap(len(own), smallest))
-            yield batch.select(["rep", "grp", "slot"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["rep", "n", "grp", "slot"]).filter(pa.array(keep, pa.bool_()))
 
     wanted = queries.select("grp", "slot").distinct()
-    members = blocks.join(wanted, ["grp", "slot"]).join(texts, "rep").select("grp", "slot", "n", "text")
+    members = blocks.join(wanted, ["grp", "slot"]).join(texts, "rep").select("grp", "slot", "n", "packed")
     unions = members.groupBy("grp", "slot").applyInPandas(union, "grp bigint, slot bigint, runs binary, least bigint")
-    asked = queries.join(unions, ["grp", "slot"]).join(texts, "rep").select("rep", "grp", "slot", "text", "runs", "least")
-    return asked.mapInArrow(reach, "rep bigint, grp bigint, slot bigint")
+    asked = queries.join(unions, ["grp", "slot"]).join(texts, "rep").select("rep", queries["n"], "grp", "slot", "packed", "runs", "least")
+    return tb.small_batches(asked).mapInArrow(reach, "rep bigint, n bigint, grp bigint, slot bigint")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, is_first`` per row; ``is_first`` marks the row that stays of a component."""
+    """``doc_id, text_key, n_shingles, component_id`` per row; ``text_key`` is the text's xxhash64."""
     sc = docs.sparkSession.sparkContext
     feats = cut_lineage(features(docs))
-    rows = feats.where("sig is not null").select("doc_id", "n", "sig", "sig2", "sketch")
+    rows = feats.where("sig is not null").select("doc_id", "text_key", "n", "sig", "sig2", "sketch")
     nodes = cut_lineage(
         rows.groupBy("sig", "sig2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     )
@@ -253,22 +302,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # Published runs that several nodes share, and the texts of those nodes.
     live = cut_lineage(_shared(published(docs, sc.broadcast(heavy_runs(feats))), "sig").distinct())
     needed = full.join(live.select("sig").distinct(), "sig", "left_semi").select("rep").distinct()
-    found = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(needed, "rep", "left_semi")
-    texts = cut_lineage(found.distinct())
+    texts = _placed_by(packed_texts(docs).join(needed.hint("merge"), "rep", "left_semi"), "rep")
 
     # Groups of similar nodes.
-    near = cut_lineage(linked(leader_pairs(full), texts))
+    near = cut_lineage(linked(cut_lineage(leader_pairs(full)), texts))
     groups = components(near.toDF("u", "v"))
     grouped = full.select("sig", "rep", "n").join(groups, F.col("rep") == F.col("node"), "left")
     placed = cut_lineage(_blocks(grouped.select("sig", "rep", "n", F.coalesce("component", "rep").alias("grp"))))
 
     # Queries across groups, through the matrix.
-    # The first shared run of linked sets stands at places that leave room for the overlap in both.
-    room = (100 + PERCENT) * (F.col("n") - F.col("place")) - PERCENT * F.col("n")
-    crossing = cut_lineage(
-        _shared(live.join(placed, "sig"), "grp").select("token", "rep", "n", "grp", "slot", room.alias("room"))
-    )
-    matrix = crossing.groupBy("token", "grp", "slot").agg(
+    crossing = cut_lineage(_shared(live.join(placed.drop("n"), "sig"), "grp"))
+    matrix = crossing.groupBy("token", "grp", "slot", "alone").agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.max("room").alias("spare")
     )
     asked = crossing.select("token", "rep", "n", "room", F.col("grp").alias("own"))
@@ -278,29 +322,32 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         & (F.col("room") >= PERCENT * F.col("least")) & (100 * F.col("room") >= PERCENT * PERCENT * F.col("n"))
         & (PERCENT * F.col("n") <= 100 * F.col("most")) & (PERCENT * F.col("least") <= 100 * F.col("n"))
     )
-    queries = cut_lineage(asked.join(matrix, "token").where(fits).select("rep", "grp", "slot").distinct())
-    opened = _bounded(queries, texts, placed)
-    sized = opened.join(placed.select("rep", F.col("n").alias("x")).distinct(), "rep").select(F.col("rep").alias("a"), "x", "grp", "slot")
+    queries = cut_lineage(asked.join(matrix, "token").where(fits).select("rep", "n", "grp", "slot", "alone").distinct())
+    # The union of a block of one is that member: opening it is the bound.
+    opened = queries.where("alone").select("rep", "n", "grp", "slot").union(_bounded(queries.where("not alone"), texts, placed))
     members = placed.select(F.col("rep").alias("b"), F.col("n").alias("y"), "grp", "slot")
-    across = linked(sized.join(members, ["grp", "slot"]).where(_sizes_fit("x", "y")).select("a", "b").distinct(), texts)
+    sized = opened.select(F.col("rep").alias("a"), F.col("n").alias("x"), "grp", "slot").join(members, ["grp", "slot"])
+    across = linked(cut_lineage(sized.where(_sizes_fit("x", "y")).select("a", "b").distinct()), texts)
 
     links = components(near.union(across).toDF("u", "v"))
     ids = nodes.select("sig", "sig2", "rep").join(links, F.col("rep") == F.col("node"), "left")
     ids = ids.select("sig", "sig2", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("doc_id", "n", "sig", "sig2").join(ids, ["sig", "sig2"])
+    out = rows.select("doc_id", "text_key", "n", "sig", "sig2").join(ids, ["sig", "sig2"])
     # Empty sets share a signature but link with nothing.
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, the one with the smallest id."""
-    first = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(first, F.col("doc_id") == F.col("__kept"), "left_semi")
+    """One document of each component stays, the one with the smallest id; rows that repeat id and text are one document."""
+    first = jaccard_components(docs).where("doc_id <=> component_id").select("doc_id", "text_key").distinct()
+    doc, key = tb.unused(docs.columns, "kept_id", "kept_key")
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key))
+    return docs.join(first.toDF(doc, key).hint("merge"), same, "left_semi")
 
 
 #: Pairs of the check share an exact run; small tables only, as SQL joins all runs.
