@@ -4,8 +4,14 @@ Normalising lower-cases A-Z and keeps words of letters, digits and non-ASCII cha
 kinds of segments are compared with every template: each line, each paragraph (lines up to an
 empty one) of several lines, and the whole text of several paragraphs. A bigram set of size b
 reaches ``LEAST`` with one of size t only if LEAST / (2 - LEAST) * t <= b <= (2 - LEAST) / LEAST * t;
-templates outside these bounds are never compared, and neither are segments without a
-bigram of any template.
+templates outside these bounds are never compared, and neither are segments of which less than
+LEAST / (2 - LEAST) of the bigrams are in any template.
+
+Licences of several lines or paragraphs inside a longer text are found as windows: runs of
+consecutive lines within the size bounds. Only templates of which the text has LEAST / (2 - LEAST)
+of the bigrams are tried; per first line the best run counts, the shortest on ties. Windows are
+taken by coefficient times shared bigrams, unless they touch a window of the same template or lie
+by more than half in matches taken before, lines, paragraphs and whole text first.
 
 A segment's licence is the template with the highest coefficient, the longer one on ties, then
 the first listed. Null and empty texts, and segments of fewer than two words, match nothing.
@@ -52,6 +58,10 @@ class Templates:
         self.sets, self.names, self.order = ([x[k] for x in sets] for k in range(3))
         self.sizes = np.array([len(x) for x in self.sets])
         self.any = np.unique(np.concatenate(self.sets)) if sets else np.zeros(0, np.uint64)
+        # Per bigram of `any`, the templates that have it.
+        places = np.concatenate([np.searchsorted(self.any, x) for x in self.sets]) if sets else np.zeros(0, np.int64)
+        self.owners = np.repeat(np.arange(len(sets)), self.sizes)[np.argsort(places, kind="stable")]
+        self.bounds = np.concatenate([[0], np.cumsum(np.bincount(places, minlength=len(self.any)))])
 
     def known(self, grams: np.ndarray) -> np.ndarray:
         if not len(self.any):
@@ -61,6 +71,8 @@ class Templates:
     def best(self, grams: np.ndarray) -> tuple[float, str] | None:
         """Score and licence of the best template that the sizes allow."""
         b = len(grams)
+        if self.known(grams).sum() < LEAST / (2 - LEAST) * b - 1e-9:
+            return None
         lo = np.searchsorted(self.sizes, b * LEAST / (2 - LEAST) - 1e-9)
         hi = np.searchsorted(self.sizes, b * (2 - LEAST) / LEAST + 1e-9, side="right")
         top = None
@@ -72,23 +84,105 @@ class Templates:
         return (top[0][0], top[1]) if top else None
 
 
-def _segments(text: np.ndarray) -> list[tuple[int, int]]:
-    """Byte spans of lines, of paragraphs of several lines and of the whole text."""
+    def within(self, grams: np.ndarray) -> np.ndarray:
+        """Templates of which a text with these distinct bigrams has enough to hold a match."""
+        at = np.searchsorted(self.any, grams[self.known(grams)])
+        first, count = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
+        which = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+        shared = np.bincount(self.owners[which], minlength=len(self.sets))
+        return np.flatnonzero(shared >= LEAST / (2 - LEAST) * self.sizes - 1e-9)
+
+
+def _windows(known: Templates, hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[tuple[float, float, int, int, int]]:
+    """Rank, score, template, first and last line of runs of lines that reach ``LEAST``; lines are bounds in the words."""
+    grams = tb.windows(hashes, 2)
+    distinct, inverse = np.unique(grams, return_inverse=True)
+    tried = known.within(distinct)
+    if not len(tried):
+        return []
+    n = len(grams)
+    order = np.argsort(inverse, kind="stable")
+    same = inverse[order[1:]] == inverse[order[:-1]]
+    before = np.full(n, -1)
+    before[order[1:][same]] = order[:-1][same]
+    final = np.ones(n, bool)
+    final[order[:-1][same]] = False
+    out = []
+    for k in tried.tolist():
+        size = int(known.sizes[k])
+        most = size * (2 - LEAST) / LEAST + 1e-9
+        mine = np.isin(distinct, known.sets[k], assume_unique=True)[inverse]
+        hits = np.concatenate([[0], np.cumsum(mine)])
+        ends = np.flatnonzero(mine & final)
+        for i in np.flatnonzero(hits[np.minimum(last, n)] > hits[np.minimum(first, n)]).tolist():
+            a = int(first[i])
+            left = len(ends) - int(np.searchsorted(ends, a))
+            if left < LEAST / (2 - LEAST) * size - 1e-9:
+                break
+            width = 2 * int(most) + 64
+            while True:
+                new = before[a : a + width] < a
+                b, shared = np.cumsum(new), np.cumsum(new & mine[a : a + width])
+                if a + width >= n or b[-1] > most or shared[-1] == left:
+                    break
+                width *= 2
+            # Bigrams of the runs from line i to each later line.
+            j = i + int(np.searchsorted(last[i:], a + 2))
+            stop = max(j, int(np.searchsorted(last, a + len(b) + 1, side="right")))
+            if stop == j:
+                continue
+            upto = last[j:stop] - 2 - a
+            dice = 2 * shared[upto] / (b[upto] + size)
+            best = int(np.argmax(dice))
+            if dice[best] >= LEAST:
+                out.append((float(dice[best] * shared[upto[best]]), float(dice[best]), k, i, j + best))
+    return out
+
+
+def _embedded(known: Templates, hashes: np.ndarray, starts: np.ndarray, lines: list[tuple[int, int]], matches: list[dict]) -> list[dict]:
+    """Windows of one text that are no copies of each other or of ``matches``; words start at ``starts``."""
+    spans = np.array(lines)
+    first, last = np.searchsorted(starts, spans[:, 0]), np.searchsorted(starts, spans[:, 1])
+    filled = last > first
+    spans, first, last = spans[filled], first[filled], last[filled]
+    found = _windows(known, hashes, first, last)
+    found.sort(key=lambda x: (-x[0], -x[1], known.order[x[2]], x[3]))
+    taken = [(m["begin"], m["finish"]) for m in matches]
+    own: dict[int, list[tuple[int, int]]] = {}
+    out = []
+    for _, score, k, i, j in found:
+        begin, finish = int(spans[i, 0]), int(spans[j, 1])
+        if any(a < finish and begin < b for a, b in own.get(k, ())):
+            continue
+        covered, at = 0, begin
+        for a, b in sorted(taken):
+            covered += max(0, min(b, finish) - max(a, at))
+            at = max(at, min(b, finish))
+        if 2 * covered > finish - begin:
+            continue
+        own.setdefault(k, []).append((begin, finish))
+        taken.append((begin, finish))
+        out.append({"licence": known.names[k], "score": score, "begin": begin, "finish": finish})
+    return out
+
+
+def _segments(text: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Byte spans of lines; of paragraphs of several lines and of the whole text."""
     breaks = np.flatnonzero(text == _NEWLINE)
     begins, ends = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(text)]])
     filled = ends > begins
     lines = list(zip(begins[filled].tolist(), ends[filled].tolist(), strict=True))
     if not lines:
-        return []
+        return [], []
     new = np.flatnonzero(np.diff(np.concatenate([[False], filled]).astype(np.int8)) == 1)
     last = np.flatnonzero(np.diff(np.concatenate([filled, [False]]).astype(np.int8)) == -1)
     paragraphs = [(int(begins[a]), int(ends[b])) for a, b in zip(new, last, strict=True) if b > a]
     whole = [(lines[0][0], lines[-1][1])] if len(new) > 1 else []
-    return lines + paragraphs + whole
+    return lines, paragraphs + whole
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """``doc_id, matches``: licence, score and byte span of every matching segment of the whole text."""
+    """``doc_id, matches``: licence, score and byte span of every matching segment and window of the whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(templates)  # of fixed size
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,12 +199,15 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataF
                     mine = []
                     if b - a > 1 and total[b - 1] > total[a]:
                         base = s.offsets[i]
-                        for begin, finish in _segments(s.data[base : s.offsets[i + 1]]):
+                        lines, longer = _segments(s.data[base : s.offsets[i + 1]])
+                        for begin, finish in lines + longer:
                             u, v = np.searchsorted(starts, [base + begin, base + finish])
                             if v - u > 1 and total[v - 1] > total[u]:
                                 best = known.best(bigrams(hashes[u:v]))
                                 if best:
                                     mine.append({"licence": best[1], "score": best[0], "begin": begin, "finish": finish})
+                        if len(lines) > 1:
+                            mine += _embedded(known, hashes[a:b], starts[a:b] - base, lines, mine)
                     found.append(mine)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(s.first, s.last - s.first), pa.array(found, kind)], names=["doc_id", "matches"]

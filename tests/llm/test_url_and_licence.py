@@ -70,3 +70,65 @@ def test_scan_edges(table, clashes):
     assert {m.licence for m in out[5]} >= {"MIT"} and max(m.score for m in out[5]) == 1.0
     assert max(m.score for m in out[6]) == 1.0 and out[None][0].licence == "Proprietary"
     assert s.scan(table([])).count() == 0
+
+
+def full(licence):
+    return max((t for name, t in s.TEMPLATES if name == licence), key=len)
+
+
+def wrapped(text, *breaks):
+    """Lines of twelve words; an empty line before each of ``breaks``."""
+    text = " ".join(text.split())
+    for b in breaks:
+        assert b in text
+        text = text.replace(b, "\n\n" + b)
+    return "\n\n".join("\n".join(" ".join(w[k : k + 12]) for k in range(0, len(w), 12)) for w in (p.split() for p in text.split("\n\n")))
+
+
+def test_whole_licences_inside_longer_texts(table, invent):
+    gpl = next(t for name, t in s.TEMPLATES if name == "GPL-3.0" and t.startswith("This program"))
+    bodies = {
+        "BSD-2-Clause": wrapped(full("BSD-2-Clause"), "1. Redis", "2. Redis", "THIS SOFTWARE IS"),
+        "BSD-3-Clause": wrapped(full("BSD-3-Clause"), "1. Redis", "2. Redis", "3. Neither", "THIS SOFTWARE IS"),
+        "MIT": wrapped(s.TEMPLATES[4][1], "The above copyright", "THE SOFTWARE IS"),
+        "GPL-3.0": wrapped(gpl, "This program is distributed", "You should have"),
+        "Unlicense": wrapped(full("Unlicense"), "In jurisdictions", "THE SOFTWARE IS"),
+        "Apache-2.0": wrapped(full("Apache-2.0"), "TERMS AND"),
+        "GPL-2.0": wrapped(full("GPL-2.0"), "Preamble", "NO WARRANTY"),
+        "MPL-2.0": wrapped(full("MPL-2.0"), "2. License Grants", "3. Responsibilities"),
+        "LGPL-3.0": wrapped(full("LGPL-3.0"), "1. Exception", "3. Object Code", "5. Combined"),
+    }
+    rows = []
+    for k, body in enumerate(bodies.values()):
+        head, tail = (wrapped(" ".join(invent(400, 50 * n + k))) for n in (1, 2))
+        rows.append((k, f"{head}\n\n{body}\n\n{tail}"))
+    twice = bodies["MIT"] + "\n\n" + bodies["MIT"]
+    rows.append((99, f"some words\n\n{twice}\n\n{wrapped(' '.join(invent(900, 5)))}"))
+    out = {r.doc_id: r.matches for r in s.scan(table(rows)).collect()}
+    for k, (licence, body) in enumerate(bodies.items()):
+        best = max(out[k], key=lambda m: m.finish - m.begin)
+        at = rows[k][1].index(body)
+        assert best.licence == licence and best.score >= s.LEAST, (licence, out[k])
+        assert min(best.finish, at + len(body)) - max(best.begin, at) > 0.8 * len(body)
+        if len(body) < 3000:  # no line, paragraph or whole text is close to these
+            assert best.score > 0.98 and at <= best.begin and best.finish <= at + len(body)
+    assert [m.licence for m in out[99]] == ["MIT", "MIT"]
+
+
+def test_windows_are_the_best_runs_of_lines(invent):
+    licence = "one two three four five six seven eight nine ten"
+    known = s.Templates([("L", licence)])
+    for seed in range(40):
+        words = invent(6, seed) + licence.split() + invent(6, seed + 100) + licence.split()[seed % 5 :]
+        cuts = [k for k in range(1, len(words)) if (k * 7 + seed) % 3 == 0]
+        lines = [words[a:b] for a, b in zip([0, *cuts], [*cuts, len(words)], strict=True)]
+        raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+        bounds = np.array([0, *cuts, len(words)])
+        got = s._windows(known, s._words(raw, np.array([0, len(raw)]))[3], bounds[:-1], bounds[1:])
+        runs = {}
+        for i in range(len(lines)):
+            for j in range(i, len(lines)):
+                mine, t = grams(" ".join(sum(lines[i : j + 1], []))), grams(licence)
+                runs[i, j] = 2 * len(mine & t) / (len(mine) + len(t))
+        assert got and max(x[1] for x in got) == max(runs.values())
+        assert all(abs(runs[i, j] - score) < 1e-12 for _, score, _, i, j in got)
