@@ -169,47 +169,6 @@ def fit(labelled: DataFrame) -> Model:
     return Model(((r["lang"], r["text"]) for r in chosen.toLocalIterator()), {r["lang"]: r["count"] / total for r in shares})
 
 
-def predict(self, text: str | None, memory: dict) -> tuple[str, float]:
-        counted = Counter(words(text or ""))
-        if not counted or not self.languages:
-            return UNKNOWN, 0.0
-        total, n = np.zeros(len(self.languages)), 0
-        for word, times in counted.items():
-            if word not in memory:
-                memory[word] = self.word_score(word)
-            found = memory[word]
-            if found is not None:
-                total += times * found
-                n += times
-        logs = self.prior + (total / n * min(n, SHARPNESS) if n else 0)
-        chance = np.exp(logs - logs.max())
-        best = int(np.argmax(chance))
-        return self.languages[best], float(chance[best] / chance.sum())
-
-
-def fit(labelled: DataFrame) -> Model:
-    """Fit on ``lang, text`` and a ``doc_id`` to sample by. Shares count all rows; the sample is bounded."""
-    shares = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    total = sum(r["count"] for r in shares)
-    # The smallest hashes by running length: rows beyond the bound never leave their task's top.
-    order = Window.partitionBy("lang").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    hashed = labelled.select("lang", "doc_id", "text", F.xxhash64("doc_id").alias("h"), F.length("text").alias("size"))
-    thin = hashed.join(_thresholds(hashed), "lang").where("h <= most")
-    chosen = thin.select("lang", "text", F.coalesce(F.sum("size").over(order), F.lit(0)).alias("before")).where(F.col("before") < SAMPLE_CHARS)
-    known = {r["lang"] for r in shares}
-    rows = ((r["lang"], r["text"]) for r in chosen.toLocalIterator() if r["lang"] in known)
-    return Model(rows, {r["lang"]: r["count"] / total for r in shares})
-
-
-def _thresholds(hashed: DataFrame) -> DataFrame:
-    """Per language, the hash below which about twice the sample's characters lie."""
-    sizes = hashed.groupBy("lang").agg(F.sum("size").alias("chars"))
-    share = F.least(F.lit(1.0), F.lit(2.0 * SAMPLE_CHARS) / F.col("chars"))
-    span = float(1 << 64)
-    cut = F.when(share >= 1, F.lit((1 << 63) - 1)).otherwise((share * F.lit(span) - F.lit(span / 2)).cast("bigint"))
-    return sizes.select("lang", cut.alias("most")).hint("merge")
-
-
 def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """``keep`` columns, ``lang_pred`` and ``score`` of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

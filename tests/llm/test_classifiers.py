@@ -1,3 +1,4 @@
+import tempfile
 import zlib
 
 import numpy as np
@@ -53,6 +54,38 @@ def test_language_memory_may_start_over(table, monkeypatch):
     assert {n for _, n, _ in want} == {"a", "b"}
 
 
+def test_language_sample_shuffles_no_text_beyond_it(spark, monkeypatch):
+    monkeypatch.setattr(g, "SAMPLE_CHARS", 200)
+    seen = []
+    monkeypatch.setattr(g, "Model", lambda texts, shares: seen.extend(texts))
+    frames = []
+    monkeypatch.setattr(type(spark.range(0)), "toLocalIterator", lambda df, *a, **b: frames.append(df) or iter(df.collect()))
+    labelled = spark.range(4000).selectExpr("id doc_id", "if(id % 4 = 0, 'de', 'en') lang", "concat('some words ', id) text")
+    path = f"{tempfile.mkdtemp(prefix='spark-')}/labelled"
+    labelled.write.parquet(path)
+    g.fit(spark.read.parquet(path))
+    assert 0 < sum(len(r[1]) for r in seen) < 500
+    plan = frames[0]._jdf.queryExecution().executedPlan()
+    assert "SortMergeJoin" not in plan.toString() and "BroadcastHashJoin" in plan.toString()
+    moved = [int(x.replace(",", "")) for x in _shuffled(plan)]
+    assert moved and max(moved) < 200
+
+
+def _shuffled(node):
+    """Rows that exchanges of an executed plan wrote."""
+    name = node.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        yield from _shuffled(node.executedPlan())
+    elif name.endswith("QueryStageExec"):
+        yield from _shuffled(node.plan())
+    else:
+        if name == "ShuffleExchangeExec":
+            yield str(node.metrics().apply("shuffleRecordsWritten").value())
+        below = node.children()
+        for k in range(below.size()):
+            yield from _shuffled(below.apply(k))
+
+
 def test_language_sample_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(g, "SAMPLE_CHARS", 50)
     rows = [(k, "en", "alpha beta gamma") for k in range(500)]
