@@ -6,8 +6,8 @@ scores the word by the mean of these n-grams. A text's score is the posterior of
 language under the mean word score and the languages' shares.
 
 The model is fitted on a bounded sample of labelled rows: per language, texts in the order of
-a hash of their id up to ``SAMPLE_CHARS`` characters, each taken whole (a longer first one is
-taken too). Words seen once say nothing and are left to the n-grams. Ids and sources are no
+a hash of their id up to ``SAMPLE_CHARS`` characters (fewer beyond ``FULL_SAMPLES`` languages), each
+taken whole (a longer first one is taken too). Words seen once say nothing and are left to the n-grams. Ids and sources are no
 input of a prediction.
 
 Null texts and texts without a letter are `und` with score 0; so is every text when nothing
@@ -24,15 +24,15 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from gigmesh.llm import textbytes as tb
 
 #: Characters of labelled text per language that the model is fitted on.
 SAMPLE_CHARS = 1_500_000
-#: Languages that a model holds at most, the most frequent ones.
-LANGUAGES = 64
+#: Languages up to which each gets the whole sample. Every label that occurs is learned.
+FULL_SAMPLES = 64
 LONGEST_GRAM = 4
 LEAST_COUNT = 2
 #: Pieces of evidence in a text beyond which the posterior gets no sharper.
@@ -59,8 +59,9 @@ class Model:
         self.languages = sorted(shares)
         self.prior = np.log([shares[x] for x in self.languages]) if shares else np.zeros(0)
         counts = [[Counter() for _ in self.languages] for _ in range(LONGEST_GRAM + 1)]
+        place = {lang: i for i, lang in enumerate(self.languages)}
         for lang, text in texts:
-            i = self.languages.index(lang)
+            i = place[lang]
             for word, times in Counter(words(text)).items():
                 counts[0][i][word] += times
                 for n in range(1, LONGEST_GRAM + 1):
@@ -71,9 +72,17 @@ class Model:
         self.logs = [logs for _, logs in built]
 
     def _logs(self, counts: list[Counter]) -> tuple[list[str], np.ndarray]:
-        total = sum(counts, Counter())
+        total = Counter()
+        for c in counts:
+            total.update(c)
         keys = [key for key, n in total.items() if n >= LEAST_COUNT]
-        each = np.array([[c[key] for c in counts] for key in keys], np.float64).reshape(len(keys), len(counts))
+        rows = {key: k for k, key in enumerate(keys)}
+        each = np.zeros((len(keys), len(counts)))
+        for i, c in enumerate(counts):
+            own = [(rows[key], n) for key, n in c.items() if key in rows]
+            if own:
+                at, times = zip(*own, strict=True)
+                each[list(at), i] = times
         logs = np.log((each + 0.5) / (each.sum(axis=0) + 0.5 * max(1, len(keys))))
         return keys, (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32) if keys else logs
 
@@ -152,21 +161,33 @@ class Memory:
 
 def fit(labelled: DataFrame) -> Model:
     """Fit on ``lang, text`` and a ``doc_id`` to sample by. Shares count all rows; the sample is bounded."""
-    spark = labelled.sparkSession
-    counted = labelled.groupBy("lang").agg(F.count("*").alias("count"), F.sum(F.length("text")).alias("chars"))
-    shares = counted.orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counted = labelled.groupBy("lang").agg(
+        F.count("*").alias("count"), F.sum(F.length("text")).alias("chars"), F.min(F.xxhash64("doc_id")).alias("least")
+    )
+    shares = counted.orderBy("lang").collect()  # one row per label
     if not shares:
         return Model([], {})
-    # Per language, the hash below which about twice the sample's characters lie: what is beyond never moves.
+    total = sum(r["count"] for r in shares)
+    return Model(((r["lang"], r["text"]) for r in sample(labelled, shares).toLocalIterator()), {r["lang"]: r["count"] / total for r in shares})
+
+
+def sample(labelled: DataFrame, shares: list[Row]) -> DataFrame:
+    """``lang, text`` of the sample; ``shares`` has the characters and the least hash of each language."""
+    chars = sample_chars(len(shares))
+    # Per language, the hash below which about twice the sample's characters lie, and one text at least:
+    # what is beyond never moves.
     top = (1 << 63) - 1
-    most = [(r["lang"], min(top, int(2.0 * SAMPLE_CHARS / max(1, r["chars"]) * (1 << 64)) - top)) for r in shares]
-    limits = F.broadcast(spark.createDataFrame(most, "lang string, most bigint"))  # LANGUAGES rows
+    most = [(r["lang"], max(r["least"], min(top, int(2.0 * chars / max(1, r["chars"]) * (1 << 64)) - top))) for r in shares]
+    limits = F.broadcast(labelled.sparkSession.createDataFrame(most, "lang string, most bigint"))
     hashed = labelled.select("lang", "doc_id", "text", F.xxhash64("doc_id").alias("h"), F.length("text").alias("size"))
     thin = hashed.join(limits, "lang").where("h <= most")
     order = Window.partitionBy("lang").orderBy("h", "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
-    chosen = thin.select("lang", "text", F.coalesce(F.sum("size").over(order), F.lit(0)).alias("before")).where(F.col("before") < SAMPLE_CHARS)
-    total = sum(r["count"] for r in shares)
-    return Model(((r["lang"], r["text"]) for r in chosen.toLocalIterator()), {r["lang"]: r["count"] / total for r in shares})
+    return thin.select("lang", "text", F.coalesce(F.sum("size").over(order), F.lit(0)).alias("before")).where(F.col("before") < chars).drop("before")
+
+
+def sample_chars(languages: int) -> int:
+    """Characters per language: beyond ``FULL_SAMPLES`` languages fewer, by the square, as a model has keys times languages."""
+    return max(1, int(SAMPLE_CHARS * min(1.0, FULL_SAMPLES / languages) ** 2))
 
 
 def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:

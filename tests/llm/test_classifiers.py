@@ -54,6 +54,18 @@ def test_language_memory_may_start_over(table, monkeypatch):
     assert {n for _, n, _ in want} == {"a", "b"}
 
 
+def test_every_label_is_learned(spark, invent, monkeypatch):
+    texts = {f"l{k:03}": " ".join(invent(2, 500 + k) * 3 + [f"{chr(0x4E00 + k)}{chr(0x5000 + k)}"] * 4) for k in range(100)}
+    rows = [(k * 3 + n, lang, text) for k, (lang, text) in enumerate(texts.items()) for n in range(1 + (k < 64))]
+    labelled = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    model = g.fit(labelled)
+    assert model.languages == sorted(texts)
+    monkeypatch.setattr(g, "SAMPLE_CHARS", 1)  # one text of each is left
+    out = g.predict(labelled, g.fit(labelled), "lang").collect()
+    assert len(out) == len(rows) and all(r.lang == r.lang_pred for r in out)
+    assert g.sample_chars(64) == g.sample_chars(1) and g.sample_chars(128) * 128**2 <= g.SAMPLE_CHARS * 64**2 + 128**2
+
+
 def test_language_sample_shuffles_no_text_beyond_it(spark, monkeypatch):
     monkeypatch.setattr(g, "SAMPLE_CHARS", 200)
     seen = []
