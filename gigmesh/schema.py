@@ -55,11 +55,11 @@ COLUMNS = [
 ]
 
 
-def as_listings(df: DataFrame, **values: Column) -> DataFrame:
+def as_listings(df: DataFrame, carry: tuple[str, ...] = (), **values: Column) -> DataFrame:
     """Project payload rows to listing columns.
 
     ``values`` gives listing columns; the rest take their defaults. ``seq`` is
-    kept when present, ``id`` is derived when not given.
+    kept when present, ``id`` is derived when not given. Columns in ``carry`` are kept too.
     """
     cols = {"date": values["date"] if "date" in values else F.col("date")}
     for name, default in defaults().items():
@@ -68,8 +68,8 @@ def as_listings(df: DataFrame, **values: Column) -> DataFrame:
     keep = [values[name].alias(name) for name in extra]
     if "seq" in df.columns and "seq" not in values:
         keep.append(F.col("seq"))
-    out = df.select(*keep, *[c.alias(n) for n, c in cols.items()])
-    out = computed_once(out, *[n for n in out.columns if n != "seq"])
+    out = df.select(*keep, *[c.alias(n) for n, c in cols.items()], *carry)
+    out = computed_once(out, *[n for n in out.columns if n != "seq" and n not in carry])
     return out if "id" in values else with_id(out)
 
 

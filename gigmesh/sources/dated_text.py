@@ -190,8 +190,9 @@ def session_listings(df: DataFrame, as_of, html: str = "html") -> DataFrame:
     rows = runs.select("seq", "pos", "heading", "closed_by", venue_line.alias("vline"), F.flatten(F.transform(named, lambda x: text.split_bands(x["s"]))).alias("billed"))
     other, town = strip(F.regexp_extract("vline", SKA_ADDRESS, 1)), F.regexp_extract("vline", SKA_ADDRESS, 2)
     clock = F.regexp_extract("heading", r"(?i)(\d{1,2}:\d{2}\s*[ap]m)", 1)
-    out = as_listings(
-        rows, seq=_seq(), date=dates.month_day(C("heading"), as_of).cast("timestamp_ntz"),
+    rows = rows.withColumn("page", C("seq")).withColumn("unchecked", C("closed_by") == "heading")
+    tagged = as_listings(
+        rows, carry=("page", "unchecked"), seq=_seq(), date=dates.month_day(C("heading"), as_of).cast("timestamp_ntz"),
         venue_id=F.coalesce(vid, F.nullif(text.slug(other, "runs"), F.lit("")), F.lit("unknown")),
         venue_name=F.coalesce(name, F.nullif(other, F.lit("")), F.lit("Unknown Venue")),
         venue_location=F.coalesce(city, F.nullif(town, F.lit("")), F.lit(fx.DEFAULT_LOCATION)),
@@ -199,11 +200,9 @@ def session_listings(df: DataFrame, as_of, html: str = "html") -> DataFrame:
         time=F.when(clock == "", F.lit(fx.DEFAULT_TIME)).otherwise(F.replace(F.lower(clock), F.lit(" "), F.lit(""))),
         source=F.lit("scrape:boston_ska"), genre_tags=text.literal_array(["ska", "punk", "reggae"]),
     ).where(C("date").isNotNull() & (F.size("bands") > 0) & (F.to_date("date") >= temporal.as_date(as_of)))
-    ends = rows.select(_seq().alias("seq"), (C("closed_by") == "heading").alias("unchecked"))
-    tagged = out.join(ends, "seq")
-    key = [F.floor(C("seq") / 100000), F.to_date("date"), F.lower(F.element_at("bands", 1)), C("venue_id")]
+    key = [C("page"), F.to_date("date"), F.lower(F.element_at("bands", 1)), C("venue_id")]
     checked = grouping.first_seen(tagged.where(~C("unchecked")), key)
-    return checked.unionByName(tagged.where("unchecked")).drop("unchecked")
+    return checked.unionByName(tagged.where("unchecked")).drop("page", "unchecked")
 
 
 def pub_listings(df: DataFrame, as_of, html: str = "html") -> DataFrame:
@@ -291,14 +290,14 @@ def context_listings(df: DataFrame, as_of, html: str = "html") -> DataFrame:
     f = lines.around(arr, "lines", dated, before=2, after=5)
     f = f.withColumn("found", context_fields(C("previous"), C("line"), C("following")))
     out = as_listings(
-        f.where(C("found.band").isNotNull()),
+        f.where(C("found.band").isNotNull()).withColumn("page", C("seq")), carry=("page",),
         seq=_seq(), date=F.coalesce(dates.month_day(C("line"), as_of), dates.slashed(C("line"), as_of)).cast("timestamp_ntz"),
         venue_id=F.lit("falloutshelter"), venue_name=F.lit("The Fallout Shelter"), venue_location=F.lit("Norwood"),
         bands=F.array("found.band"), price_advance=C("found.price"), time=C("found.time"),
         source=F.lit("fallout_shelter"),
     )
-    key = [F.floor(C("seq") / 100000), F.to_date("date"), F.element_at("bands", 1)]
-    return grouping.first_seen(out.where(C("date").isNotNull()), key)
+    key = [C("page"), F.to_date("date"), F.element_at("bands", 1)]
+    return grouping.first_seen(out.where(C("date").isNotNull()), key).drop("page")
 
 
 def next_line_listings(df: DataFrame, as_of, html: str = "html") -> DataFrame:

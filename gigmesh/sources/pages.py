@@ -127,6 +127,12 @@ def extract(df: DataFrame, source: PageSource, now="1970-01-01", html: str = "ht
     The first strategy that finds any listing in a page is used for that page: every
     strategy's rows carry its rank and only the best rank per page stays.
     """
+    out = _page_rows(df, source, now, html).drop("page")
+    return grouping.first_seen(out, source.keys) if source.keys else out
+
+
+def _page_rows(df: DataFrame, source: PageSource, now, html: str) -> DataFrame:
+    """Listings with the ``page`` that holds them, before the first per key is chosen."""
     out = None
     df = settled(df.select("seq", html), html)
     for rank, (start, fields) in enumerate(zip(source.starts, source.fields)):
@@ -137,18 +143,19 @@ def extract(df: DataFrame, source: PageSource, now="1970-01-01", html: str = "ht
         rows = computed_once(rows, "v").where(C("v.date").isNotNull() & (F.size("v.bands") > 0)).withColumn("rank", F.lit(rank))
         rows = as_listings(
             rows.select(C("seq").alias("page"), "i", "rank", "v"),
+            carry=("page",),
             seq=(C("page") * 100000 + C("i")).cast("bigint"),
             **{k: (C(f"v.{k}").cast("timestamp_ntz") if k == "date" else C(f"v.{k}")) for k in values},
         ).withColumn("rank", F.lit(rank))
         out = rows if out is None else out.unionByName(rows)
     if len(source.starts) > 1:
         # All rows of a page fit one cell of the input, so the window partition is small.
-        best = F.min("rank").over(Window.partitionBy(F.floor(C("seq") / 100000)))
+        best = F.min("rank").over(Window.partitionBy("page"))
         out = out.withColumn("best", best).where(C("rank") == C("best")).drop("best")
     out = out.drop("rank")
     if source.window:
         out = filters.lookahead(out, now, source.window)
-    return grouping.first_seen(out, source.keys) if source.keys else out
+    return out
 
 
 # -- keys and words (fixed values) -----------------------------------------------------
@@ -662,9 +669,9 @@ def tour_site_listings(df: DataFrame, now="1970-01-01", html: str = "html", venu
     spark = df.sparkSession
     venues = spark.createDataFrame(TOUR_SITE_VENUES, "vid string, vname string, city string, number string, age string")
     upcoming = df.withColumn(html, F.regexp_replace(html, r"(?is)<h2\b[^>]*>[^<]*past.*$", ""))
-    rows = extract(upcoming.select("seq", html), _keyless(page_sources()["songkick_venues"]), now, html)
+    rows = _page_rows(upcoming.select("seq", html), page_sources()["songkick_venues"], now, html)
     pages = df.select(C("seq").alias("page"), C(venue).alias("vid"))
-    full = rows.withColumn("page", F.floor(C("seq") / 100000)).join(pages, "page").join(F.broadcast(venues), "vid")
+    full = rows.join(pages, "page").join(F.broadcast(venues), "vid")
     out = as_listings(
         full.drop("id"),
         date=C("date"), bands=C("bands"), time=C("time"), source=C("source"),
@@ -672,7 +679,3 @@ def tour_site_listings(df: DataFrame, now="1970-01-01", html: str = "html", venu
         source_url=F.concat(F.lit("https://www.songkick.com/venues/"), "number"),
     )
     return grouping.first_seen(out, ["venue_id", F.to_date("date"), F.lower(F.element_at("bands", 1))])
-
-
-def _keyless(source: PageSource) -> PageSource:
-    return PageSource(source.name, source.source, source.starts, source.fields, [], source.window, source.shared)

@@ -218,6 +218,27 @@ def test_dated_text(spark, name, html, want):
     assert rows(got, "date", "bands", "venue_id", "time", "price_advance") == want
 
 
+def test_long_pages_stay_apart(spark):
+    """Positions from 100000 on: the next page's numbers, but not its rows."""
+    entry = "\nMonday, March 2\nThe Middle East\nLoud Act\n\n"
+    texts = [(1, "\n" * 100_000 + entry), (2, entry)]
+    df = spark.createDataFrame(texts, "seq bigint, text string")
+    assert dated_text.session_listings(df, DAY, html="text").count() == 2
+
+
+def test_strategies_are_chosen_by_page(spark, monkeypatch):
+    every, f = pages.F.posexplode, pages.F
+    # The first page gets 100000 blocks before its own.
+    before = f.array_repeat(f.lit(""), f.when(f.col("seq") == 1, 100_000).otherwise(0))
+    monkeypatch.setattr(f, "posexplode", lambda c: every(f.concat(before, c)))
+    fields = lambda block, now: {"date": f.regexp_extract(block, r"(\d{4}-\d\d-\d\d)", 1).try_cast("timestamp_ntz"), "bands": f.array(f.lit("Act"))}
+    shared = {"venue_id": f.lit("v"), "venue_name": f.lit("V"), "venue_location": f.lit("C")}
+    source = pages.PageSource("x", "scrape:x", [r"<li\b[^>]*>", r"<p\b[^>]*>"], [fields, fields], [], None, shared)
+    df = spark.createDataFrame([(1, "<li>2026-03-01</li>"), (2, "<p>2026-03-02</p>")], "seq bigint, html string")
+    out = pages.extract(df, source, NOW)
+    assert sorted(r.date.day for r in out.collect()) == [1, 2] and "page" not in out.columns
+
+
 def test_sessions_skip_the_check_when_a_date_closes_them(spark):
     entry = "Sunday, February 8 2026, 5:00 pm\nMidway Cafe\nPile, Krill\ntickets $5\n"
     got = dated_text.session_listings(one(spark, "text", entry + entry + "\n" + entry + "\nstray line\n" + entry), DAY, html="text")
