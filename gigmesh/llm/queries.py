@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from gigmesh.llm import (
-    byte_bpe, chat_format, chunk_dedup, compression_classifier, decontaminate, jaccard_join, language_id, licence_scan,
-    quality_rules, url_filter,
+    byte_bpe, chat_format, chunk_dedup, compression_classifier, conversation_repair, conversation_trie, decontaminate, jaccard_join,
+    language_id, licence_scan, lm_scoring, quality_rules, url_filter,
 )
 
 QUERIES = {
@@ -18,6 +18,9 @@ QUERIES = {
     "op8_byte_bpe": byte_bpe.query,
     "op9_decontaminate": decontaminate.query,
     "op10_jaccard_join": jaccard_join.query,
+    "op11_conversation_repair": conversation_repair.query,
+    "op12_conversation_trie": conversation_trie.query,
+    "op13_lm_scoring": lm_scoring.query,
 }
 
 ORACLES: dict[str, str] = {
