@@ -34,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gigmesh.llm.crcsql import crc32_sql
 from gigmesh.runtime import cut_lineage
 
 ROWS = 1024
@@ -424,3 +425,65 @@ def repair(rows: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return repair(damage(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")))
+
+
+def _least(*options: str) -> str:
+    return f"list_sort(list_filter([{', '.join(options)}], lambda x: x IS NOT NULL))[1]"
+
+
+def _with(letter: str, paid: str, then: str) -> str:
+    return f"{{'c': {then}.c + {paid}, 'a': '{letter}' || {then}.a}}"
+
+
+def _edits(state: str, spoken: str, kept: dict[str, str]) -> str:
+    keep = " ".join(f"WHEN initial = '{x}' THEN {_with('K', 'stay', 'b.' + to)}" for x, to in kept.items())
+    return _least(
+        _with("D", "2", f"b.{state}"), f"CASE WHEN must THEN NULL {keep} END", f"CASE WHEN NOT must THEN {_with('R', 'stay + 1', 'b.' + spoken)} END"
+    )
+
+
+#: Least (cost, audit) per state from the last row to the first, then the edits carried out letter by letter.
+ORACLE = f"""WITH RECURSIVE hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS k FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE k WHEN 0 THEN CAST([] AS INT[]) WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM hashed),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || '|' || role || '|' || text), copy) AS i,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS ending, role[1:1] AS initial FROM damaged),
+faulty AS (
+  SELECT *, CASE WHEN ending = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS earlier FROM placed),
+rows_ AS (SELECT *, fault IN ('blank', 'duplicate') AS must, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS stay FROM faulty),
+counted AS (
+  SELECT conv_id, CASE WHEN max(turn) IS NULL THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps,
+    count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE earlier IS NOT NULL AND earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM rows_ GROUP BY conv_id),
+back(conv_id, i, s0, s1, s2, s3) AS (
+  SELECT conv_id, n + 1, {{'c': 0::BIGINT, 'a': ''}}, {{'c': 10::BIGINT, 'a': 'II'}}, {{'c': 5::BIGINT, 'a': 'I'}}, {{'c': 0::BIGINT, 'a': ''}} FROM counted
+  UNION ALL
+  SELECT conv_id, i, {_least("r0", _with("I", "5", "u"))}, {_least("r1", _with("I", "5", "u"))}, u, a FROM (
+    SELECT *, {_least("r2", _with("I", "5", "r3"))} AS u, {_least("r3", _with("I", "5", "r2"))} AS a FROM (
+      SELECT b.conv_id, r.i, {_edits("s0", "s2", {"s": "s1", "u": "s2"})} AS r0, {_edits("s1", "s2", {"u": "s2"})} AS r1,
+        {_edits("s2", "s3", {"a": "s3"})} AS r2, {_edits("s3", "s2", {"u": "s2"})} AS r3
+      FROM back b JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i - 1))),
+best AS (SELECT conv_id, s0.c AS cost, s0.a AS audit FROM back WHERE i = 1),
+done(conv_id, p, i, q, said) AS (
+  SELECT conv_id, 1, 1, 0, CAST([] AS VARCHAR[]) FROM best
+  UNION ALL
+  SELECT conv_id, p + 1, CASE WHEN l = 'I' THEN i ELSE i + 1 END,
+    CASE WHEN l = 'D' THEN q WHEN l = 'K' THEN CASE initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END WHEN q = 2 THEN 3 ELSE 2 END,
+    CASE WHEN l = 'D' THEN said WHEN l = 'K' THEN list_append(said, role || ':' || text)
+      ELSE list_append(said, CASE WHEN q = 2 THEN 'assistant:' ELSE 'user:' END || CASE WHEN l = 'R' THEN text ELSE '' END) END
+  FROM (SELECT d.*, e.audit[d.p:d.p] AS l, r.role, r.text, r.initial FROM done d JOIN best e ON e.conv_id IS NOT DISTINCT FROM d.conv_id
+    LEFT JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM d.conv_id AND r.i = d.i WHERE d.p <= length(e.audit))),
+final AS (SELECT conv_id, arg_max(said, p) AS said FROM done GROUP BY conv_id)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+  sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM ids.conv_id
+  LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN final f ON f.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""

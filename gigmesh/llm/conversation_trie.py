@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gigmesh.llm.crcsql import crc32_sql
 from gigmesh.runtime import cut_lineage
 
 SEGMENT = 256
@@ -401,3 +402,28 @@ def trie(ordered: DataFrame) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     return trie(rebuilt(rows))
+
+
+#: Nodes as distinct prefix digests, with all pairs of a node and an ancestor.
+ORACLE = f"""WITH said AS (
+  SELECT conv_id, turn, md5(length(coalesce(role, '')) || '|' || coalesce(role, '') || '|' || coalesce(text, '')) AS k,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS p FROM said),
+ids AS (SELECT conv_id, conv_id - conv_id % {FAMILY} AS family, {crc32_sql("CAST(conv_id AS VARCHAR)")} % {BORROWED + 1} AS h
+  FROM (SELECT DISTINCT conv_id FROM said)),
+turns AS (SELECT i.conv_id, 0 AS own, p, k, words FROM ids i JOIN placed b ON b.conv_id = i.family AND b.p <= i.h
+  UNION ALL SELECT i.conv_id, 1, p, k, words FROM ids i JOIN placed b ON b.conv_id = i.conv_id AND b.p > i.h),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY own, p) AS d FROM turns),
+paths AS (SELECT conv_id, d, md5(string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY d)) AS key, words FROM numbered
+  UNION ALL SELECT conv_id, 0, md5(''), 0 FROM ids),
+passing AS (SELECT *, lag(key) OVER (PARTITION BY conv_id ORDER BY d) AS parent, d = max(d) OVER (PARTITION BY conv_id) AS ends FROM paths),
+nodes AS (SELECT key, any_value(d) AS depth, min(conv_id) AS conv_id, any_value(parent) AS parent, count(*) AS n, any_value(words) AS words,
+  string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends) AS ended FROM passing GROUP BY key),
+born AS (SELECT parent AS key, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY 1),
+under AS (SELECT DISTINCT a.key AS top, b.key FROM passing a JOIN passing b ON a.conv_id = b.conv_id AND a.d <= b.d),
+sums AS (SELECT top, sum(CASE WHEN c.n IS NULL THEN 1 ELSE 0 END) AS leaves, sum((x.n - 1) * x.words) AS saved
+  FROM under u JOIN nodes x ON x.key = u.key LEFT JOIN born c ON c.key = u.key GROUP BY top)
+SELECT x.conv_id, CAST(x.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, x.n AS n_convs, coalesce(b.n, 0) AS n_children,
+  CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(x.ended, '')) AS ends_sha256
+FROM nodes x LEFT JOIN nodes p ON p.key = x.parent LEFT JOIN born b ON b.key = x.key JOIN sums s ON s.top = x.key
+"""

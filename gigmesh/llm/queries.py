@@ -28,4 +28,6 @@ ORACLES: dict[str, str] = {
     "op7_licence_scan": licence_scan.oracle(),
     "op9_decontaminate": decontaminate.ORACLE,
     "op10_jaccard_join": jaccard_join.ORACLE,
+    "op11_conversation_repair": conversation_repair.ORACLE,
+    "op12_conversation_trie": conversation_trie.ORACLE,
 }
