@@ -9,7 +9,11 @@ steps then follows the different pairs, not the length. Decoding joins ids to th
 bytes of the vocabulary and concatenates them by an ordered aggregation.
 
 Every task works alone on slices of its rows; nothing is shuffled. The vocabulary is of fixed
-size and is broadcast as the bytes of its file.
+size and is broadcast as the bytes of its file. :func:`digests` encodes, decodes and hashes in one step,
+with one database per task; what a task remembers of earlier pieces is bounded by bytes.
+
+Any length of piece and number of pieces is allowed: a query holds at most ``PIECES`` pieces of less than
+2 to the ``PLACE_BITS`` bytes, and a longer piece has a query of its own.
 
 Null and empty texts have no tokens and decode to an empty text. Repeated rows are each
 returned. Empty tables give empty results. Only ``doc_id`` and ``text`` are read.
@@ -18,6 +22,8 @@ returned. Empty tables give empty results. Only ``doc_id`` and ``text`` are read
 from __future__ import annotations
 
 import base64
+import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import duckdb
@@ -34,37 +40,41 @@ VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Bytes of a piece from which a step contracts all its pairs of least rank.
 LONG = 128
-#: Distinct pieces whose tokens a task remembers; when full it starts over.
-REMEMBERED = 250_000
-
-#: ``p`` is a token's place: its piece above 24 bits, its first byte in the piece below. A step contracts
+#: Bytes of pieces and tokens that a task remembers; when full it starts over. Longer pieces are not remembered.
+REMEMBERED, WORTH = 32 << 20, 512
+#: Bits of a place inside a piece, and of a whole place; a rank comes above them.
+PLACE_BITS, WHOLE_BITS = 24, 46
+#: Pieces in one query.
+PIECES = 1 << (WHOLE_BITS - PLACE_BITS)
+
+#: ``p`` is a token's place: its piece above some bits, its first byte in the piece below. A step contracts
 #: one pair of each piece; pieces without a pair are done and leave.
 _CONTRACT = """
 WITH RECURSIVE t AS (
-  SELECT w::BIGINT << 24 | i AS p, tok, false AS done FROM bytes_of
+  SELECT w::BIGINT << {bits} | i AS p, tok, false AS done FROM bytes_of
   UNION ALL
   (WITH pairs AS (SELECT p, tok, lead(tok) OVER o AS nxt, lead(p) OVER o AS np FROM t WHERE NOT done WINDOW o AS (ORDER BY p)),
-   best AS (SELECT p >> 24 AS w, min(rank::BIGINT << 46 | p) AS top, arg_min(np, rank::BIGINT << 46 | p) AS np
-            FROM pairs JOIN merges ON merges.pair = (tok::BIGINT << 32 | nxt) WHERE p >> 24 = np >> 24 GROUP BY 1)
-   SELECT a.p, CASE WHEN a.p = (top & 70368744177663) THEN (top >> 46)::INT ELSE a.tok END, b.w IS NULL
-   FROM pairs a LEFT JOIN best b ON a.p >> 24 = b.w WHERE b.np IS NULL OR a.p <> b.np))
-SELECT p >> 24 AS w, list(tok ORDER BY p) AS ids FROM t WHERE done GROUP BY 1
+   best AS (SELECT p >> {bits} AS w, min(rank::BIGINT << {whole} | p) AS top, arg_min(np, rank::BIGINT << {whole} | p) AS np
+            FROM pairs JOIN merges ON merges.pair = (tok::BIGINT << 32 | nxt) WHERE p >> {bits} = np >> {bits} GROUP BY 1)
+   SELECT a.p, CASE WHEN a.p = (top & {mask}) THEN (top >> {whole})::INT ELSE a.tok END, b.w IS NULL
+   FROM pairs a LEFT JOIN best b ON a.p >> {bits} = b.w WHERE b.np IS NULL OR a.p <> b.np))
+SELECT p >> {bits} AS w, list(tok ORDER BY p) AS ids FROM t WHERE done GROUP BY 1
 """
 
 #: The same for long pieces: a step contracts all pairs of least rank that don't overlap, from the left.
 _CONTRACT_LONG = """
 WITH RECURSIVE t AS (
-  SELECT w::BIGINT << 24 | i AS p, tok, false AS done FROM bytes_of
+  SELECT w::BIGINT << {bits} | i AS p, tok, false AS done FROM bytes_of
   UNION ALL
   (WITH pairs AS (SELECT p, tok, lead(tok) OVER o AS nxt, lead(p) OVER o AS np FROM t WHERE NOT done WINDOW o AS (ORDER BY p)),
-   ranked AS (SELECT p, np, p >> 24 AS w, rank FROM pairs JOIN merges ON merges.pair = (tok::BIGINT << 32 | nxt) WHERE p >> 24 = np >> 24),
+   ranked AS (SELECT p, np, p >> {bits} AS w, rank FROM pairs JOIN merges ON merges.pair = (tok::BIGINT << 32 | nxt) WHERE p >> {bits} = np >> {bits}),
    best AS (SELECT w, min(rank) AS best FROM ranked GROUP BY w),
    hits AS (SELECT p, np, best, lag(np) OVER (ORDER BY p) IS DISTINCT FROM p AS fresh, row_number() OVER (ORDER BY p) AS n
             FROM ranked JOIN best USING (w) WHERE rank = best),
    kept AS (SELECT p, np, best FROM hits QUALIFY (n - max(CASE WHEN fresh THEN n END) OVER (ORDER BY p)) % 2 = 0)
    SELECT a.p, coalesce(k.best, a.tok), b.w IS NULL
-   FROM pairs a LEFT JOIN best b ON a.p >> 24 = b.w LEFT JOIN kept k ON a.p = k.p LEFT JOIN kept g ON a.p = g.np WHERE g.np IS NULL))
-SELECT p >> 24 AS w, list(tok ORDER BY p) AS ids FROM t WHERE done GROUP BY 1
+   FROM pairs a LEFT JOIN best b ON a.p >> {bits} = b.w LEFT JOIN kept k ON a.p = k.p LEFT JOIN kept g ON a.p = g.np WHERE g.np IS NULL))
+SELECT p >> {bits} AS w, list(tok ORDER BY p) AS ids FROM t WHERE done GROUP BY 1
 """
 
 _DECODE = """
@@ -83,7 +93,7 @@ class Tables:
     def __init__(self, raw: bytes) -> None:
         self.ranks = read_ranks(raw)
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         pairs, ranks = [], []
         for token, rank in self.ranks.items():
             for k in range(1, len(token)):
@@ -96,8 +106,13 @@ class Tables:
         self._load("vocabulary", known)
 
     def close(self) -> None:
-        """Give the memory back: the worker lives on."""
+        """Give the memory back: the worker lives on, and other workers of the executor need it."""
         self.db.close()
+        self.ranks = {}
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
 
     def _load(self, name: str, table: pa.Table) -> None:
         self.db.register("incoming", table)
@@ -114,30 +129,35 @@ class Tables:
     def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Token ids of distinct pieces."""
         out = [np.zeros(0, np.int32)] * len(pieces)
-        hard: dict[str, list[int]] = {_CONTRACT: [], _CONTRACT_LONG: []}
+        hard: dict[tuple[str, bool], list[int]] = {}
         for k, piece in enumerate(pieces):
             rank = self.ranks.get(piece)
             if rank is None:
-                hard[_CONTRACT if len(piece) <= LONG else _CONTRACT_LONG].append(k)
+                hard.setdefault((_CONTRACT if len(piece) <= LONG else _CONTRACT_LONG, len(piece) >> PLACE_BITS > 0), []).append(k)
             else:
                 out[k] = np.array([rank], np.int32)
-        for sql, some in hard.items():
-            if some:
-                lengths = np.array([len(pieces[k]) for k in some])
-                ends = np.cumsum(lengths)
-                joined = np.frombuffer(b"".join([pieces[k] for k in some]), np.uint8)
-                rows = pa.table({
-                    "w": pa.array(np.repeat(np.arange(len(some)), lengths)),
-                    "i": pa.array(np.arange(len(joined)) - np.repeat(ends - lengths, lengths)),
-                    "tok": pa.array(self.byte_ids[joined]),
-                })
-                found = self._ask("bytes_of", rows, sql)
-                ids = found["ids"].combine_chunks()
-                bounds, flat = np.asarray(ids.offsets), np.asarray(ids.values).astype(np.int32)
-                for k, w in enumerate(found["w"].to_pylist()):
-                    out[some[w]] = flat[bounds[k] : bounds[k + 1]]
+        for (sql, alone), some in hard.items():
+            bits, most = (WHOLE_BITS, 1) if alone else (PLACE_BITS, PIECES)
+            query = sql.format(bits=bits, whole=WHOLE_BITS, mask=(1 << WHOLE_BITS) - 1)
+            for at in range(0, len(some), most):
+                self._contract(query, pieces, some[at : at + most], out)
         return out
 
+    def _contract(self, sql: str, pieces: list[bytes], some: list[int], out: list[np.ndarray]) -> None:
+        lengths = np.array([len(pieces[k]) for k in some])
+        ends = np.cumsum(lengths)
+        joined = np.frombuffer(b"".join([pieces[k] for k in some]), np.uint8)
+        rows = pa.table({
+            "w": pa.array(np.repeat(np.arange(len(some)), lengths)),
+            "i": pa.array(np.arange(len(joined)) - np.repeat(ends - lengths, lengths)),
+            "tok": pa.array(self.byte_ids[joined]),
+        })
+        found = self._ask("bytes_of", rows, sql)
+        ids = found["ids"].combine_chunks()
+        bounds, flat = np.asarray(ids.offsets), np.asarray(ids.values).astype(np.int32)
+        for k, w in enumerate(found["w"].to_pylist()):
+            out[some[w]] = flat[bounds[k] : bounds[k + 1]]
+
     def decode(self, ids: np.ndarray, owner: np.ndarray, n: int) -> list[bytes]:
         """Bytes of ``n`` id sequences; ``owner`` names the sequence of each id, in order."""
         rows = pa.table({"d": pa.array(owner.astype(np.int32)), "spot": pa.array(np.arange(len(ids), dtype=np.int32)), "id": pa.array(ids.astype(np.int32))})
@@ -148,35 +168,63 @@ class Tables:
         return out
 
 
+class Encoder:
+    """Texts to ids: the pieces of a slice, new ones looked up once."""
+
+    def __init__(self, tables: Tables, pattern: str) -> None:
+        self.tables, self.split = tables, regex.compile(pattern)
+        self.known: dict[str, bytes] = {}
+        self.held = 0
+
+    def ids(self, s: tb.Slice) -> list[bytes]:
+        """Each text's ids, as the bytes of 32-bit numbers."""
+        pieces = [self.split.findall(s.text(i).decode()) for i in range(s.last - s.first)]
+        if self.held > REMEMBERED:
+            self.known.clear()
+            self.held = 0
+        fresh = list(set().union(*pieces).difference(self.known))
+        found = {p: ids.tobytes() for p, ids in zip(fresh, self.tables.encode_pieces([p.encode() for p in fresh]), strict=True)}
+        self.known.update(found)
+        out = [b"".join(map(self.known.__getitem__, own)) for own in pieces]
+        for p, ids in found.items():
+            if len(p) > WORTH:
+                del self.known[p]
+            else:
+                self.held += len(p) + len(ids) + 160
+        return out
+
+
+def _vocabulary(df: DataFrame, path: str):
+    with open(path, "rb") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    return tb.small_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+
+
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """``docs``' ``doc_id`` and ``ids``, an array of token ids of the whole text."""
-    with open(vocabulary, "rb") as f:
-        raw = docs.sparkSession.sparkContext.broadcast(f.read())
+    raw = _vocabulary(docs, vocabulary)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, split, known = None, regex.compile(pattern), {}
+        encoder = None
         for batch in batches:
-            tables = tables or Tables(raw.value)
+            encoder = encoder or Encoder(Tables(raw.value), pattern)
             for s in tb.slices(batch.column("text")):
-                pieces = [split.findall(s.text(i).decode()) for i in range(s.last - s.first)]
-                if len(known) > REMEMBERED:
-                    known.clear()
-                fresh = list(set().union(*pieces).difference(known))
-                known.update((p, ids.tobytes()) for p, ids in zip(fresh, tables.encode_pieces([p.encode() for p in fresh]), strict=True))
-                ids = [b"".join(map(known.__getitem__, own)) for own in pieces]
+                ids = encoder.ids(s)
                 ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(s.first, s.last - s.first), column], names=["doc_id", "ids"])
-        if tables:
-            tables.close()
+        if encoder:
+            encoder.tables.close()
 
-    return tb.small_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(tokens, "doc_id bigint, ids array<int>")
+    return _documents(docs).mapInArrow(tokens, "doc_id bigint, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id, ids, decoded``: the bytes that the ids stand for."""
-    with open(vocabulary, "rb") as f:
-        raw = encoded.sparkSession.sparkContext.broadcast(f.read())
+    raw = _vocabulary(encoded, vocabulary)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = None
@@ -194,12 +242,29 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return tb.small_batches(encoded.select("doc_id", "ids")).mapInArrow(texts, "doc_id bigint, ids array<int>, decoded binary")
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return decode(encode(docs)).select(
-        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+def digests(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every text, encoded and decoded again."""
+    raw = _vocabulary(docs, vocabulary)
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = None
+        for batch in batches:
+            encoder = encoder or Encoder(Tables(raw.value), pattern)
+            for s in tb.slices(batch.column("text")):
+                ids = [np.frombuffer(x, np.int32) for x in encoder.ids(s)]
+                n = [len(x) for x in ids]
+                decoded = encoder.tables.decode(np.concatenate(ids), np.repeat(np.arange(len(ids)), n), len(ids))
+                columns = [
+                    batch.column("doc_id").slice(s.first, len(ids)), pa.array(n, pa.int64()),
+                    pa.array([hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids]),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in decoded]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
+        if encoder:
+            encoder.tables.close()
+
+    return _documents(docs).mapInArrow(hashed, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

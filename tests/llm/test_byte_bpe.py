@@ -55,7 +55,8 @@ def test_round_trip_and_digests(table, tokenizer, texts, clashes):
 
 
 def test_what_a_task_remembers_may_start_over(table, tokenizer, texts, monkeypatch):
-    monkeypatch.setattr(b, "REMEMBERED", 5)
+    monkeypatch.setattr(b, "REMEMBERED", 500)
+    monkeypatch.setattr(b, "WORTH", 4)
     monkeypatch.setattr(b.tb, "SLICE_BYTES", 100)
     rows = list(enumerate(texts[:40]))
     assert {r.doc_id: list(r.ids) for r in b.encode(table(rows)).collect()} == {d: tokenizer.encode_ordinary(t) for d, t in rows}
@@ -63,3 +64,27 @@ def test_what_a_task_remembers_may_start_over(table, tokenizer, texts, monkeypat
 
 def test_empty_table(table):
     assert b.digests(table([])).count() == 0
+
+
+def test_longer_pieces_and_more_of_them_than_a_query_holds(tokenizer, texts, monkeypatch):
+    monkeypatch.setattr(b, "PLACE_BITS", 3)
+    monkeypatch.setattr(b, "PIECES", 7)
+    monkeypatch.setattr(b, "LONG", 12)
+    with open(b.VOCABULARY, "rb") as f:
+        tables = b.Tables(f.read())
+    split = regex.compile(b.PATTERN)
+    pieces = sorted({p for t in texts[:120] for p in split.findall(t)})
+    for piece, ids in zip(pieces, tables.encode_pieces([p.encode() for p in pieces]), strict=True):
+        assert ids.tolist() == tokenizer.encode_ordinary(piece)
+
+
+def test_very_long_text_of_one_piece(table, tokenizer):
+    text = "ab" * 60_000
+    (r,) = b.digests(table([(1, text)])).collect()
+    assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert r.n_tokens == len(b.encode(table([(1, text)])).first().ids)
+
+
+def test_one_python_step(table):
+    plan = b.digests(table([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
