@@ -1,9 +1,11 @@
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gigmesh.functions import fuzzy
+from gigmesh.operators import similar
 from gigmesh.operators.similar import similar_pairs
 
 
@@ -90,6 +92,73 @@ def test_similarity_join_finds_every_pair(spark, percent, strict):
     assert got == want
 
 
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.text(max_size=80), st.text("ab é😀\u2003\t", max_size=140), st.text("abc é😀", max_size=150)), min_size=1, max_size=40))
+def test_columns_equal_plain_functions_on_any_text(spark, triples):
+    clean = lambda t: "".join(c for c in t if c != "\x00" and not 0xD800 <= ord(c) < 0xE000)
+    pairs = [(clean(x), clean(y)) for t in triples for x, y in ((t[0], t[1]), (t[1], t[2]), (t[0], t[0][1:]))]
+    df = spark.createDataFrame(pairs, "a string, b string").coalesce(1)
+    got = df.select("a", "b", fuzzy.lcs(F.col("a"), F.col("b")), fuzzy.indel_ratio("a", "b"), fuzzy.token_set_ratio("a", "b")).collect()
+    for a, b, lcs, ratio, tokens in got:
+        assert lcs == fuzzy.lcs_of(a, b)
+        assert ratio == pytest.approx(fuzzy.ratio_of(a, b))
+        assert tokens == pytest.approx(fuzzy.token_set_of(a, b))
+
+
+def test_window_ratio_column_equals_plain_function(spark):
+    import random
+
+    r = random.Random(8)
+    pairs = [("".join(r.choices("abc é", k=r.randint(0, 14))), "".join(r.choices("abc é", k=r.randint(0, 30)))) for _ in range(300)]
+    pairs += [(b, a) for a, b in pairs[:50]] + [(a, a) for a, _ in pairs[:10]]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", fuzzy.partial_ratio("a", "b"), fuzzy.same_performer("a", "b")).collect()
+    for a, b, partial, same in got:
+        assert partial == pytest.approx(fuzzy.partial_of(a, b)), (a, b)
+        assert same == (fuzzy.ratio_of(a, b) >= 80 or fuzzy.partial_of(a, b) >= 95 or fuzzy.token_set_of(a, b) >= 95), (a, b)
+
+
+def test_null_sides(spark):
+    row = spark.createDataFrame([(None, "x")], "a string, b string").select(
+        fuzzy.lcs(F.col("a"), F.col("b")), fuzzy.indel_ratio("a", "b"), fuzzy.partial_ratio("b", "a"), fuzzy.token_set_ratio("a", "b"), fuzzy.same_performer("a", "b")
+    ).first()
+    assert tuple(row) == (None, None, None, None, False)
+
+
+def test_similarity_join_is_selective(spark):
+    """Candidates stay under one percent of all pairs, and no key holds one percent of what is published."""
+    import random
+
+    rng = random.Random(1)
+    syllables = [c + v for c in "bcdfghjklmnprstvwz" for v in "aeiou"] + ["th", "ing", "er", "st"]
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 3)))
+    names = {" ".join(word() for _ in range(rng.randint(1, 4))) for _ in range(4300)}
+    names = sorted({x for n in names for x in (n, n[:-1] + "x" if rng.random() < 0.17 else n)})[:5000]
+    df = spark.createDataFrame([(n,) for n in names], "s string")
+    found = similar.candidates(df, 80)
+    assert found.count() < 0.01 * len(names) * (len(names) - 1) / 2
+    known = similar.marked(df)
+    keys = similar.posted(known, 80, True).unionByName(similar.posted(known, 80, False))
+    most, total = keys.groupBy("key").count().agg(F.max("count"), F.sum("count")).first()
+    assert most < 0.01 * total
+    got = {tuple(r) for r in similar_pairs(df, "s").collect()}
+    letters = sorted(set("".join(names)))
+    counts = np.array([[n.count(c) for c in letters] for n in names], np.int16)
+    length, want = counts.sum(1), set()
+    for i, a in enumerate(names):
+        shared = np.minimum(counts[i], counts[i + 1 :]).sum(1)
+        for j in np.flatnonzero(200 * shared >= 80 * (length[i] + length[i + 1 :])) + i + 1:
+            if fuzzy.ratio_of(a, names[j]) >= 80:
+                want.add((a, names[j]))
+    assert got == want
+
+
+def test_no_python_in_the_plans(spark):
+    df = spark.createDataFrame([("abc", "abd")], "a string, b string")
+    plan = df.where(fuzzy.same_performer("a", "b") | fuzzy.ratio_at_least(F.col("a"), F.col("b")))._jdf.queryExecution().executedPlan().toString()
+    plan += similar_pairs(df, "a")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
 def test_any_close(spark):
     df = spark.createDataFrame(
         [(1, ["pile", "krill"], ["krills"]), (2, ["pile"], ["bane"]), (3, None, ["x"]), (4, [], [])],
