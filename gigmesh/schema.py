@@ -27,6 +27,12 @@ NESTED_LISTING = """
     genre_tags ARRAY<STRING>, last_updated STRING
 """
 
+def place(document: Column, block: Column, item: Column | None = None) -> Column:
+    """A row's place in its source as an ordered value: nothing is packed, so no number of blocks or items collides."""
+    item = F.lit(0) if item is None else item
+    return F.struct(document.cast("bigint").alias("document"), block.cast("int").alias("block"), item.cast("int").alias("item"))
+
+
 def no_strings() -> Column:
     return F.array().cast("array<string>")
 

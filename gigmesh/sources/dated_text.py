@@ -9,7 +9,7 @@ from gigmesh import fixed_values as fx
 from gigmesh.functions import temporal, text
 from gigmesh.functions.text import strip
 from gigmesh.operators import filters, grouping, lines
-from gigmesh.schema import as_listings, no_strings
+from gigmesh.schema import as_listings, no_strings, place
 from gigmesh.sources import dates, pages
 
 C = F.col
@@ -104,7 +104,7 @@ def _venue(c: Column, table: list) -> tuple[Column, Column, Column]:
 
 
 def _seq(pos: str = "pos") -> Column:
-    return (C("seq") * 100000 + C(pos)).cast("bigint")
+    return place(C("seq"), C(pos))
 
 
 def valid_bands(bands: Column) -> Column:

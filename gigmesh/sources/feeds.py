@@ -13,7 +13,7 @@ from gigmesh import fixed_values as fx
 from gigmesh.functions import temporal, text
 from gigmesh.functions.text import blank, strip
 from gigmesh.runtime import computed_once
-from gigmesh.schema import as_listings, no_strings
+from gigmesh.schema import as_listings, no_strings, place
 
 C = F.col
 
@@ -245,7 +245,7 @@ def jsonld_listings(df: DataFrame, html: str = "html", as_of="1970-01-01", local
     wall = F.coalesce(wall, _ntz(F.substring(start, 1, 16), "yyyy-MM-dd'T'HH:mm"))
     shown = F.when(timed, wall if local else temporal.utc_to_eastern(wall)).otherwise(temporal.parse_date(start))
     e = e.withColumn("at", shown).where(F.to_date("at") >= temporal.as_date(as_of))
-    seq = (C("seq") * 1000000 + C("b") * 1000 + C("i")).cast("bigint")
+    seq = place(C("seq"), C("b"), C("i"))
     common = dict(
         seq=seq, date=C("at"), age_requirement=F.lit("18+"), price_advance=_offer_price(C("e.offers")),
         source=F.lit(source),
@@ -301,7 +301,7 @@ def embedded_listings(df: DataFrame, html: str = "html", now="1970-01-01", name:
     price = text.parse_price(C("e.cost"), "cost")
     rows = as_listings(
         e,
-        seq=(C("seq") * 100000 + C("i")).cast("bigint"),
+        seq=place(C("seq"), C("i")),
         date=at,
         venue_id=F.lit("passim"), venue_name=F.lit("Club Passim"), venue_location=F.lit("Cambridge"),
         bands=text.split_bands_slash(title, cut=SEATING, words=("w/", "with", "&", "and", r"ft\.?", "featuring"), max_commas=3),
@@ -370,7 +370,7 @@ def ical_listings(df: DataFrame, ics: str = "ics", now="1970-01-01", venue_key:
         ICAL_VENUES, "venue string, name string, city string, link string, age string, skips array<string>"
     )
     events = ical_events(df, ics).join(df.select("seq", C(venue_key).alias("venue")), "seq")
-    events = events.join(F.broadcast(venues), "venue").withColumn("seq", (C("seq") * 100000 + C("i")).cast("bigint"))
+    events = events.join(F.broadcast(venues), "venue").withColumn("seq", place(C("seq"), C("i")))
     low = F.lower(_prop("SUMMARY"))
     skipped = F.exists(text.literal_array(ICAL_SKIP), lambda w: low.contains(w)) | F.exists(
         "skips", lambda p: F.regexp_like(low, p)
@@ -397,7 +397,7 @@ def club_calendar_listings(df: DataFrame, ics: str = "ics", now="1970-01-01") ->
     """Listings of the one club calendar in UTC, moved by a fixed five hours."""
     from gigmesh.operators.filters import lookahead
 
-    events = ical_events(df, ics).withColumn("seq", (C("seq") * 100000 + C("i")).cast("bigint"))
+    events = ical_events(df, ics).withColumn("seq", place(C("seq"), C("i")))
     summary, start = strip(_prop("SUMMARY")), _prop("DTSTART")
     kept = events.where(
         (summary != "") & ~F.exists(text.literal_array(CLUB_CALENDAR_SKIP), lambda w: F.lower(summary).contains(w))
@@ -434,7 +434,7 @@ def rss_listings(df: DataFrame, xml: str = "xml", now="1970-01-01") -> DataFrame
 
     items = F.regexp_extract_all(xml, F.lit(r"(?is)<item\b[^>]*>(.*?)</item>"), F.lit(1))
     rows = df.select("seq", F.posexplode(items).alias("i", "item")).select(
-        (C("seq") * 100000 + C("i")).cast("bigint").alias("seq"),
+        place(C("seq"), C("i")).alias("seq"),
         strip(_xml_text(C("item"), "title")).alias("title"),
         text.html_unescape(_xml_text(C("item"), "description")).alias("about"),
         _xml_text(C("item"), "link").alias("link"),

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from gigmesh import fixed_values as fx
 from gigmesh.functions import temporal, text
-from gigmesh.schema import COLUMNS, LISTING, NESTED_LISTING, no_strings, with_id
+from gigmesh.operators.numbering import numbered
+from gigmesh.runtime import cut_lineage
+from gigmesh.schema import COLUMNS, LISTING, NESTED_LISTING, no_strings, place, with_id
 
 C = F.col
 
@@ -98,12 +100,10 @@ Source = Callable[[SparkSession], DataFrame]
 class SourceRegistry:
     """Listing sources in a fixed order.
 
-    Rows get ``seq`` from their source's rank and their position inside the source,
-    so later steps can rely on ingest order.
+    Rows get ``seq`` from their source's rank and their place inside the source, as dense numbers, so
+    later steps can rely on ingest order and no two rows share one.
     """
 
-    RANK_SHIFT = 48
-
     def __init__(self) -> None:
         self._sources: list[tuple[int, str, Source]] = []
 
@@ -111,17 +111,20 @@ class SourceRegistry:
         self._sources.append((len(self._sources) if rank is None else rank, name, read))
 
     def union(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-        """``(listings, errors)``; a source whose plan cannot be built adds no rows.
+        """``(listings, errors)``; a source that fails, when planned or when run, adds no rows and one error.
 
-        A source may bring its own ``seq`` as position; otherwise file order is used.
+        Each source is written to a table of its own before the union, so a corrupt file or a failing cast
+        costs that source alone. A source may bring its own ``seq`` as position, a number or a
+        :func:`gigmesh.schema.place`; otherwise file order is used.
         """
         parts, errors = [], []
-        for rank, name, read in sorted(self._sources, key=lambda s: s[0]):
+        for order, (_, name, read) in enumerate(sorted(self._sources, key=lambda s: s[0])):
             try:
                 rows = read(spark)
-                at = C("seq") if "seq" in rows.columns else F.monotonically_increasing_id()
-                base = rank << self.RANK_SHIFT
-                parts.append(rows.withColumn("seq", at + F.lit(base)).select(*COLUMNS))
+                known = rows.schema["seq"].dataType.simpleString() if "seq" in rows.columns else None
+                at = C("seq") if known and known.startswith("struct") else place(C("seq") if known else F.monotonically_increasing_id(), F.lit(0))
+                columns = [at.alias("seq") if c == "seq" else C(c) for c in COLUMNS]
+                parts.append(cut_lineage(rows.select(F.lit(order).alias("__source"), *columns)))
             except Exception as error:  # noqa: BLE001
                 errors.append((name, f"{type(error).__name__}: {error}"[:500]))
         report = spark.createDataFrame(errors, "source string, error string")
@@ -130,7 +133,8 @@ class SourceRegistry:
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)
-        return out, report
+        out = numbered(out.withColumnRenamed("seq", "__at"), "__source", "__at", name="seq")
+        return out.select(*COLUMNS), report
 
 
 def source_totals(df: DataFrame) -> DataFrame:
@@ -152,7 +156,7 @@ def recurring(
     hits = F.filter(days, lambda d: F.array_contains(wanted, F.element_at(names, F.weekday(d) + 1)))
     rows = schedule.select("entry", "time", "bands", "genre_tags", F.explode(hits).alias("day"))
     out = rows.select(
-        (C("entry") * 10000 + F.datediff("day", start)).cast("bigint").alias("seq"),
+        place(C("entry"), F.datediff("day", start)).alias("seq"),
         temporal.event_time(C("day"), C("time")).alias("date"),
         F.lit(venue[0]).alias("venue_id"), F.lit(venue[1]).alias("venue_name"), F.lit(venue[2]).alias("venue_location"),
         "bands", F.lit(age).alias("age_requirement"),

@@ -18,7 +18,7 @@ from gigmesh.functions import temporal, text
 from gigmesh.functions.text import strip
 from gigmesh.operators import filters, grouping
 from gigmesh.runtime import computed_once
-from gigmesh.schema import as_listings, no_strings
+from gigmesh.schema import as_listings, no_strings, place
 from gigmesh.sources import dates
 
 C = F.col
@@ -144,7 +144,7 @@ def _page_rows(df: DataFrame, source: PageSource, now, html: str) -> DataFrame:
         rows = as_listings(
             rows.select(C("seq").alias("page"), "i", "rank", "v"),
             carry=("page",),
-            seq=(C("page") * 100000 + C("i")).cast("bigint"),
+            seq=place(C("page"), C("i")),
             **{k: (C(f"v.{k}").cast("timestamp_ntz") if k == "date" else C(f"v.{k}")) for k in values},
         ).withColumn("rank", F.lit(rank))
         out = rows if out is None else out.unionByName(rows)
@@ -346,7 +346,7 @@ def orchestra(df: DataFrame, now="1970-01-01", html: str = "html") -> DataFrame:
     f = _orchestra(C("perf"), now)
     rows = as_listings(
         named.where("name <> ''"),
-        seq=(C("seq") * 100000000 + C("i") * 1000 + C("j")).cast("bigint"),
+        seq=place(C("seq"), C("i"), C("j")),
         **{**f, "date": f["date"].cast("timestamp_ntz")},
         bands=F.array("name"),
         venue_id=F.when(C("lawn"), F.lit("tanglewood")).otherwise(F.lit("symphonyhall")),
@@ -378,7 +378,7 @@ def month_calendar(df: DataFrame, now="1970-01-01", html: str = "html") -> DataF
     skip = F.exists(text.literal_array(["trivia night", "trivia", "closed", "private"]), lambda w: F.lower(title).contains(w))
     out = as_listings(
         rows.where(~skip & (title != "")),
-        seq=(C("seq") * 100000000 + C("i") * 1000 + C("j")).cast("bigint"),
+        seq=place(C("seq"), C("i"), C("j")),
         date=C("date").cast("timestamp_ntz"), bands=bands, time=clock, age_requirement=F.lit("21+"),
         price_advance=price["advance"], price_door=price["door"],
         **_venue("ploughandstars", "The Plough and Stars", "Cambridge"),

@@ -35,6 +35,11 @@ def nested_round_trip(spark, d):
     return flat(back.select(*COLUMNS))
 
 
+def one_number(blocks: int = 100000):
+    """A place as the number that the checking SQL counts with; small documents only have one each."""
+    return (C("seq.document") * blocks + C("seq.block")).alias("seq")
+
+
 @query("nested_display", with_raw("""SELECT seq, strftime(date, '%Y-%m-%dT%H:%M:%S') AS date, strftime(date, '%a') AS day_of_week, venue_name AS venue,
   CASE WHEN coalesce(price_advance, 0) <> 0 AND coalesce(price_door, 0) <> 0 THEN '$' || price_advance || '/$' || price_door
        WHEN coalesce(price_advance, 0) <> 0 THEN '$' || price_advance WHEN coalesce(price_door, 0) <> 0 THEN '$' || price_door ELSE '' END AS price FROM raw"""))
@@ -42,7 +47,7 @@ def nested_display(spark, d):
     return to_nested(listings(spark, d)).select("seq", "date", "day_of_week", C("venue.name").alias("venue"), C("price.display").alias("price"))
 
 
-@query("union_sources", with_raw(f"""SELECT seq + CASE source WHEN 'ticketmaster' THEN 0 WHEN 'seatgeek' THEN {1 << 48} ELSE {2 << 48} END AS seq, id, source FROM raw"""))
+@query("union_sources", with_raw(f"""SELECT row_number() OVER (ORDER BY CASE source WHEN 'ticketmaster' THEN 0 WHEN 'seatgeek' THEN 1 ELSE 2 END, seq) - 1 AS seq, id, source FROM raw"""))
 def union_sources(spark, d):
     """Three sources in fixed order and one that fails."""
     rows = listings(spark, d)
@@ -161,8 +166,8 @@ def jsonld_events(spark, d):
     html = F.concat(F.lit('<html><script type="application/ld+json">'), F.when(s % 3 == 0, F.concat(F.lit("["), body, F.lit("]"))).otherwise(body), F.lit("</script></html>"))
     rows = listings(spark, d).where(C("date") >= F.to_timestamp_ntz(F.lit(AS_OF)))
     out = feeds.jsonld_listings(rows.select("seq", html.alias("html")), as_of=AS_OF)
-    known = rows.select((s * 1000000).alias("seq"), text.slug(C("venue_name"), "runs").alias("slug"))
-    return flat(out.join(known, "seq").select("seq", "date", "slug", "venue_id", "bands", "price_advance", "time"))
+    known = rows.select(s.alias("document"), text.slug(C("venue_name"), "runs").alias("slug"))
+    return flat(out.join(known, C("seq.document") == C("document")).select((C("document") * 1000000 + C("seq.block") * 1000 + C("seq.item")).alias("seq"), "date", "slug", "venue_id", "bands", "price_advance", "time"))
 
 
 NOW_FEED = f"{AS_OF} 00:00:00"
@@ -182,7 +187,7 @@ def embedded_json_events(spark, d):
     body = F.concat(F.lit('<script>var remEvents = {"1":'), F.to_json(event), F.lit("};\nother();</script>"))
     rows = listings(spark, d).where(F.size("bands") > 0)
     out = feeds.embedded_listings(rows.select("seq", body.alias("html")), now=NOW_FEED)
-    return flat(out.select("seq", "date", "bands", "price_advance", "time", "flags"))
+    return flat(out.select(one_number(), "date", "bands", "price_advance", "time", "flags"))
 
 
 @query("ical_events", with_raw(f"""SELECT venue_id AS feed, seq * 100000 AS seq, date + INTERVAL 19 HOUR + INTERVAL 30 MINUTE AS date, array_to_string(bands[1:2], '|') AS bands, price_advance, price_advance + 2 AS price_door, '7:30pm' AS "time"
@@ -198,7 +203,7 @@ def ical_events(spark, d):
     venue = F.when(s % 2 == 0, F.lit("lizardlounge")).otherwise(F.lit("rockwell"))
     rows = listings(spark, d).where(F.size("bands") > 0).select("seq", ics.alias("ics"), venue.alias("venue"))
     out = feeds.ical_listings(rows, now=NOW_FEED)
-    return flat(out.select(C("venue_id").alias("feed"), "seq", "date", "bands", "price_advance", "price_door", "time"))
+    return flat(out.select(C("venue_id").alias("feed"), one_number(), "date", "bands", "price_advance", "price_door", "time"))
 
 
 @query("rss_events", with_raw(f"""SELECT seq * 100000 AS seq, date, CASE WHEN seq % 3 = 0 THEN 'toad' ELSE 'mccarthys' END AS venue_id,
@@ -218,7 +223,7 @@ def rss_events(spark, d):
     )
     rows = listings(spark, d).where(F.size("bands") > 0)
     out = feeds.rss_listings(rows.select("seq", xml.alias("xml")), now=NOW_FEED)
-    return flat(out.select("seq", "date", "venue_id", "venue_name", "bands", "price_advance", "price_door", "age_requirement", "time"))
+    return flat(out.select(one_number(), "date", "venue_id", "venue_name", "bands", "price_advance", "price_door", "age_requirement", "time"))
 
 
 # -- pages ------------------------------------------------------------------------------------
@@ -276,7 +281,7 @@ def dated_line_listings(spark, d):
     )
     rows = listings(spark, d).where(F.size("bands") > 0).select("seq", body.alias("html"))
     out = dated_text.line_listings(rows, AS_OF)
-    return flat(out.select("seq", "date", "bands", "price_advance", "time"))
+    return flat(out.select(one_number(), "date", "bands", "price_advance", "time"))
 
 
 # -- schedules and work lists ---------------------------------------------------------------------
@@ -296,7 +301,7 @@ def recurring_events(spark, d):
         F.array("s_name").alias("bands"), F.array().cast("array<string>").alias("genre_tags"),
     )
     out = recurring(schedule, AS_OF)
-    return out.select("seq", "date", F.element_at("bands", 1).alias("band"), "time", "age_requirement")
+    return out.select(one_number(10000), "date", F.element_at("bands", 1).alias("band"), "time", "age_requirement")
 
 
 STEPS = fx.WEEKS_AHEAD // 4 + 1

@@ -4,7 +4,9 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from gigmesh.schema import LISTING
 from gigmesh.sources import dated_text, feeds, free_text, listings, pages, snapshots, venues
 
 NOW = "2026-01-31 12:00:00"
@@ -283,10 +285,59 @@ def test_source_union_survives_a_failing_source(spark):
     reg.register("bad", bad, rank=1)
     reg.register("early", good, rank=0)
     got, errors = reg.union(spark)
-    assert sorted(r.seq for r in got.collect()) == [1, (5 << 48) + 1]
+    assert sorted(r.seq for r in got.collect()) == [0, 1]
     assert [r.source for r in errors.collect()] == ["bad"]
 
 
+def test_source_that_fails_while_it_runs_costs_only_itself(spark, folder):
+    def corrupt(s):
+        import os
+
+        os.makedirs(f"{folder}/bad", exist_ok=True)
+        with open(f"{folder}/bad/part.parquet", "wb") as out:
+            out.write(b"no parquet at all, but long enough to be opened")
+        return s.read.schema(LISTING).parquet(f"{folder}/bad")
+
+    def cast(s):
+        rows = free_text.line_listings(one(s, "line", "Pile @ Deep Cuts"), as_of=DAY)
+        return rows.withColumn("price_door", F.expr("cast(concat(venue_name, 'x') as int)"))
+
+    good = lambda s: free_text.line_listings(one(s, "line", "Pile @ Deep Cuts"), as_of=DAY)
+    reg = listings.SourceRegistry()
+    for name, read in (("first", good), ("corrupt", corrupt), ("cast", cast), ("last", good)):
+        reg.register(name, read)
+    got, errors = reg.union(spark)
+    assert sorted(r.seq for r in got.collect()) == [0, 1]
+    assert [r.source for r in errors.collect()] == ["corrupt", "cast"]
+
+
+def test_many_events_in_a_block_and_many_partitions_keep_their_places(spark):
+    event = '{"@type":"MusicEvent","name":"Act %d","startDate":"2026-02-01T20:00:00","location":{"name":"Hall"}}'
+    body = "[" + ",".join(event % i for i in range(1001)) + "]"
+    html = f'<script type="application/ld+json">{body}</script><script type="application/ld+json">{event % 5000}</script>'
+    out = feeds.jsonld_listings(one(spark, "html", html), as_of="2026-01-01")
+    assert out.count() == 1002 == out.select("seq").distinct().count()
+    reg = listings.SourceRegistry()
+    reg.register("a", lambda s: out)
+    reg.register("b", lambda s: out)
+    rows = reg.union(spark)[0].select("seq", "bands").collect()
+    assert sorted(r.seq for r in rows) == list(range(2004))
+    acts = [r.bands[0] for r in sorted(rows, key=lambda r: r.seq)]
+    assert acts[:1002] == [f"Act {i}" for i in (*range(1001), 5000)] == acts[1002:]
+
+
+def test_numbers_follow_the_order_over_partitions(spark):
+    from gigmesh.operators.numbering import numbered
+
+    df = spark.range(20_000).select(((F.col("id") * 7919) % 20_000).alias("k"))
+    rows = numbered(df.repartition(40), "k", name="n").collect()
+    assert all(r.n == r.k for r in rows) and len(rows) == 20_000
+    # One very frequent key, and an empty table.
+    same = numbered(spark.range(5000).select(F.lit(1).alias("k")), "k", name="n")
+    assert sorted(r.n for r in same.collect()) == list(range(5000))
+    assert numbered(df.where("k < 0"), "k").count() == 0
+
+
 def test_fixed_recurring_schedule(spark):
     got = listings.recurring(listings.fixed_schedule(spark), "2026-01-31").collect()
     # Four weeks: 4 early sets, 5 late sets and one jam per week.
