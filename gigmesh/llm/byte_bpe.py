@@ -22,8 +22,8 @@ returned. Empty tables give empty results. Only ``doc_id`` and ``text`` are read
 from __future__ import annotations
 
 import base64
-import ctypes
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import duckdb
@@ -94,25 +94,25 @@ class Tables:
         self.ranks = read_ranks(raw)
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
-        pairs, ranks = [], []
+        tb.release()
+        pairs, ranks = array("q"), array("i")
         for token, rank in self.ranks.items():
             for k in range(1, len(token)):
                 left, right = self.ranks.get(token[:k]), self.ranks.get(token[k:])
                 if left is not None and right is not None:
                     pairs.append(left << 32 | right)
                     ranks.append(rank)
-        self._load("merges", pa.table({"pair": pa.array(pairs, pa.int64()), "rank": pa.array(ranks, pa.int32())}))
+        self._load("merges", pa.table({"pair": pa.array(np.frombuffer(pairs, np.int64)), "rank": pa.array(np.frombuffer(ranks, np.int32))}))
         known = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
         self._load("vocabulary", known)
+        del pairs, ranks, known
+        tb.release()
 
     def close(self) -> None:
         """Give the memory back: the worker lives on, and other workers of the executor need it."""
         self.db.close()
         self.ranks = {}
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        tb.release()
 
     def _load(self, name: str, table: pa.Table) -> None:
         self.db.register("incoming", table)

@@ -7,6 +7,7 @@ depend on the bytes alone.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,6 +25,14 @@ _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers live on between stages, and others of the executor need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def byte_set(outside: bool, *ranges: tuple[int, int]) -> np.ndarray:
     """Boolean table of bytes in (or outside) the ranges."""
     table = np.full(256, outside)
@@ -96,6 +105,7 @@ def slices(column: pa.Array) -> Iterator[Slice]:
         end = min(end, n)
         yield Slice(at, end, raw[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
         at = end
+    release()
 
 
 def find_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
