@@ -41,7 +41,7 @@ PATTERN = public_tokenizers.PATTERN
 #: Bytes of a piece from which a step contracts all its pairs of least rank.
 LONG = 128
 #: Bytes of pieces and tokens that a task remembers; when full it starts over. Longer pieces are not remembered.
-REMEMBERED, WORTH = 32 << 20, 512
+REMEMBERED, WORTH = 64 << 20, 512
 #: Bits of a place inside a piece, and of a whole place; a rank comes above them.
 PLACE_BITS, WHOLE_BITS = 24, 46
 #: Pieces in one query.

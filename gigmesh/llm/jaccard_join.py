@@ -247,8 +247,8 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= PERCENT * (len(x) + len(y) - both) > 0)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-            known.clear()
-            tb.release()
+        known = {}
+        tb.release()
 
     copies = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(PER_COPY)).alias("copies"))
     right = copies.join(texts, F.col("b") == F.col("rep")).select(

@@ -105,7 +105,6 @@ def slices(column: pa.Array) -> Iterator[Slice]:
         end = min(end, n)
         yield Slice(at, end, raw[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
         at = end
-    release()
 
 
 def find_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
