@@ -40,10 +40,15 @@ VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Bytes of a piece from which a step contracts all its pairs of least rank.
 LONG = 128
-#: Bytes of pieces and tokens that a task remembers; when full it starts over. Longer pieces are not remembered.
+#: Bytes of pieces and tokens that a task remembers, in two halves: the older one is forgotten when the younger is full,
+#: what was met again meanwhile stays. Longer pieces are not remembered.
 REMEMBERED, WORTH = 64 << 20, 512
 #: Bits of a place inside a piece, and of a whole place; a rank comes above them.
 PLACE_BITS, WHOLE_BITS = 24, 46
+#: Bytes of texts encoded and decoded at once.
+SLICE_BYTES = 1 << 20
+#: DuckDB's bound, and the size of a query's peak from which it gives memory back to the system.
+ENGINE = {"threads": 1, "memory_limit": "250MB", "allocator_flush_threshold": "16MB"}
 #: Pieces in one query.
 PIECES = 1 << (WHOLE_BITS - PLACE_BITS)
 
@@ -78,7 +83,7 @@ SELECT p >> {bits} AS w, list(tok ORDER BY p) AS ids FROM t WHERE done GROUP BY
 """
 
 _DECODE = """
-SELECT d, unhex(string_agg(hex, '' ORDER BY spot)) AS bytes FROM ids_of JOIN vocabulary USING (id) GROUP BY d
+SELECT d, list(bytes ORDER BY spot) AS tokens FROM ids_of JOIN vocabulary USING (id) GROUP BY d
 """
 
 
@@ -92,8 +97,9 @@ class Tables:
 
     def __init__(self, raw: bytes) -> None:
         self.ranks = read_ranks(raw)
+        self.written = {rank: str(rank) for rank in self.ranks.values()}
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
+        self.db = duckdb.connect(config=ENGINE)
         tb.release()
         pairs, ranks = array("q"), array("i")
         for token, rank in self.ranks.items():
@@ -103,7 +109,7 @@ class Tables:
                     pairs.append(left << 32 | right)
                     ranks.append(rank)
         self._load("merges", pa.table({"pair": pa.array(np.frombuffer(pairs, np.int64)), "rank": pa.array(np.frombuffer(ranks, np.int32))}))
-        known = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
+        known = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "bytes": pa.array(list(self.ranks), pa.binary())})
         self._load("vocabulary", known)
         del pairs, ranks, known
         tb.release()
@@ -111,7 +117,7 @@ class Tables:
     def close(self) -> None:
         """Give the memory back: the worker lives on, and other workers of the executor need it."""
         self.db.close()
-        self.ranks = {}
+        self.ranks, self.written = {}, {}
         tb.release()
 
     def _load(self, name: str, table: pa.Table) -> None:
@@ -163,8 +169,13 @@ class Tables:
         rows = pa.table({"d": pa.array(owner.astype(np.int32)), "spot": pa.array(np.arange(len(ids), dtype=np.int32)), "id": pa.array(ids.astype(np.int32))})
         found = self._ask("ids_of", rows, _DECODE)
         out = [b""] * n
-        for d, raw in zip(found["d"].to_pylist(), found["bytes"].to_pylist(), strict=True):
-            out[d] = raw
+        # The bytes of a list's tokens lie one after another: a text is cut out of them.
+        for owners, lists in zip(found["d"].chunks, found["tokens"].chunks, strict=True):
+            tokens = lists.values.cast(pa.large_binary())
+            bounds = np.frombuffer(tokens.buffers()[1], np.int64)[tokens.offset :][np.asarray(lists.offsets)]
+            raw = memoryview(tokens.buffers()[2] or b"")
+            for d, first, last in zip(owners.to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                out[d] = bytes(raw[first:last])
         return out
 
 
@@ -174,16 +185,18 @@ class Encoder:
     def __init__(self, tables: Tables, pattern: str) -> None:
         self.tables, self.split = tables, regex.compile(pattern)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
     def ids(self, s: tb.Slice) -> list[bytes]:
         """Each text's ids, as the bytes of 32-bit numbers."""
         pieces = [self.split.findall(s.text(i).decode()) for i in range(s.last - s.first)]
-        if self.held > REMEMBERED:
-            self.known.clear()
-            self.held = 0
-        fresh = list(set().union(*pieces).difference(self.known))
-        found = {p: ids.tobytes() for p, ids in zip(fresh, self.tables.encode_pieces([p.encode() for p in fresh]), strict=True)}
+        if self.held > REMEMBERED // 2:
+            self.older, self.known, self.held = self.known, {}, 0
+        missing = set().union(*pieces).difference(self.known)
+        found = {p: self.older[p] for p in missing.intersection(self.older)}
+        fresh = list(missing.difference(found))
+        found.update((p, ids.tobytes()) for p, ids in zip(fresh, self.tables.encode_pieces([p.encode() for p in fresh]), strict=True))
         self.known.update(found)
         out = [b"".join(map(self.known.__getitem__, own)) for own in pieces]
         for p, ids in found.items():
@@ -211,7 +224,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN
         encoder = None
         for batch in batches:
             encoder = encoder or Encoder(Tables(raw.value), pattern)
-            for s in tb.slices(batch.column("text")):
+            for s in tb.slices(batch.column("text"), SLICE_BYTES):
                 ids = encoder.ids(s)
                 ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
@@ -251,13 +264,14 @@ def digests(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTER
         encoder = None
         for batch in batches:
             encoder = encoder or Encoder(Tables(raw.value), pattern)
-            for s in tb.slices(batch.column("text")):
+            written = encoder.tables.written.__getitem__
+            for s in tb.slices(batch.column("text"), SLICE_BYTES):
                 ids = [np.frombuffer(x, np.int32) for x in encoder.ids(s)]
                 n = [len(x) for x in ids]
                 decoded = encoder.tables.decode(np.concatenate(ids), np.repeat(np.arange(len(ids)), n), len(ids))
                 columns = [
                     batch.column("doc_id").slice(s.first, len(ids)), pa.array(n, pa.int64()),
-                    pa.array([hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids]),
+                    pa.array([hashlib.sha256(",".join(map(written, x.tolist())).encode()).hexdigest() for x in ids]),
                     pa.array([hashlib.sha256(x).hexdigest() for x in decoded]),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])

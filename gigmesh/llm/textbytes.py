@@ -87,8 +87,9 @@ class Slice:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
 
-def slices(column: pa.Array) -> Iterator[Slice]:
-    """Cut a string column into runs of rows of about ``SLICE_BYTES``; nulls are empty."""
+def slices(column: pa.Array, size: int | None = None) -> Iterator[Slice]:
+    """Cut a string column into runs of rows of about ``size`` bytes (``SLICE_BYTES``); nulls are empty."""
+    size = size or SLICE_BYTES
     n = len(column)
     if n == 0:
         return
@@ -101,7 +102,7 @@ def slices(column: pa.Array) -> Iterator[Slice]:
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     at = 0
     while at < n:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, side="right")) - 1)
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
         end = min(end, n)
         yield Slice(at, end, raw[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
         at = end

@@ -57,7 +57,7 @@ def test_round_trip_and_digests(table, tokenizer, texts, clashes):
 def test_what_a_task_remembers_may_start_over(table, tokenizer, texts, monkeypatch):
     monkeypatch.setattr(b, "REMEMBERED", 500)
     monkeypatch.setattr(b, "WORTH", 4)
-    monkeypatch.setattr(b.tb, "SLICE_BYTES", 100)
+    monkeypatch.setattr(b, "SLICE_BYTES", 100)
     rows = list(enumerate(texts[:40]))
     assert {r.doc_id: list(r.ids) for r in b.encode(table(rows)).collect()} == {d: tokenizer.encode_ordinary(t) for d, t in rows}
 
