@@ -15,7 +15,8 @@ Two documents link when 100 times the shared runs reach 75 times the union.
 4. Groups are cut into blocks of about ``BLOCK`` members. The matrix says which block publishes
    which run. A node queries the blocks of other groups that share a run and fit its size; the
    union of all runs in the block bounds the overlap, and only blocks that could hold a partner
-   are opened and compared.
+   are opened. In them, the parities of hashed runs (``MARKS`` bits) bound what two sets don't
+   share from below, so texts meet only where a link is possible; meeting texts are compared.
 5. Components are taken over all links.
 
 Null and empty texts have size 0 and are their own component. Repeated rows are each returned.
@@ -44,6 +45,8 @@ WIDTH = 5
 PERCENT = 75
 #: Values of the min-hash sketch, and how many must agree before a leader is tried.
 SKETCH, AGREE = 8, 3
+#: Bits of a set's parities: each run flips one, so two sets differ in at most as many bits as in runs.
+MARKS = 1024
 #: Runs counted together before frequent ones are reported, and the least count that is.
 COUNTED, FREQUENT = 1 << 20, 3
 #: Most frequent runs that shape the order. Any order gives the same links.
@@ -111,7 +114,15 @@ def _long(raw: bytes) -> int:
     return int.from_bytes(raw, "little", signed=True)
 
 
-_FEATURES = "doc_id bigint, text_key bigint, n bigint, sig bigint, sig2 bigint, sketch array<bigint>, token bigint, times bigint"
+def _parities(runs: np.ndarray) -> np.ndarray:
+    """For each of ``MARKS`` bits, whether an odd number of runs falls on it; as 64-bit numbers."""
+    bits = np.bincount((runs % np.uint64(MARKS)).astype(np.int64), minlength=MARKS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+_FEATURES = (
+    "doc_id bigint, text_key bigint, n bigint, sig bigint, sig2 bigint, sketch array<bigint>, marks array<bigint>, token bigint, times bigint"
+)
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -119,14 +130,14 @@ def features(docs: DataFrame) -> DataFrame:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in _FEATURES.split(", ")]
-        kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] + [pa.int64()] * 2
+        kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2 + [pa.int64()] * 2
         seen, held, size = set(), [], 0
 
         def frequent() -> pa.RecordBatch:
             tokens, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64),) * 2
             often = times >= FREQUENT
             tokens, times = tokens[often].view(np.int64), times[often].astype(np.int64)
-            none = [pa.nulls(len(tokens), k) for k in kinds[:6]]
+            none = [pa.nulls(len(tokens), k) for k in kinds[:7]]
             return pa.RecordBatch.from_arrays([*none, pa.array(tokens), pa.array(times)], names=names)
 
         for batch in batches:
@@ -136,14 +147,14 @@ def features(docs: DataFrame) -> DataFrame:
                 for runs in _sets(s.data, s.offsets):
                     sig = _signature(runs)
                     sketch = (runs[:, None] * _MULTIPLIERS).min(axis=0).view(np.int64) if len(runs) else np.zeros(0, np.int64)
-                    rows.append((len(runs), _long(sig[:8]), _long(sig[8:]), sketch))
+                    rows.append((len(runs), _long(sig[:8]), _long(sig[8:]), sketch, _parities(runs)))
                     if sig not in seen:
                         seen.add(sig)
                         held.append(runs)
                         size += len(runs)
-                n, sig, sig2, sketch = zip(*rows, strict=True)
+                columns = zip(*rows, strict=True)
                 known = [c.slice(s.first, s.last - s.first) for c in (ids, keys)]
-                known += [pa.array(c, k) for c, k in zip((n, sig, sig2, sketch), kinds[2:6], strict=True)]
+                known += [pa.array(c, k) for c, k in zip(columns, kinds[2:7], strict=True)]
                 yield pa.RecordBatch.from_arrays([*known, pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64())], names=names)
                 if size >= COUNTED:
                     yield frequent()
@@ -218,6 +229,13 @@ def _sizes_fit(a, b):
     return (PERCENT * F.col(a) <= 100 * F.col(b)) & (PERCENT * F.col(b) <= 100 * F.col(a))
 
 
+def _may_link(x, marks_x, y, marks_y):
+    """Whether sets of sizes ``x`` and ``y`` can link, given that they differ in at least as many runs as their marks in bits."""
+    bits = F.zip_with(marks_x, marks_y, lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    apart = F.aggregate(bits, F.lit(0), lambda total, k: total + k)
+    return (100 + PERCENT) * (F.col(x) + F.col(y) - apart) >= 2 * PERCENT * (F.col(x) + F.col(y))
+
+
 def leader_pairs(nodes: DataFrame) -> DataFrame:
     """``a, b``: each node with the smallest node that shares some sketch value, if several values agree."""
     keyed = nodes.select("rep", F.posexplode("sketch").alias("k", "value"))
@@ -295,10 +313,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """``doc_id, text_key, n_shingles, component_id`` per row; ``text_key`` is the text's xxhash64."""
     sc = docs.sparkSession.sparkContext
     feats = cut_lineage(features(docs))
-    rows = feats.where("sig is not null").select("doc_id", "text_key", "n", "sig", "sig2", "sketch")
-    nodes = cut_lineage(
-        rows.groupBy("sig", "sig2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    )
+    rows = feats.where("sig is not null").select("doc_id", "text_key", "n", "sig", "sig2", "sketch", "marks")
+    same = [F.first(c).alias(c) for c in ("n", "sketch", "marks")]
+    nodes = cut_lineage(rows.groupBy("sig", "sig2").agg(F.min("doc_id").alias("rep"), *same))
     full = nodes.where("n > 0 and rep is not null")
 
     # Published runs that several nodes share, and the texts of those nodes.
@@ -326,10 +343,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     )
     queries = cut_lineage(asked.join(matrix, "token").where(fits).select("rep", "n", "grp", "slot", "alone").distinct())
     # The union of a block of one is that member: opening it is the bound.
-    opened = queries.where("alone").select("rep", "n", "grp", "slot").union(_bounded(queries.where("not alone"), texts, placed))
-    members = placed.select(F.col("rep").alias("b"), F.col("n").alias("y"), "grp", "slot")
-    sized = opened.select(F.col("rep").alias("a"), F.col("n").alias("x"), "grp", "slot").join(members, ["grp", "slot"])
-    across = linked(cut_lineage(sized.where(_sizes_fit("x", "y")).select("a", "b").distinct()), texts)
+    opened = cut_lineage(
+        queries.where("alone").select("rep", "n", "grp", "slot").union(_bounded(queries.where("not alone"), texts, placed))
+    )
+    marks = full.select("rep", "marks")
+    members = placed.join(opened.select("grp", "slot").distinct(), ["grp", "slot"], "left_semi").join(marks, "rep")
+    members = members.select(F.col("rep").alias("b"), F.col("n").alias("y"), F.col("marks").alias("marks_b"), "grp", "slot")
+    asking = opened.join(marks, "rep").select(F.col("rep").alias("a"), F.col("n").alias("x"), F.col("marks").alias("marks_a"), "grp", "slot")
+    possible = asking.join(members, ["grp", "slot"]).where(_sizes_fit("x", "y") & _may_link("x", "marks_a", "y", "marks_b"))
+    across = linked(cut_lineage(possible.select("a", "b").distinct()), texts)
 
     links = components(near.union(across).toDF("u", "v"))
     ids = nodes.select("sig", "sig2", "rep").join(links, F.col("rep") == F.col("node"), "left")
