@@ -103,7 +103,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                 )
 
     texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    return tb.small_batches(texts).mapInArrow(cut, CHUNK_SCHEMA)
+    return tb.small_batches(texts).mapInArrow(tb.freeing(cut), CHUNK_SCHEMA)
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ def build_index(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             yield shard.row()
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    return cut_lineage(tb.small_batches(texts).mapInArrow(shards, INDEX_SCHEMA))
+    return cut_lineage(tb.small_batches(texts).mapInArrow(tb.freeing(shards), INDEX_SCHEMA))
 
 
 def _phrases(items: DataFrame, width: int, block: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -195,7 +195,7 @@ def search(index: DataFrame, block, every: bool) -> DataFrame:
                 )
                 yield out.filter(pa.array(keep))
 
-    return tb.small_batches(index).mapInArrow(look, HIT_SCHEMA)
+    return tb.small_batches(index).mapInArrow(tb.freeing(look), HIT_SCHEMA)
 
 
 def _merged(pairs):

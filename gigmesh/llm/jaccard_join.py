@@ -88,7 +88,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
                 texts = [shut.compress(s.text(i)) for i in range(s.last - s.first)]
                 yield pa.RecordBatch.from_arrays([batch.column("rep").slice(s.first, s.last - s.first), pa.array(texts, pa.binary())], names=["rep", "packed"])
 
-    return tb.small_batches(docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text")).mapInArrow(pack, "rep bigint, packed binary")
+    return tb.small_batches(docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text")).mapInArrow(tb.freeing(pack), "rep bigint, packed binary")
 
 
 def packed_set(packed: bytes) -> np.ndarray:
@@ -162,7 +162,7 @@ def features(docs: DataFrame) -> DataFrame:
         yield frequent()
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    return tb.small_batches(texts).mapInArrow(hashed, _FEATURES)
+    return tb.small_batches(texts).mapInArrow(tb.freeing(hashed), _FEATURES)
 
 
 def heavy_runs(feats: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -209,7 +209,7 @@ def published(docs: DataFrame, heavy) -> DataFrame:
                     columns = [np.concatenate(out).view(np.int64), np.repeat(np.array(sigs, np.int64), sizes), n, (100 + PERCENT) * (n - place) - PERCENT * n]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "sig", "n", "room"])
 
-    return tb.small_batches(docs.select("text")).mapInArrow(prefixes, "token bigint, sig bigint, n bigint, room bigint")
+    return tb.small_batches(docs.select("text")).mapInArrow(tb.freeing(prefixes), "token bigint, sig bigint, n bigint, room bigint")
 
 
 def _shared(rows: DataFrame, by: str) -> DataFrame:
@@ -265,8 +265,6 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= PERCENT * (len(x) + len(y) - both) > 0)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-        known = {}
-        tb.release()
 
     copies = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(PER_COPY)).alias("copies"))
     right = copies.join(texts, F.col("b") == F.col("rep")).select(
@@ -274,7 +272,7 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     )
     dealt = pairs.join(copies, "b").select("a", "b", F.pmod(F.xxhash64("a"), "copies").alias("copy"))
     left = dealt.join(texts, F.col("a") == F.col("rep")).select("a", "b", "copy", F.col("packed").alias("left"))
-    return tb.small_batches(left.join(right, ["b", "copy"]).select("a", "b", "left", "right")).mapInArrow(compare, "a bigint, b bigint")
+    return tb.small_batches(left.join(right, ["b", "copy"]).select("a", "b", "left", "right")).mapInArrow(tb.freeing(compare), "a bigint, b bigint")
 
 
 def _blocks(nodes: DataFrame) -> DataFrame:
@@ -306,7 +304,7 @@ def _bounded(queries: DataFrame, texts: DataFrame, blocks: DataFrame) -> DataFra
     members = blocks.join(wanted, ["grp", "slot"]).join(texts, "rep").select("grp", "slot", "n", "packed")
     unions = members.groupBy("grp", "slot").applyInPandas(union, "grp bigint, slot bigint, runs binary, least bigint")
     asked = queries.join(unions, ["grp", "slot"]).join(texts, "rep").select("rep", queries["n"], "grp", "slot", "packed", "runs", "least")
-    return tb.small_batches(asked).mapInArrow(reach, "rep bigint, n bigint, grp bigint, slot bigint")
+    return tb.small_batches(asked).mapInArrow(tb.freeing(reach), "rep bigint, n bigint, grp bigint, slot bigint")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:

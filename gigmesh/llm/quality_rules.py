@@ -67,7 +67,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             [pa.array(np.arange(BUCKETS)), pa.array(raw), pa.array(target)], names=["bucket", "raw", "target"]
         )
 
-    parts = tb.small_batches(docs.select("text", "trusted")).mapInArrow(count, "bucket bigint, raw bigint, target bigint")
+    parts = tb.small_batches(docs.select("text", "trusted")).mapInArrow(tb.freeing(count), "bucket bigint, raw bigint, target bigint")
     return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
@@ -128,7 +128,7 @@ def measure(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     schema = f"doc {rows.schema['doc'].dataType.simpleString()}, " + ", ".join(f"{c} bigint" for c in FIGURES)
-    return tb.small_batches(rows).mapInArrow(figures, schema)
+    return tb.small_batches(rows).mapInArrow(tb.freeing(figures), schema)
 
 
 def judge(measured: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

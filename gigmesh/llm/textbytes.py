@@ -8,8 +8,9 @@ depend on the bytes alone.
 from __future__ import annotations
 
 import ctypes
+import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +34,17 @@ def release() -> None:
         trim(0)
 
 
+def freeing(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` for ``mapInArrow``, with :func:`release` when a task's rows are through."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        release()
+
+    return run
+
+
 def byte_set(outside: bool, *ranges: tuple[int, int]) -> np.ndarray:
     """Boolean table of bytes in (or outside) the ranges."""
     table = np.full(256, outside)
