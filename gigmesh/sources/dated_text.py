@@ -11,11 +11,11 @@ from gigmesh.functions.text import strip
 from gigmesh.operators import filters, grouping, lines
 from gigmesh.schema import as_listings, no_strings, place
 from gigmesh.sources import dates, pages
+from gigmesh.sources.pages import MONTHS_FULL, page_text
 
 C = F.col
 
 # Words, patterns and venue tables.
-MONTHS_FULL = "(?:january|february|march|april|may|june|july|august|september|october|november|december)"
 DAYS_FULL = "(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday)"
 # pattern, id, name, city
 BOLD_VENUES = [
@@ -84,19 +84,9 @@ DATE_ONLY = (
     r"(?i)^(mon|tue|wed|thu|fri|sat|sun)\s*$|^" + DAYS_FULL + r"\s*$|"
     r"^(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\s+\d{1,2}\s*$|^\d{1,2}/\d{1,2}\s*$|^\d{1,2}\s*$"
 )
-NEXT_LINE_NAV = [
-    "next", "prev", "previous", "month", "today", "calendar", "filter", "search", "view", "more", "load", "show all",
-    "buy tickets", "sold out", "on sale", "select",
-]
 PUB_SKIP = ["free show", "no-cover", "residency", "followed by", "here for you", "live music", "follow us"]
 
 
-def page_text(html: Column) -> Column:
-    """Visible text of a page, one line per tag boundary."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", "")
-    return text.html_unescape(F.regexp_replace(bare, r"(?s)<[^>]*>", "\n"))
-
-
 def _venue(c: Column, table: list) -> tuple[Column, Column, Column]:
     low = F.lower(c)
     pick = lambda k: F.coalesce(*[F.when(low.contains(row[0]), F.lit(row[k])) for row in table])
@@ -302,19 +292,8 @@ def context_listings(df: DataFrame, as_of, html: str = "html") -> DataFrame:
 
 def next_line_listings(df: DataFrame, as_of, html: str = "html") -> DataFrame:
     """The line after a date line is the billing, unless it is navigation."""
-    arr = df.select("seq", lines.lines_of(page_text(C(html))).alias("lines"))
-    dated = lambda s: s.rlike(dates.MONTH_DAY)
-    f = lines.around(arr, "lines", dated, after=1).withColumn("title", F.get("following", F.lit(0)))
-    nav = F.exists(text.literal_array(NEXT_LINE_NAV), lambda w: F.lower("title").contains(w))
-    other = C("title").rlike(rf"(?i)^(\d|{MONTHS_FULL}|AM|PM|\$)")
-    bands = text.split_bands(C("title"))
-    out = as_listings(
-        f.where(C("title").isNotNull() & ~nav & ~other & (F.length("title") > 3) & (F.length("title") < 200)),
-        seq=_seq(), date=dates.month_day(C("line"), as_of).cast("timestamp_ntz"),
-        venue_id=F.lit("narrowscenter"), venue_name=F.lit("Narrows Center for the Arts"), venue_location=F.lit("Fall River"),
-        bands=F.when(F.size(bands) > 0, bands).otherwise(F.array("title")), time=F.lit("7:30pm"), source=F.lit("narrows_center"),
-    )
-    return out.where(C("date").isNotNull())
+    source = pages.PageSource("next_line", "narrows_center", [pages.next_lines], [pages.next_line_fields], window=None)
+    return pages.extract(df, source, as_of, html)
 
 
 def current(df: DataFrame, as_of) -> DataFrame:

@@ -10,15 +10,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gigmesh import fixed_values as fx
 from gigmesh.functions import temporal, text
 from gigmesh.functions.text import strip
-from gigmesh.operators import filters, grouping
+from gigmesh.operators import filters, grouping, lines
 from gigmesh.runtime import computed_once
-from gigmesh.schema import as_listings, no_strings, place
+from gigmesh.schema import as_listings, defaults, no_strings, place
 from gigmesh.sources import dates
 
 C = F.col
@@ -38,6 +38,11 @@ def blocks(html: Column, start: str) -> Column:
     return F.slice(F.split(html, "(?is)(?=" + start + ")"), F.when(F.regexp_like(html, F.lit("(?is)^" + start)), 1).otherwise(2), F.lit(1 << 30))
 
 
+def pieces(html: Column, start: str | Callable[[Column], Column]) -> Column:
+    """The parts of a page that one strategy reads."""
+    return start(html) if callable(start) else blocks(html, start)
+
+
 def inner(block: Column, cls: str = "", tag: str = r"\w+") -> Column:
     """Markup inside the first element with a matching class."""
     has_class = rf"(?=[^>]*\bclass=[\"'][^\"']*{cls}[^\"']*[\"'])" if cls else ""
@@ -71,6 +76,12 @@ def settled(df: DataFrame, html: str = "html") -> DataFrame:
     return computed_once(df.withColumn(html, text.settle_references(C(html))), html)
 
 
+def page_text(html: Column, decode: Callable[[Column], Column] = text.html_unescape) -> Column:
+    """Visible text of a page, one line per tag boundary."""
+    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", "")
+    return decode(F.regexp_replace(bare, r"(?s)<[^>]*>", "\n"))
+
+
 def page_fields(df: DataFrame, html: str = "html") -> DataFrame:
     """Title, first heading, list entries and links of any page."""
     df = settled(df, html)
@@ -89,11 +100,15 @@ Fields = Callable[[Column, object], dict]
 
 @dataclass
 class PageSource:
-    """How to read one listing site."""
+    """How to read one listing site.
+
+    Strategies stand in order of preference: ``starts`` holds patterns where blocks begin, or functions from a page
+    to its pieces, and ``fields`` what reads each piece.
+    """
 
     name: str
     source: str
-    starts: list[str]
+    starts: list[str | Callable[[Column], Column]]
     fields: list[Fields]
     keys: list = field(default_factory=list)
     window: str | None = "open"
@@ -124,38 +139,63 @@ def _label(at: Column) -> Column:
 def extract(df: DataFrame, source: PageSource, now="1970-01-01", html: str = "html") -> DataFrame:
     """Listings of all pages of one source.
 
-    The first strategy that finds any listing in a page is used for that page: every
-    strategy's rows carry its rank and only the best rank per page stays.
+    The first strategy that finds any listing in a page is used for that page. It is chosen inside the page's row, so
+    pages are read once, nothing is shuffled for it, and later strategies only run where all earlier ones found nothing.
     """
     out = _page_rows(df, source, now, html).drop("page")
     return grouping.first_seen(out, source.keys) if source.keys else out
 
 
-def _page_rows(df: DataFrame, source: PageSource, now, html: str) -> DataFrame:
-    """Listings with the ``page`` that holds them, before the first per key is chosen."""
-    out = None
-    df = settled(df.select("seq", html), html)
-    for rank, (start, fields) in enumerate(zip(source.starts, source.fields)):
-        cut = df.select("seq", F.posexplode(blocks(C(html), start)).alias("i", "block"))
-        values = {**source.shared, **fields(C("block"), now)}
-        values.setdefault("source", F.lit(source.source))
-        rows = cut.select("seq", "i", F.struct(*[v.alias(k) for k, v in values.items()]).alias("v"))
-        rows = computed_once(rows, "v").where(C("v.date").isNotNull() & (F.size("v.bands") > 0)).withColumn("rank", F.lit(rank))
-        rows = as_listings(
-            rows.select(C("seq").alias("page"), "i", "rank", "v"),
-            carry=("page",),
-            seq=place(C("page"), C("i")),
-            **{k: (C(f"v.{k}").cast("timestamp_ntz") if k == "date" else C(f"v.{k}")) for k in values},
-        ).withColumn("rank", F.lit(rank))
-        out = rows if out is None else out.unionByName(rows)
-    if len(source.starts) > 1:
-        # All rows of a page fit one cell of the input, so the window partition is small.
-        best = F.min("rank").over(Window.partitionBy("page"))
-        out = out.withColumn("best", best).where(C("rank") == C("best")).drop("best")
-    out = out.drop("rank")
-    if source.window:
-        out = filters.lookahead(out, now, source.window)
-    return out
+def _is_listing(values: dict) -> Column:
+    return values["date"].isNotNull() & (F.size(values["bands"]) > 0)
+
+
+def _first_hit(html: Column, source: PageSource, now) -> Column:
+    """``(way, pieces)`` of the first strategy with a listing among its pieces, NULL when there is none.
+
+    Each strategy's pieces are cut at most once, and the search in them ends at the first listing.
+    """
+
+    def hit(way: int, start, fields: Fields) -> Column:
+        cut = F.struct(F.lit(way).alias("way"), pieces(html, start).alias("pieces"))
+        return F.get(F.filter(F.array(cut), lambda c: F.exists(c["pieces"], lambda b: _is_listing(fields(b, now)))), F.lit(0))
+
+    return F.coalesce(*[hit(way, *strategy) for way, strategy in enumerate(zip(source.starts, source.fields))])
+
+
+def _values(source: PageSource, now) -> dict:
+    """Listing columns of a ``block``, by the strategy (``way``) that it was cut for."""
+    read = {}
+    for way, fields in enumerate(source.fields):
+        read.setdefault(fields, []).append(way)
+    found = [(ways, fields(C("block"), now)) for fields, ways in read.items()]
+    for _, values in found:
+        values["date"] = values["date"].cast("timestamp_ntz")
+    if len(found) == 1:
+        values = found[0][1]
+    else:
+        usual = defaults()
+        names = dict.fromkeys(n for _, values in found for n in values)
+        by_way = lambda n: F.coalesce(*[F.when(C("way").isin(ways), values[n] if n in values else usual[n]) for ways, values in found])
+        values = {n: by_way(n) for n in names}
+    values = {**source.shared, **values}
+    values.setdefault("source", F.lit(source.source))
+    return values
+
+
+def _page_rows(df: DataFrame, source: PageSource, now, html: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Listings with the ``page`` that holds them and its columns ``carry``, before the first per key is chosen."""
+    df = settled(df.select("seq", html, *carry), html)
+    if len(source.starts) == 1:
+        cut = df.select("seq", *carry, F.posexplode(pieces(C(html), source.starts[0])).alias("i", "block"))
+    else:
+        hit = computed_once(df.select("seq", *carry, _first_hit(C(html), source, now).alias("hit")), "hit")
+        cut = hit.select("seq", *carry, C("hit.way").alias("way"), F.posexplode("hit.pieces").alias("i", "block"))
+    values = _values(source, now)
+    rows = cut.select(C("seq").alias("page"), "i", *carry, F.struct(*[v.alias(k) for k, v in values.items()]).alias("v"))
+    rows = computed_once(rows, "v").where(_is_listing({k: C(f"v.{k}") for k in ("date", "bands")}))
+    out = as_listings(rows, carry=("page", *carry), seq=place(C("page"), C("i")), **{k: C(f"v.{k}") for k in values})
+    return filters.lookahead(out, now, source.window) if source.window else out
 
 
 # -- keys and words (fixed values) -----------------------------------------------------
@@ -169,6 +209,11 @@ NAV_TITLES = ["buy tickets", "tickets", "buy", "more", "details"]
 NAV_LINKS = [
     "buy tickets", "tickets", "buy", "buy now", "get tickets", "more", "details", "more info", "view", "see all",
 ]
+MONTHS_FULL = "(?:january|february|march|april|may|june|july|august|september|october|november|december)"
+NEXT_LINE_NAV = [
+    "next", "prev", "previous", "month", "today", "calendar", "filter", "search", "view", "more", "load", "show all",
+    "buy tickets", "sold out", "on sale", "select",
+]
 SHOW_LINK = r"<a\b[^>]*href=[\"'][^\"']*(?:eventperformances|ordertickets)[^>]*>"
 PERFORMANCE_VENUES = {
     "berklee performance center": "berklee_bpc",
@@ -465,6 +510,31 @@ def _arts_center(title_of: Callable[[Column], Column], reject: Callable[[Column]
     return fields
 
 
+def next_lines(html: Column) -> Column:
+    """Date lines of a page's text, each with the line after it behind a line break. References are settled before."""
+    paired = lambda s, t: F.when(s.rlike(dates.MONTH_DAY), F.concat(s, F.lit("\n"), t))
+    # The lines are bound to a variable, or they would be computed twice.
+    pairs = F.transform(
+        F.array(lines.lines_of(page_text(html, text.basic_unescape))),
+        lambda a: F.zip_with(a, F.slice(a, F.lit(2), F.lit(1 << 30)), paired),
+    )
+    return F.filter(F.get(pairs, F.lit(0)), lambda p: p.isNotNull())
+
+
+def next_line_fields(pair: Column, now) -> dict:
+    """The line after a date line is the billing, unless it is navigation."""
+    line, title = F.substring_index(pair, "\n", 1), F.substring_index(pair, "\n", -1)
+    nav = F.exists(text.literal_array(NEXT_LINE_NAV), lambda w: F.lower(title).contains(w))
+    other = title.rlike(rf"(?i)^(\d|{MONTHS_FULL}|AM|PM|\$)")
+    bad = nav | other | (F.length(title) <= 3) | (F.length(title) >= 200)
+    return {
+        "date": dates.month_day(line, now),
+        "bands": _blank_when(bad, _or_title(text.split_bands(title), title)),
+        "time": F.lit("7:30pm"),
+        **_venue("narrowscenter", "Narrows Center for the Arts", "Fall River"),
+    }
+
+
 def holder(tags: str, inside: str) -> str:
     """Pattern of the opening tag nearest before ``inside``, of the given kinds."""
     return rf"<(?:{tags})\b[^>]*>(?=(?:(?!<(?:{tags})\b).)*?{inside})"
@@ -640,10 +710,12 @@ def page_sources() -> dict[str, PageSource]:
             PageSource("jazzboston", "jazzboston", [start_tag("eli_row", "div")], [_jazz], keys=[head(), day()], window=None),
             PageSource(
                 "narrows_center", "narrows_center",
-                [holder("div|li|tr|td", start_tag("perfname")), start_tag(r"(?:event-item|performance-item|show-item)"), holder("div|li|tr", SHOW_LINK)],
+                [holder("div|li|tr|td", start_tag("perfname")), start_tag(r"(?:event-item|performance-item|show-item)"), holder("div|li|tr", SHOW_LINK),
+                 next_lines],
                 [_arts_center(lambda b: text_of(b, "perfname"), lambda t: _is_word(t, NAV_WORDS) | F.lower(t).isin(NAV_TITLES)),
                  _arts_center(lambda b: F.coalesce(F.nullif(text_of(b, r"(?:title|name|perf)"), F.lit("")), *[F.nullif(text_of(b, tag=t), F.lit("")) for t in ("h2", "h3", "h4", "a")], F.lit(""))),
-                 _arts_center(lambda b: plain(F.regexp_extract(b, "(?is)" + SHOW_LINK + "(.*?)</a>", 1)), lambda t: F.lower(t).isin(NAV_LINKS), linked=True)],
+                 _arts_center(lambda b: plain(F.regexp_extract(b, "(?is)" + SHOW_LINK + "(.*?)</a>", 1)), lambda t: F.lower(t).isin(NAV_LINKS), linked=True),
+                 next_line_fields],
                 keys=[day(), head()], window=None,
             ),
             PageSource("club_delf", "club_delf",
@@ -669,9 +741,9 @@ def tour_site_listings(df: DataFrame, now="1970-01-01", html: str = "html", venu
     spark = df.sparkSession
     venues = spark.createDataFrame(TOUR_SITE_VENUES, "vid string, vname string, city string, number string, age string")
     upcoming = df.withColumn(html, F.regexp_replace(html, r"(?is)<h2\b[^>]*>[^<]*past.*$", ""))
-    rows = _page_rows(upcoming.select("seq", html), page_sources()["songkick_venues"], now, html)
-    pages = df.select(C("seq").alias("page"), C(venue).alias("vid"))
-    full = rows.join(pages, "page").join(F.broadcast(venues), "vid")
+    named = upcoming.select("seq", html, C(venue).alias("vid"))
+    rows = _page_rows(named, page_sources()["songkick_venues"], now, html, carry=("vid",))
+    full = rows.join(F.broadcast(venues), "vid")
     out = as_listings(
         full.drop("id"),
         date=C("date"), bands=C("bands"), time=C("time"), source=C("source"),

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -241,6 +242,20 @@ def test_strategies_are_chosen_by_page(spark, monkeypatch):
     assert sorted(r.date.day for r in out.collect()) == [1, 2] and "page" not in out.columns
 
 
+def test_each_fallback_level_wins_on_its_page(spark):
+    """One page for each strategy of the arts center; a page also holds what all later strategies would read."""
+    forms = [
+        '<td><b class="display-perfname">One</b><i class="date">May 1, 2026</i></td>', '<p class="event-item"><b class="title">Two</b><i class="date">May 2, 2026</i></p>',
+        '<li>May 3, 2026 <a href="/ordertickets?1">Three</a></li>', "<p>May 4, 2026</p><p>Four &amp;amp; Co</p><p>May 5, 2026</p><p>Sold out</p>",
+    ]
+    made = [(k, "<p>menu</p>" + "".join(forms[k:])) for k in range(4)] + [(4, "<p>May 6, 2026</p>"), (5, ""), (6, None)]
+    df = spark.createDataFrame(made, "seq bigint, html string")
+    out = pages.extract(df, pages.page_sources()["narrows_center"], NOW)
+    assert sorted((r.seq.document, r.bands[0], r.date.day) for r in out.collect()) == [(0, "One", 1), (1, "Two", 2), (2, "Three", 3), (3, "Four &amp; Co", 4)]
+    plan = pages._page_rows(df, pages.page_sources()["narrows_center"], NOW, "html")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"(?m)^\W*(?:\*\(\d+\) )?(?:Window|Union|Exchange|\w*Join)\b", plan) and plan.count("Scan ") <= 1
+
+
 def test_sessions_skip_the_check_when_a_date_closes_them(spark):
     entry = "Sunday, February 8 2026, 5:00 pm\nMidway Cafe\nPile, Krill\ntickets $5\n"
     got = dated_text.session_listings(one(spark, "text", entry + entry + "\n" + entry + "\nstray line\n" + entry), DAY, html="text")
