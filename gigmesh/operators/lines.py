@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gigmesh.functions.text import strip
+from gigmesh.operators.numbering import numbered
 
 Test = Callable[[Column], Column]
 
@@ -117,20 +118,22 @@ def sessions(df: DataFrame, lines: str, is_heading: Test) -> DataFrame:
 
 
 def neighbours(
-    df: DataFrame, group: list[str], pos: str, columns: dict[str, tuple[str, int]], width: int = 4096
+    df: DataFrame, group: list[str], pos: str, columns: dict[str, tuple[str, int]], width: int = 4096, gapless: bool = False
 ) -> DataFrame:
     """Add values of rows at fixed offsets in the same group.
 
-    ``columns`` maps a new name to ``(column, offset)``; a negative offset looks
-    back. ``pos`` must count rows without gaps. Long groups are cut into blocks of
-    ``width`` positions that repeat the few rows their edges need, so one group may
-    hold any share of the rows.
+    ``columns`` maps a new name to ``(column, offset)``; a negative offset looks back. Offsets count rows in the order
+    of ``pos``, whatever gaps it has; rows without ``pos`` come first, equal ones in any order. Rows are numbered over
+    range partitions and cut into blocks of ``width`` rows that repeat the few rows their edges need, so one group may
+    hold any share of the rows. ``gapless`` says that ``pos`` is never NULL and counts the rows of each group one by
+    one, which saves the numbering.
     """
     reach_back = max([0, *(-o for _, o in columns.values())])
     reach_on = max([0, *(o for _, o in columns.values())])
     if max(reach_back, reach_on) > width:
         raise ValueError("width must cover the largest offset")
-    block, inside = F.floor(F.col(pos) / width), F.col(pos) % width
+    out = df.withColumn("__at", F.col(pos)) if gapless else numbered(df, *group, pos, name="__at")
+    block, inside = F.floor(F.col("__at") / width), F.pmod("__at", F.lit(width))
     homes = F.array_compact(
         F.array(
             block,
@@ -138,11 +141,19 @@ def neighbours(
             F.when(inside < reach_on, block - 1) if reach_on else F.lit(None),
         )
     )
-    w = Window.partitionBy(*group, "__home").orderBy(pos)
-    out = df.withColumn("__own", block).withColumn("__home", F.explode(homes))
-    for name, (column, offset) in columns.items():
-        out = out.withColumn(name, F.lag(column, -offset).over(w) if offset < 0 else F.lead(column, offset).over(w))
-    return out.where(F.col("__home") == F.col("__own")).drop("__home", "__own")
+    # Numbers run on over all groups, so a block may hold several: neighbours of another group are blanked.
+    w = Window.partitionBy(*(group if gapless else []), "__home").orderBy("__at")
+    out = out.withColumn("__own", block).withColumn("__home", F.explode(homes))
+
+    def near(column: str, offset: int) -> Column:
+        at = lambda c: F.lag(c, -offset).over(w) if offset < 0 else F.lead(c, offset).over(w)
+        same = F.lit(True)
+        for key in group:
+            same = same & at(key).eqNullSafe(F.col(key))
+        return F.when(same, at(column))
+
+    out = out.select("*", *[near(*wanted).alias(name) for name, wanted in columns.items()])
+    return out.where(F.col("__home") == F.col("__own")).drop("__home", "__own", "__at")
 
 
 def numbered_lines(df: DataFrame, lines: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.errors import AnalysisException
 
+from gigmesh.operators import filters
 from gigmesh.operators.normalize import normalize_listings
 from gigmesh.schema import with_id
 
@@ -65,16 +66,23 @@ def notify(df: DataFrame, state: NotifiedIds, as_of, run: str, send, dry_run: bo
     return True
 
 
-def stream_new(raw: DataFrame, watermark: str | None = None, at: str = "last_updated") -> DataFrame:
+def stream_new(raw: DataFrame, watermark: str | None = None, at: str | None = "last_updated") -> DataFrame:
     """Normalized listings of a stream, each id once.
 
     Without a watermark the ids seen are kept for good; with one, an id counts as seen
-    for that long after it arrived, which bounds the state.
+    for that long after it arrived, which bounds the state. ``at`` is the column that tells
+    when; with None it is the time of arrival, by which no row is ever late.
     """
-    rows = with_id(normalize_listings(raw))
+    return _once(with_id(normalize_listings(raw)), watermark, at)
+
+
+def _once(rows: DataFrame, watermark: str | None, at: str | None) -> DataFrame:
     if watermark is None:
         return rows.dropDuplicates(["id"])
-    return rows.withWatermark(at, watermark).dropDuplicatesWithinWatermark(["id"])
+    if at is not None:
+        return rows.withWatermark(at, watermark).dropDuplicatesWithinWatermark(["id"])
+    arrived = rows.withColumn("__arrived", F.current_timestamp()).withWatermark("__arrived", watermark)
+    return arrived.dropDuplicatesWithinWatermark(["id"]).drop("__arrived")
 
 
 def write_stream(rows: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -83,24 +91,20 @@ def write_stream(rows: DataFrame, path: str, checkpoint: str, available_now: boo
     return (writer.trigger(availableNow=True) if available_now else writer).start(path)
 
 
-def stream_digest(raw: DataFrame, path: str, checkpoint: str, as_of) -> StreamingQuery:
-    """Per micro-batch: listings not seen in earlier batches, written with their batch.
+def stream_digest(raw: DataFrame, path: str, checkpoint: str, as_of, horizon: str | None = None) -> StreamingQuery:
+    """Per micro-batch: listings from ``as_of`` on whose id is new, written with their batch under ``path/rows``.
 
-    Each batch owns one folder of ids and one of rows, and overwrites them, so a
-    replayed batch gives the same files.
+    Ids seen are keyed state of the stream, so a batch costs its own rows and never reads earlier ones. With a
+    ``horizon`` the state is bounded: an id stays at least that long after its first arrival, leaves when a batch
+    finds twice that time gone, and then counts as new. Without one, ids stay for good.
+    Each batch owns one folder and overwrites it: a replayed batch starts from the same state and leaves nothing twice.
+    For state beyond the memory of the executors, choose RocksDB in ``spark.sql.streaming.stateStore.providerClass``.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = with_id(normalize_listings(batch)).dropDuplicates(["id"])
-        try:
-            seen = spark.read.parquet(f"{path}/rows").where(C("batch") < batch_id).select("id")
-            rows = new_since(rows, seen)
-        except AnalysisException as error:
-            if not _is_missing(error):
-                raise
-        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
 
+    rows = _once(filters.not_past(with_id(normalize_listings(raw)), as_of), horizon, None)
     return (
-        raw.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

@@ -96,3 +96,17 @@ def stream_new(spark, d):
     query = new_listings.write_stream(new_listings.stream_new(raw), f"{base}/out", f"{base}/checkpoint")
     query.awaitTermination()
     return spark.read.schema(with_id(normalize_listings(spark.read.schema(schema).parquet(f"{base}/in"))).schema).parquet(f"{base}/out").select("id")
+
+
+@query("stream_digest", with_norm(f"SELECT DISTINCT {id_sql()} AS id, 1 AS n FROM norm WHERE date >= DATE '{AS_OF}'"))
+def stream_digest(spark, d):
+    """All listings twice through a stream of several batches: each id from today on comes out once."""
+    import uuid
+
+    base = f"{checkpoint_dir(spark)}/stream/{uuid.uuid4().hex}"
+    rows = listings(spark, d)
+    for _ in range(2):
+        rows.write.mode("append").parquet(f"{base}/in")
+    raw = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
+    new_listings.stream_digest(raw, f"{base}/out", f"{base}/checkpoint", AS_OF, horizon="60 days").awaitTermination()
+    return spark.read.parquet(f"{base}/out/rows").groupBy("id").agg(F.count("*").alias("n"))

@@ -1,6 +1,7 @@
 """Run-to-run state, streams and positional operators over split groups."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,10 +95,38 @@ def test_stream_digest_emits_once_across_batches(spark, folder):
     assert sorted((r.batch, r.bands[0]) for r in got.collect()) == [(0, "Krill"), (0, "Pile"), (1, "Bane")]
 
 
+def test_stream_digest_keeps_ids_as_state_and_forgets_old_ones(spark, folder):
+    source = lambda: spark.readStream.schema(raw(spark, "x").schema).parquet(f"{folder}/in")
+    sizes = []
+    for batch in (["Pile", "Krill"], ["Pile", "Bane"], ["Late"], ["Last"]):
+        raw(spark, *batch).write.mode("append").parquet(f"{folder}/in")
+        query = new_listings.stream_digest(source(), f"{folder}/out", f"{folder}/cp", DAY, horizon="1 second")
+        query.awaitTermination()
+        sizes.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        time.sleep(3)
+    assert sizes[0] <= 2 and sizes[-1] <= 1, sizes
+    past = raw(spark, "Past", day=dt.datetime(2020, 1, 1))
+    past.write.mode("append").parquet(f"{folder}/in")
+    new_listings.stream_digest(source(), f"{folder}/out", f"{folder}/cp", DAY, horizon="1 second").awaitTermination()
+    assert "Past" not in {r.bands[0] for r in spark.read.parquet(f"{folder}/out/rows").collect()}
+
+
+@pytest.mark.parametrize("width", [2, 4096])
+def test_neighbours_over_gaps(spark, width):
+    places = [("a", p) for p in (None, 1, 2, 5000, 5001)] + [("b", -7), ("b", 1 << 40), (None, 3), (None, 9)]
+    df = spark.createDataFrame([(g, p, f"{g}{p}") for g, p in places], "g string, p bigint, v string")
+    got = {(r.g, r.p): (r.back, r.on) for r in lines.neighbours(df, ["g"], "p", {"back": ("v", -1), "on": ("v", 2)}, width).collect()}
+    assert got == {
+        ("a", None): (None, "a2"), ("a", 1): ("aNone", "a5000"), ("a", 2): ("a1", "a5001"), ("a", 5000): ("a2", None), ("a", 5001): ("a5000", None),
+        ("b", -7): (None, None), ("b", 1 << 40): ("b-7", None), (None, 3): (None, None), (None, 9): ("None3", None),
+    }
+
+
+@pytest.mark.parametrize("gapless", [False, True])
 @pytest.mark.parametrize("width", [3, 5, 4096])
-def test_neighbours_do_not_depend_on_the_block_width(spark, width):
+def test_neighbours_do_not_depend_on_the_block_width(spark, width, gapless):
     df = spark.createDataFrame([(g, p, f"{g}{p}") for g in "ab" for p in range(23)], "g string, p int, v string")
-    got = lines.neighbours(df, ["g"], "p", {"back": ("v", -3), "on": ("v", 2)}, width)
+    got = lines.neighbours(df, ["g"], "p", {"back": ("v", -3), "on": ("v", 2)}, width, gapless)
     for r in got.collect():
         assert r.back == (f"{r.g}{r.p - 3}" if r.p >= 3 else None)
         assert r.on == (f"{r.g}{r.p + 2}" if r.p <= 20 else None)
