@@ -342,7 +342,10 @@ def html_escape(c: Column) -> Column:
 
 
 # The standard's named references, with and (the old ones) without a closing semicolon.
-_NAMED = json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})
+# By first letter: a map column is searched from its start, so one map of all names would cost as many comparisons.
+_NAMED = json.dumps(
+    {first: {k[:-1]: v for k, v in html5.items() if k.endswith(";") and k[0] == first} for first in sorted({k[0] for k in html5})}
+)
 _WINDOWS = json.dumps({k: bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(128, 160)})
 _OPEN = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
 
@@ -366,13 +369,14 @@ def _references(c: Column, shown) -> Column:
         opened = F.regexp_extract(x, "^&(" + "|".join(_OPEN) + ")", 1)
         number = lambda d, base: F.try_to_number(F.conv(F.when(F.length(F.ltrim(d, F.lit("0"))) > 9, F.lit("7fffffff" if base == 16 else "2147483647")).otherwise(d), base, 10), F.lit("9999999999")).cast("bigint")
         rest = lambda pattern: F.regexp_replace(x, pattern, "")
-        table = F.from_json(F.lit(_NAMED), "map<string,string>")  # a constant: folded into one literal map
-        known = F.try_element_at(table, named)
+        table = F.from_json(F.lit(_NAMED), "map<string,map<string,string>>")  # a constant: folded into one literal map
+        find = lambda name: F.try_element_at(F.try_element_at(table, F.substring(name, 1, 1)), name)
+        known = find(named)
         return (
             F.when(digits != "", F.concat(shown(_character(number(digits, 10))), rest(r"^&#\d+;?")))
             .when(hexed != "", F.concat(shown(_character(number(hexed, 16))), rest("^&#[xX][0-9a-fA-F]+;?")))
             .when((named != "") & known.isNotNull(), F.concat(shown(known), rest("^&[A-Za-z0-9]+;")))
-            .when(opened != "", F.concat(shown(F.try_element_at(table, opened)), F.substr(x, F.length(opened) + 2)))
+            .when(opened != "", F.concat(shown(find(opened)), F.substr(x, F.length(opened) + 2)))
             .otherwise(x)
         )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gigmesh import fixed_values as fx
 from gigmesh.functions import temporal, text
+from gigmesh.operators import numbering
 
 
 def first_seen(df: DataFrame, keys: list, order="seq") -> DataFrame:
@@ -84,21 +85,13 @@ def top_per_group(df: DataFrame, group: str, order: list, n: int, name: str = "p
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
 
 
-def numbered(df: DataFrame, order: Column, tie: str = "id", prefix: int = 2, name: str = "position") -> DataFrame:
+def numbered(df: DataFrame, order: Column, tie: str = "id", name: str = "position") -> DataFrame:
     """1-based position over all rows by a text key, without sorting them in one task.
 
-    Rows are ranked inside the bucket of their first characters; the counts of the
-    smaller buckets give the offset.
+    Rows are ranged by key and tie together, so names that begin alike spread over tasks, too. Rows without a key come first.
     """
-    keyed = df.withColumn("__order", order).withColumn("__bucket", F.substring("__order", 1, prefix))
-    sizes = keyed.groupBy("__bucket").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__bucket").orderBy("__order", tie))
-    out = keyed.withColumn("__in", inside).join(offsets, "__bucket")
-    return out.withColumn(name, (F.col("__before") + F.col("__in")).cast("int")).drop(
-        "__order", "__bucket", "__in", "__before"
-    )
+    out = numbering.numbered(df.withColumn("__order", order), "__order", tie, name=name)
+    return out.withColumn(name, (F.col(name) + 1).cast("int")).drop("__order")
 
 
 def article_free(c: Column) -> Column:

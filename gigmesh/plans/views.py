@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gigmesh import fixed_values as fx
 from gigmesh.functions import temporal, text
-from gigmesh.operators import filters, grouping
+from gigmesh.operators import filters, grouping, numbering
 
 C = F.col
 
@@ -65,6 +65,18 @@ def by_date_sorted(df: DataFrame, as_of, **kw) -> DataFrame:
     return by_date(df, as_of, **kw).orderBy("week_num", "day", "venue_key", "time_key", "seq")
 
 
+def by_date_numbered(df: DataFrame, as_of, **kw) -> DataFrame:
+    """:func:`by_date` with each line's 1-based ``position`` in the whole list and ``day_position`` in its day.
+
+    Lines are numbered over range partitions, and a day begins at its least position: no task holds a whole day.
+    """
+    rows = numbering.numbered(by_date(df, as_of, **kw), "week_num", "day", "venue_key", "time_key", "seq", name="position")
+    starts = rows.groupBy("day").agg(F.min("position").alias("__start"))
+    # One row per day of the view's weeks.
+    placed = rows.join(F.broadcast(starts), "day")
+    return placed.withColumn("day_position", C("position") - C("__start") + 1).withColumn("position", C("position") + 1).drop("__start")
+
+
 def by_band(df: DataFrame) -> DataFrame:
     """One row per performer and listing, under the performer's display name."""
     names = grouping.band_names(df)

@@ -134,6 +134,15 @@ def view_by_date(spark, d):
     return views.by_date(norm(spark, d), AS_OF)
 
 
+@query("by_date_numbered", with_norm(f"""SELECT seq, row_number() OVER (ORDER BY week_num, day, venue_key, time_key, seq) AS position,
+  row_number() OVER (PARTITION BY day ORDER BY venue_key, time_key, seq) AS day_position FROM (
+  SELECT seq, {WEEK} AS week_num, CAST(date AS DATE) AS day, lower(venue_name) AS venue_key,
+    {time_minutes_sql('"time"', 1200, chr(92) + 'd{1,2}')} AS time_key FROM norm WHERE {WEEK} < 43 AND CAST(date AS DATE) >= {WEEK0})"""))
+def by_date_numbered(spark, d):
+    """The reading order of the date view as positions, over all and within each day."""
+    return views.by_date_numbered(norm(spark, d), AS_OF).select("seq", "position", "day_position")
+
+
 @query("view_by_band", with_norm(f"""SELECT * FROM (WITH {BANDNAMES} SELECT band_key, display_name, {band_anchor('display_name')} AS anchor, lower(display_name) AS sort_key,
    seq, date, strftime(date, '%b %-d') AS day_label, {esc('venue_name')} || ', ' || {esc('venue_location')} AS venue,
    {venue_anchor('venue_id')} AS venue_anchor, {DETAILS} AS details, {FLAGS} AS flag_text, CAST(NULL AS VARCHAR) AS source_url

@@ -2,6 +2,7 @@
 
 
 import pytest
+from pyspark.sql import functions as F
 
 from gigmesh.operators import filters, grouping
 from gigmesh.operators.normalize import normalize_listings
@@ -61,3 +62,13 @@ def test_checkpoint_folder_is_taken_from_the_session(spark):
     cut = cut_lineage(spark.range(3))
     assert spark.conf.get("spark.checkpoint.dir") in cut.inputFiles()[0]
     assert table(spark, SF_DIR, "region").count() == 5
+
+
+def test_names_that_begin_alike_are_numbered_in_order(spark):
+    """Half of the names share their beginning, some are missing, all ties are broken by id."""
+    name = F.when(F.col("id") % 2 == 0, F.concat(F.lit("the "), F.lpad((F.col("id") % 700).cast("string"), 4, "0"))).when(F.col("id") % 3 == 0, F.lit("a"))
+    df = spark.range(3000).select("id", name.alias("name"))
+    got = [(r.position, r.name, r.id) for r in grouping.numbered(df, F.col("name")).collect()]
+    want = sorted(((r.name, r.id) for r in df.collect()), key=lambda x: (x[0] or "", x[1]))
+    assert [(p, n, i) for p, n, i in sorted(got)] == [(k, n, i) for k, (n, i) in enumerate(want, 1)]
+    assert grouping.numbered(df.where("id < 0"), F.col("name")).count() == 0
