@@ -160,7 +160,8 @@ def venue_groups(nodes: DataFrame) -> DataFrame:
 def clusters(listings: DataFrame, size: int = cluster.FIRST_ROUND) -> DataFrame:
     """``(seq, leader)`` for every listing of a cluster with two or more members."""
     feats = features(listings)
-    sig = F.md5(F.to_json(F.struct(*SIGNATURE), {"ignoreNullFields": "false"}))
+    # Half the bytes of the digest's text form; digests don't compress.
+    sig = F.unhex(F.md5(F.to_json(F.struct(*SIGNATURE), {"ignoreNullFields": "false"})))
     signed = cut_lineage(feats.withColumn("sig", sig))
     firsts = [F.any_value(c).alias(c) for c in SIGNATURE]
     nodes = cut_lineage(signed.groupBy("sig").agg(F.min("seq").alias("pos"), F.count("*").alias("copies"), *firsts))

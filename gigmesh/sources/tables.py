@@ -31,13 +31,16 @@ def _pick(values: list[str], index: Column) -> Column:
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw listings: an order is a show, its lines are the billing.
 
-    Lines are grouped by order key first, so the join with orders reuses that
-    partitioning; the part and customer sides are joined by key.
+    Lines are spread by order key as they are and grouped where they arrive, and the join
+    with orders reuses that partitioning. Orders meet their customers before, while rows are
+    narrow, so billings move once.
     """
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     billing = (
         lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        .drop("p_partkey")
+        .repartition("l_orderkey")
         .groupBy("l_orderkey")
         .agg(
             F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "p_name"))).alias("lines"),
@@ -51,12 +54,13 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
         .select("c_custkey", "n_name")
     )
-    # The join key's partitioning is set here and kept by the join, however few files hold the orders.
-    orders = table(spark, sf_dir, "orders").repartition("o_orderkey")
-    key = F.col("o_orderkey")
-    rows = orders.join(billing, key == F.col("l_orderkey"), "left").join(
-        places, F.col("o_custkey") == F.col("c_custkey"), "left"
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority", "o_orderstatus"
     )
+    placed = orders.join(places, F.col("o_custkey") == F.col("c_custkey"), "left").drop("o_custkey", "c_custkey")
+    key = F.col("o_orderkey")
+    # The join key's partitioning is set here and kept by the join, however few files hold the orders.
+    rows = placed.repartition("o_orderkey").join(billing, key == F.col("l_orderkey"), "left")
     name = _pick(VENUES, F.coalesce("supp", F.lit(0)) % 12)
     advance = F.floor(F.col("o_totalprice") / 20000).cast("int")
     none = F.array().cast("array<string>")

@@ -72,3 +72,15 @@ def test_names_that_begin_alike_are_numbered_in_order(spark):
     want = sorted(((r.name, r.id) for r in df.collect()), key=lambda x: (x[0] or "", x[1]))
     assert [(p, n, i) for p, n, i in sorted(got)] == [(k, n, i) for k, (n, i) in enumerate(want, 1)]
     assert grouping.numbered(df.where("id < 0"), F.col("name")).count() == 0
+
+
+def test_customers_join_before_billings(spark):
+    """Orders meet customers while they are narrow: the last join is the one with the billings, and collected lines don't move."""
+    from gigmesh.sources.tables import listings
+
+    df = listings(spark, SF_DIR)
+    joins = [line for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join " in line]
+    assert "l_orderkey" in joins[0] and "c_custkey" not in joins[0]
+    text = plan(df)
+    partial = text.index("partial_collect_list")
+    assert "Exchange" not in text[text.index("collect_list") : partial]
