@@ -114,7 +114,8 @@ def candidates(names: DataFrame, percent: int) -> DataFrame:
     )
     # Each bit of one that the other lacks is a mark that they don't share.
     fits = F.least(F.col("x.n") - lost("x", "y"), F.col("y.n") - lost("y", "x")) * 200 >= (F.col("x.n") + F.col("y.n")) * percent
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & once & fits)
+    # Names look small to the planner, but each has many keys: without the hint they would pass through the driver.
+    met = x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & once & fits)
     return met.select(F.least("x.s", "y.s").alias("a"), F.greatest("x.s", "y.s").alias("b")).distinct()
 
 

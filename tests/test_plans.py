@@ -84,3 +84,12 @@ def test_customers_join_before_billings(spark):
     text = plan(df)
     partial = text.index("partial_collect_list")
     assert "Exchange" not in text[text.index("collect_list") : partial]
+
+
+def test_keys_of_similar_names_never_pass_through_the_driver(spark):
+    from gigmesh.operators.similar import candidates
+
+    names = spark.createDataFrame([("abcdefgh",), ("abcdefgi",), ("zzzz",)], "s string")
+    found = candidates(names, 80)
+    assert "BroadcastHashJoin" not in plan(found) and "SortMergeJoin" in plan(found)
+    assert [tuple(r) for r in found.collect()] == [("abcdefgh", "abcdefgi")]
