@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gigmesh import fixed_values as fx
-from gigmesh.functions.text import blank, literal_map, strip
+from gigmesh.functions.text import blank, bound, literal_map, strip
 
 DAY = "yyyy-MM-dd"
 
@@ -57,25 +57,30 @@ def normalize_time(c: Column) -> Column:
 
 def parse_time(c: Column) -> Column:
     """First clock in the text as ``h[am|pm]``; minutes dropped, pm assumed."""
-    low = strip(F.lower(F.coalesce(c, F.lit(""))))
-    hour = F.regexp_extract(low, fx.CLOCK, 1).try_cast("int")
-    suffix = F.regexp_extract(low, fx.CLOCK, 3)
-    shown = F.when(suffix == "", F.lit("pm")).otherwise(suffix)
-    return (
-        F.when(hour.isNull(), F.lit(fx.DEFAULT_TIME))
-        .when(hour > 12, F.concat((hour - 12).cast("string"), F.lit("pm")))
-        .when(hour == 0, F.lit("12am"))
-        .otherwise(F.concat(hour.cast("string"), shown))
-    )
+
+    def shown(m: Column) -> Column:
+        hour, suffix = m["hour"], m["suffix"]
+        return (
+            F.when(hour.isNull(), F.lit(fx.DEFAULT_TIME))
+            .when(hour > 12, F.concat((hour - 12).cast("string"), F.lit("pm")))
+            .when(hour == 0, F.lit("12am"))
+            .otherwise(F.concat(hour.cast("string"), F.when(suffix == "", F.lit("pm")).otherwise(suffix)))
+        )
+
+    read = lambda low: F.struct(F.regexp_extract(low, fx.CLOCK, 1).try_cast("int").alias("hour"), F.regexp_extract(low, fx.CLOCK, 3).alias("suffix"))
+    return bound(bound(strip(F.lower(F.coalesce(c, F.lit("")))), read), shown)
 
 
 def parse_time_minutes(c: Column, default: str = fx.DEFAULT_TIME) -> Column:
     """First ``h[:mm] am/pm`` in the text, ``:00`` left out; other text gives the default."""
     pattern = r"(\d{1,2})(?::(\d{2}))?\s*(am|pm)"
-    low = F.lower(F.coalesce(c, F.lit("")))
-    hour, minute, suffix = (F.regexp_extract(low, pattern, i) for i in (1, 2, 3))
-    shown = F.concat(hour, F.when((minute != "") & (minute != "00"), F.concat(F.lit(":"), minute)).otherwise(""), suffix)
-    return F.when(suffix == "", F.lit(default)).otherwise(shown)
+
+    def shown(found: Column) -> Column:
+        hour, minute, suffix = (F.regexp_extract(found, pattern, i) for i in (1, 2, 3))
+        minutes = bound(minute, lambda m: F.when((m != "") & (m != "00"), F.concat(F.lit(":"), m)).otherwise(""))
+        return F.when(found == "", F.lit(default)).otherwise(F.concat(hour, minutes, suffix))
+
+    return bound(F.regexp_extract(F.lower(F.coalesce(c, F.lit(""))), pattern, 0), shown)
 
 
 def clock_label(ts: Column, minutes: bool = True) -> Column:
@@ -180,6 +185,19 @@ YEAR_RULES = {
 }
 
 
+def date_or_null(year: Column, month: Column, day_of_month: Column) -> Column:
+    """A date of the years 0 to 9999, NULL when there is no such day. No text is formed or parsed, so a wrong date costs no exception."""
+
+    def read(p: Column) -> Column:
+        y, m, d = p["y"], p["m"], p["d"]
+        leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+        last = F.get(F.array(*[F.lit(n) for n in (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)]), m - 1)
+        known = (y >= 0) & (y <= 9999) & (d >= 1) & ((d <= last) | (leap & (m == 2) & (d == 29)))
+        return F.when(known, F.make_date(y, m, d))
+
+    return bound(F.struct(year.alias("y"), month.alias("m"), day_of_month.alias("d")), read)
+
+
 def infer_year(month: Column, day_of_month: Column, as_of, rule: str) -> Column:
     """Date for a month and day without a year; NULL when no such day exists.
 
@@ -189,12 +207,10 @@ def infer_year(month: Column, day_of_month: Column, as_of, rule: str) -> Column:
     """
     today = as_date(as_of)
 
-    def make(year):
-        return F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day_of_month), DAY)
-
-    this_year, next_year = make(F.year(today)), make(F.year(today) + 1)
+    this_year = date_or_null(F.year(today), month, day_of_month)
     if rule == "none":
         return this_year
+    next_year = date_or_null(F.year(today) + 1, month, day_of_month)
     if rule == "earlier_month":
         return F.when(month < F.month(today), next_year).otherwise(this_year)
     return F.when(F.datediff(today, this_year) > YEAR_RULES[rule], next_year).otherwise(this_year)

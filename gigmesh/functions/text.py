@@ -6,7 +6,9 @@ listing text (accents, curly quotes, no-break spaces) needs.
 
 from __future__ import annotations
 
+import functools
 import json
+import operator
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -48,6 +50,16 @@ def literal_array(values) -> Column:
     return F.expr("array(" + ", ".join(sql_string(v) for v in values) + ")")
 
 
+def bound(value: Column, read) -> Column:
+    """``read(value)`` with the value computed once, however often ``read`` uses it."""
+    return F.get(F.transform(F.array(value), read), F.lit(0))
+
+
+def has_any(low: Column, words) -> Column:
+    """One of the words occurs in the text; NULL for no text. The text should be :func:`bound`."""
+    return functools.reduce(operator.or_, [low.contains(w) for w in words], F.lit(False))
+
+
 def blank(c: Column) -> Column:
     """True for NULL or the empty string."""
     return c.isNull() | (c == "")
@@ -130,9 +142,9 @@ def slug(c: Column, mode: str) -> Column:
     raise ValueError(f"unknown slug mode {mode!r}")
 
 
-def contains_map(c: Column, table: dict) -> Column:
+def contains_map(c: Column, table: dict, lowered: bool = False) -> Column:
     """Value of the first pattern, in declared order, that occurs in the lower-cased text."""
-    low = F.lower(c)
+    low = c if lowered else F.lower(c)
     return F.coalesce(*[F.when(low.contains(k), F.lit(v)) for k, v in table.items()])
 
 
@@ -245,9 +257,13 @@ def parse_price(c: Column, mode: str = "scraper") -> Column:
     low = F.lower(text)
     if mode == "scraper":
         low = strip(low)
-        nums = F.transform(F.regexp_extract_all(low, F.lit(fx.AMOUNT), F.lit(1)), whole)
-        first, second = F.try_element_at(nums, F.lit(1)), F.try_element_at(nums, F.lit(2))
-        return F.when(low.contains("free"), zero).otherwise(_price(first, F.coalesce(second, first)))
+
+        def amounts(t: Column) -> Column:
+            nums = F.transform(F.regexp_extract_all(t, F.lit(fx.AMOUNT), F.lit(1)), whole)
+            pair = bound(nums, lambda n: _price(F.get(n, F.lit(0)), F.coalesce(F.get(n, F.lit(1)), F.get(n, F.lit(0)))))
+            return F.when(t.contains("free"), zero).otherwise(pair)
+
+        return bound(low, amounts)
     if mode in ("line", "pair", "free_pair"):
         pattern = r"\$(\d+)(?:[/-]\$?(\d+))?" if mode == "line" else r"\$(\d+)(?:\s*/\s*\$?(\d+))?"
         adv = whole(F.regexp_extract(text, pattern, 1))
