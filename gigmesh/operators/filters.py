@@ -88,14 +88,17 @@ def priority_names(df: DataFrame, priority=None, bands: str = "bands") -> DataFr
     )
 
 
-def with_priority_flag(df: DataFrame, priority=None, key: str = "seq") -> DataFrame:
-    """Add boolean ``has_priority_band``."""
-    hits = priority_names(df, priority)
-    keys = (
-        df.select(key, F.explode("bands").alias("band")).join(hits, "band", "left_semi").select(key).distinct()
-    )
-    flagged = keys.withColumn("__hit", F.lit(True))
-    return df.join(flagged, key, "left").withColumn("has_priority_band", F.coalesce("__hit", F.lit(False))).drop("__hit")
+def is_priority_name(name: Column, priority=None) -> Column:
+    """The name equals, or nearly equals, a priority name. Lengths rule out most of the fixed list before any ratio is computed."""
+    wanted = text.literal_array(fx.PRIORITY_BANDS if priority is None else priority)
+    near = lambda low, p: fuzzy.length_compatible(low, p, fx.PRIORITY_BAND_ABOVE) & fuzzy.ratio_above(low, F.lower(p), fx.PRIORITY_BAND_ABOVE)
+    return text.bound(F.lower(name), lambda low: F.exists(wanted, lambda p: near(low, p)))
+
+
+def with_priority_flag(df: DataFrame, priority=None) -> DataFrame:
+    """Add boolean ``has_priority_band``. The list is fixed, so each row is tested where it is and nothing is moved."""
+    hit = F.exists("bands", lambda b: is_priority_name(b, priority))
+    return df.withColumn("has_priority_band", F.coalesce(hit, F.lit(False)))
 
 
 def has_band_keyword(bands: Column) -> Column:
@@ -132,11 +135,11 @@ def genre_reason(df: DataFrame, include=None, priority=None) -> DataFrame:
 
 def music_label(title: Column) -> Column:
     """``music``, ``other`` or ``unknown`` from words in a title; music words win."""
-    low = F.lower(title)
-    some = lambda words: F.exists(text.literal_array(words), lambda w: low.contains(w))
-    return (
-        F.when(some(fx.MUSIC_WORDS), F.lit("music")).when(some(fx.OTHER_EVENT_WORDS), F.lit("other")).otherwise(F.lit("unknown"))
+    some = text.has_any
+    label = lambda low: (
+        F.when(some(low, fx.MUSIC_WORDS), F.lit("music")).when(some(low, fx.OTHER_EVENT_WORDS), F.lit("other")).otherwise(F.lit("unknown"))
     )
+    return text.bound(F.lower(title), label)
 
 
 # -- text rules ------------------------------------------------------------------

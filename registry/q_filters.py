@@ -8,6 +8,7 @@ from gigmesh import fixed_values as fx
 from gigmesh.functions import text
 from gigmesh.operators import filters
 from gigmesh.operators.normalize import normalize_listings
+from gigmesh.runtime import cut_lineage
 from gigmesh.sources.dated_text import BAND_LOOK_ALIKES, BAND_STOP_WORDS, valid_bands
 from gigmesh.sources.tables import AS_OF, listings
 from registry.base import lcs_sql, query, sql_list, with_norm
@@ -123,7 +124,7 @@ def music_label(spark, d):
 def stage_accounting(spark, d):
     from gigmesh.operators.resolve import stage_counts
 
-    rows = norm(spark, d)
+    rows = cut_lineage(norm(spark, d).select("seq", "date", "bands", "genre_tags"))
     date = stage_counts(rows, filters.not_past(rows, AS_OF)).select(F.lit("date").alias("stage"), "*")
     genre = stage_counts(rows, filters.genre_filter(rows, True, INCLUDE, EXCLUDE, PRIORITY)).select(F.lit("genre").alias("stage"), "*")
     return date.unionByName(genre)
