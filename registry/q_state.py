@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gigmesh.operators import filters, grouping
 from gigmesh.operators.normalize import normalize_listings
-from gigmesh.runtime import checkpoint_dir
+from gigmesh.runtime import checkpoint_dir, cut_lineage
 from gigmesh.schema import with_id
 from gigmesh.sources import snapshots
 from gigmesh.sources.tables import AS_OF, listings, table
@@ -61,7 +61,7 @@ def first_seen(spark, d):
   UNION ALL SELECT 'day_time_title', seq FROM (SELECT seq, row_number() OVER (PARTITION BY CAST(date AS DATE), "time", left(lower(bands[1]), 30) ORDER BY seq) AS r FROM norm) WHERE r = 1"""))
 def first_seen_listings(spark, d):
     """The key variants the sources use to drop repeats."""
-    rows = normalize_listings(listings(spark, d)).select("seq", "date", "bands", "venue_id", "time")
+    rows = cut_lineage(normalize_listings(listings(spark, d)).select("seq", "date", "bands", "venue_id", "time"))
     day, head = F.to_date("date"), F.lower(F.element_at("bands", 1))
     variants = {
         "day_headliner": [day, head],
@@ -105,8 +105,10 @@ def stream_digest(spark, d):
 
     base = f"{checkpoint_dir(spark)}/stream/{uuid.uuid4().hex}"
     rows = listings(spark, d)
+    rows.write.parquet(f"{base}/once")
+    again = spark.read.schema(rows.schema).parquet(f"{base}/once")
     for _ in range(2):
-        rows.write.mode("append").parquet(f"{base}/in")
+        again.write.mode("append").parquet(f"{base}/in")
     raw = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
     new_listings.stream_digest(raw, f"{base}/out", f"{base}/checkpoint", AS_OF, horizon="60 days").awaitTermination()
     return spark.read.parquet(f"{base}/out/rows").groupBy("id").agg(F.count("*").alias("n"))
