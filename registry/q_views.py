@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gigmesh import fixed_values as fx
 from gigmesh.operators import filters, grouping
 from gigmesh.operators.normalize import normalize_listings
+from gigmesh.runtime import cut_lineage
 from gigmesh.plans import views
 from gigmesh.sources.tables import AS_OF, listings, table
 from registry.base import price_display_sql, query, sql_list, time_minutes_sql, with_norm
@@ -252,5 +253,5 @@ def digest_upcoming(spark, d):
   SELECT count(*) FILTER (WHERE id NOT IN (SELECT id FROM norm WHERE {SEEN} AND date >= DATE '{AS_OF}')) AS n, count(*) AS t
   FROM norm WHERE date >= DATE '{AS_OF}')"""))
 def digest_subject(spark, d):
-    current = filters.not_past(norm(spark, d), AS_OF)
+    current = cut_lineage(filters.not_past(norm(spark, d), AS_OF).select("seq", "id", "date", "venue_name", "venue_location", "bands"))
     return views.digest_subject(views.digest(current, current.where(SEEN), AS_OF), current, AS_OF)
