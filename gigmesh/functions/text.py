@@ -216,15 +216,18 @@ def split_bands_slash(
         t = F.when(t.contains("/") & ~t.contains(" / "), F.replace(t, F.lit("/"), F.lit(" / "))).otherwise(t)
     for word in words:
         t = F.regexp_replace(t, r"(?iU)\s+" + word + r"\s+", " / ")
-    out = F.when(t.contains(" / "), F.split(t, " / "))
-    if comma:
-        ok = t.contains(",")
-        if max_commas is not None:
-            ok = t.contains(", ") & (F.regexp_count(t, F.lit(",")) <= max_commas)
-        out = out.when(ok, F.split(t, ", " if max_commas is not None else ","))
-    out = out.otherwise(F.array(t))
-    kept = F.filter(F.transform(out, strip), lambda b: F.length(b) > 1)
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array(t))
+
+    def parts(t: Column) -> Column:
+        out = F.when(t.contains(" / "), F.split(t, " / "))
+        if comma:
+            ok = t.contains(",")
+            if max_commas is not None:
+                ok = t.contains(", ") & (F.regexp_count(t, F.lit(",")) <= max_commas)
+            out = out.when(ok, F.split(t, ", " if max_commas is not None else ","))
+        kept = F.filter(F.transform(out.otherwise(F.array(t)), strip), lambda b: F.length(b) > 1)
+        return bound(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(t)))
+
+    return bound(t, parts)
 
 
 # -- prices ------------------------------------------------------------------
@@ -271,13 +274,13 @@ def parse_price(c: Column, mode: str = "scraper") -> Column:
         out = _price(adv, door if mode == "line" else F.coalesce(door, adv))
         return F.when(is_free_text(text), zero).otherwise(out) if mode == "free_pair" else out
     if mode == "words":
-        adv = whole(F.regexp_extract(low, r"\$(\d+)\s*(?:in advance|adv)", 1))
-        door = whole(F.regexp_extract(low, r"\$(\d+)\s*(?:at the door|door|dos)", 1))
-        single = whole(F.regexp_extract(low, r"\$(\d+)", 1))
-        free_first = F.element_at(F.split(low, r"\$"), 1).contains("free")
-        return F.when(free_first, zero).otherwise(
-            _price(F.coalesce(adv, door, single), F.coalesce(door, adv, single))
-        )
+        found = {
+            "adv": r"\$(\d+)\s*(?:in advance|adv)", "door": r"\$(\d+)\s*(?:at the door|door|dos)", "single": r"\$(\d+)",
+        }
+        read = lambda t: F.struct(*[whole(F.regexp_extract(t, p, 1)).alias(n) for n, p in found.items()])
+        pair = lambda p: _price(F.coalesce(p["adv"], p["door"], p["single"]), F.coalesce(p["door"], p["adv"], p["single"]))
+        free_first = lambda t: F.element_at(F.split(t, r"\$"), 1).contains("free")
+        return bound(low, lambda t: F.when(free_first(t), zero).otherwise(bound(read(t), pair)))
     if mode == "cost":
         price = whole(text)
         return F.when((text == "") | (text == "0"), zero).otherwise(_price(price, price))
@@ -380,24 +383,28 @@ def _references(c: Column, shown) -> Column:
 
     def piece(x: Column) -> Column:
         named = F.regexp_extract(x, "^&([A-Za-z][A-Za-z0-9]*);", 1)
+        opened = F.regexp_extract(x, "^&(" + "|".join(_OPEN) + ")", 1)
         digits = F.regexp_extract(x, r"^&#(\d+);?", 1)
         hexed = F.regexp_extract(x, "^&#[xX]([0-9a-fA-F]+);?", 1)
-        opened = F.regexp_extract(x, "^&(" + "|".join(_OPEN) + ")", 1)
         number = lambda d, base: F.try_to_number(F.conv(F.when(F.length(F.ltrim(d, F.lit("0"))) > 9, F.lit("7fffffff" if base == 16 else "2147483647")).otherwise(d), base, 10), F.lit("9999999999")).cast("bigint")
         rest = lambda pattern: F.regexp_replace(x, pattern, "")
         table = F.from_json(F.lit(_NAMED), "map<string,map<string,string>>")  # a constant: folded into one literal map
         find = lambda name: F.try_element_at(F.try_element_at(table, F.substring(name, 1, 1)), name)
-        known = find(named)
         return (
-            F.when(digits != "", F.concat(shown(_character(number(digits, 10))), rest(r"^&#\d+;?")))
+            F.when(~x.startswith("&"), x)
+            .when(digits != "", F.concat(shown(_character(number(digits, 10))), rest(r"^&#\d+;?")))
             .when(hexed != "", F.concat(shown(_character(number(hexed, 16))), rest("^&#[xX][0-9a-fA-F]+;?")))
-            .when((named != "") & known.isNotNull(), F.concat(shown(known), rest("^&[A-Za-z0-9]+;")))
-            .when(opened != "", F.concat(shown(find(opened)), F.substr(x, F.length(opened) + 2)))
-            .otherwise(x)
+            .otherwise(
+                F.coalesce(
+                    bound(find(named), lambda known: F.when(known.isNotNull(), F.concat(shown(known), rest("^&[A-Za-z0-9]+;")))),
+                    bound(opened, lambda o: F.when(o != "", F.concat(shown(find(o)), F.substr(x, F.length(o) + 2)))),
+                    x,
+                )
+            )
         )
 
-    parts = F.split(c, "(?=&)")
-    return F.when(~c.contains("&"), c).otherwise(F.array_join(F.transform(parts, piece), ""))
+    decoded = lambda t: F.array_join(F.transform(F.split(t, "(?=&)"), piece), "")
+    return bound(c, lambda t: F.when(~t.contains("&"), t).otherwise(decoded(t)))
 
 
 def html_unescape(c: Column) -> Column:

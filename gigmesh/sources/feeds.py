@@ -320,8 +320,8 @@ def embedded_listings(df: DataFrame, html: str = "html", now="1970-01-01", name:
 # -- calendar feeds -------------------------------------------------------------------
 
 
-def ical_events(df: DataFrame, ics: str = "ics") -> DataFrame:
-    """Event properties of a feed: ``seq``, ``i`` and map ``p``.
+def ical_events(df: DataFrame, ics: str = "ics", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Event properties of a feed: ``seq``, ``i``, map ``p`` and the feed's columns ``carry``.
 
     Continuation lines are unfolded; a property's parameters are dropped and its
     last occurrence wins.
@@ -329,7 +329,7 @@ def ical_events(df: DataFrame, ics: str = "ics") -> DataFrame:
     crlf = C(ics).contains("\r\n")
     unfolded = F.when(crlf, F.regexp_replace(ics, "\r\n[ \t]", "")).otherwise(F.regexp_replace(ics, "\n[ \t]", ""))
     events = F.regexp_extract_all(unfolded, F.lit(r"(?s)BEGIN:VEVENT\s*?\n(.*?)END:VEVENT"), F.lit(1))
-    rows = df.select("seq", F.posexplode(events).alias("i", "event"))
+    rows = df.select("seq", *carry, F.posexplode(events).alias("i", "event"))
     props = F.filter(F.transform(F.split("event", "\r?\n"), strip), lambda s: s.contains(":"))
     pairs = F.transform(
         props,
@@ -337,13 +337,13 @@ def ical_events(df: DataFrame, ics: str = "ics") -> DataFrame:
             F.regexp_extract(s, "^([^:;]*)", 1).alias("k"), F.regexp_extract(s, "^[^:]*:(.*)$", 1).alias("v"), i.alias("i")
         ),
     )
-    rows = computed_once(rows.select("seq", "i", pairs.alias("pairs")), "pairs")
+    rows = computed_once(rows.select("seq", *carry, "i", pairs.alias("pairs")), "pairs")
     last = F.filter(
         "pairs", lambda x: ~F.exists(F.slice(F.col("pairs"), x["i"] + 2, F.size("pairs")), lambda y: y["k"] == x["k"])
     )
-    rows = computed_once(rows.select("seq", "i", last.alias("last")), "last")
+    rows = computed_once(rows.select("seq", *carry, "i", last.alias("last")), "last")
     entries = F.map_from_arrays(F.transform("last", lambda x: x["k"]), F.transform("last", lambda x: x["v"]))
-    return computed_once(rows.select("seq", "i", entries.alias("p")), "p")
+    return computed_once(rows.select("seq", *carry, "i", entries.alias("p")), "p")
 
 
 def _prop(name: str, default: str = "") -> Column:
@@ -369,12 +369,11 @@ def ical_listings(df: DataFrame, ics: str = "ics", now="1970-01-01", venue_key:
     venues = spark.createDataFrame(
         ICAL_VENUES, "venue string, name string, city string, link string, age string, skips array<string>"
     )
-    events = ical_events(df, ics).join(df.select("seq", C(venue_key).alias("venue")), "seq")
-    events = events.join(F.broadcast(venues), "venue").withColumn("seq", place(C("seq"), C("i")))
-    low = F.lower(_prop("SUMMARY"))
-    skipped = F.exists(text.literal_array(ICAL_SKIP), lambda w: low.contains(w)) | F.exists(
-        "skips", lambda p: F.regexp_like(low, p)
-    )
+    # A feed's venue stays in its rows: a join would read and parse all feeds twice.
+    named = df.select("seq", ics, C(venue_key).alias("venue"))
+    events = ical_events(named, ics, carry=("venue",)).join(F.broadcast(venues), "venue").withColumn("seq", place(C("seq"), C("i")))
+    skip = lambda low: text.has_any(low, ICAL_SKIP) | F.exists("skips", lambda p: F.regexp_like(low, p))
+    skipped = text.bound(F.lower(_prop("SUMMARY")), skip)
     kept = events.where(~skipped & (_prop("SUMMARY") != ""))
     kept = first_seen(
         kept.withColumn("start", _prop("DTSTART")).withColumn("summary", _prop("SUMMARY")), ["venue", "start", "summary"]
@@ -424,8 +423,8 @@ def club_calendar_listings(df: DataFrame, ics: str = "ics", now="1970-01-01") ->
 
 def _xml_text(item: Column, tag: str) -> Column:
     raw = F.regexp_extract(item, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1)
-    plain = F.regexp_extract(raw, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", 1)
-    return F.when(raw.contains("<![CDATA["), plain).otherwise(text.html_unescape(raw))
+    plain = lambda t: F.regexp_extract(t, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", 1)
+    return text.bound(raw, lambda t: F.when(t.contains("<![CDATA["), plain(t)).otherwise(text.html_unescape(t)))
 
 
 def rss_listings(df: DataFrame, xml: str = "xml", now="1970-01-01") -> DataFrame:
