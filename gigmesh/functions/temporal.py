@@ -206,14 +206,19 @@ def infer_year(month: Column, day_of_month: Column, as_of, rule: str) -> Column:
     looks at the month alone; ``none`` keeps the year of ``as_of``.
     """
     today = as_date(as_of)
-
-    this_year = date_or_null(F.year(today), month, day_of_month)
     if rule == "none":
-        return this_year
-    next_year = date_or_null(F.year(today) + 1, month, day_of_month)
-    if rule == "earlier_month":
-        return F.when(month < F.month(today), next_year).otherwise(this_year)
-    return F.when(F.datediff(today, this_year) > YEAR_RULES[rule], next_year).otherwise(this_year)
+        return date_or_null(F.year(today), month, day_of_month)
+
+    def read(p: Column) -> Column:
+        in_year = lambda year: date_or_null(year, p["m"], p["d"])
+        if rule == "earlier_month":
+            return in_year(F.when(p["m"] < F.month(today), F.year(today) + 1).otherwise(F.year(today)))
+        later = lambda this_year: F.datediff(today, this_year) > YEAR_RULES[rule]
+        return bound(in_year(F.year(today)), lambda d: F.when(later(d), in_year(F.year(today) + 1)).otherwise(d))
+
+    # Month and day are computed once; nothing is read where one is missing.
+    parts = F.struct(month.alias("m"), day_of_month.alias("d"))
+    return bound(parts, lambda p: F.when(p["m"].isNotNull() & p["d"].isNotNull(), read(p)))
 
 
 def month_number(name: Column) -> Column:

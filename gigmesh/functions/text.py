@@ -188,8 +188,8 @@ def split_bands(c: Column) -> Column:
 def split_bands_any_case(c: Column) -> Column:
     """Free-text variant: separators in order, case-insensitive, short names kept."""
     for sep in fx.LINE_BAND_SEPARATORS:
-        quoted = sep.replace("+", r"\+")
-        c = F.regexp_replace(c, f"(?i){quoted}", "\x01")
+        cased = sep.lower() != sep.upper()
+        c = F.regexp_replace(c, f"(?i){sep}", "\x01") if cased else F.replace(c, F.lit(sep), F.lit("\x01"))
     return F.filter(F.transform(F.split(c, "\x01"), strip), lambda b: b != "")
 
 
@@ -239,9 +239,14 @@ def _price(advance: Column, door: Column) -> Column:
     return F.struct(advance.cast("int").alias("advance"), door.cast("int").alias("door"))
 
 
+def number(c: Column) -> Column:
+    """Text as INT, NULL for bad text. The empty text of a missing part is not parsed, which would cost an exception."""
+    return bound(c, lambda t: F.when(t != "", t.try_cast("int")))
+
+
 def whole(c: Column) -> Column:
-    """Decimal text truncated to whole currency units; bad text is NULL."""
-    return c.try_cast("double").try_cast("int")
+    """Decimal text truncated to whole currency units; bad text is NULL. Empty text is not parsed."""
+    return bound(c, lambda t: F.when(t != "", t.try_cast("double").try_cast("int")))
 
 
 def parse_price(c: Column, mode: str = "scraper") -> Column:
@@ -269,9 +274,12 @@ def parse_price(c: Column, mode: str = "scraper") -> Column:
         return bound(low, amounts)
     if mode in ("line", "pair", "free_pair"):
         pattern = r"\$(\d+)(?:[/-]\$?(\d+))?" if mode == "line" else r"\$(\d+)(?:\s*/\s*\$?(\d+))?"
-        adv = whole(F.regexp_extract(text, pattern, 1))
-        door = whole(F.regexp_extract(text, pattern, 2))
-        out = _price(adv, door if mode == "line" else F.coalesce(door, adv))
+        amount = lambda m, i: whole(F.regexp_extract(m, pattern, i))
+        door = (lambda p: p["door"]) if mode == "line" else (lambda p: F.coalesce(p["door"], p["advance"]))
+        read = lambda m: F.struct(amount(m, 1).alias("advance"), amount(m, 2).alias("door"))
+        pair = lambda m: bound(read(m), lambda p: _price(p["advance"], door(p)))
+        # The text is searched once, its amounts are read from what was found.
+        out = bound(F.regexp_extract(text, pattern, 0), lambda m: F.when(m != "", pair(m)).otherwise(_price(none, none)))
         return F.when(is_free_text(text), zero).otherwise(out) if mode == "free_pair" else out
     if mode == "words":
         found = {

@@ -21,7 +21,7 @@ WEEKDAY_LINE = r"(?i)^(?:monday|tuesday|wednesday|thursday|friday|saturday|sunda
 
 
 def _int(c: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(c, pattern, group).try_cast("int")
+    return text.number(F.regexp_extract(c, pattern, group))
 
 
 def _month(c: Column, pattern: str, group: int) -> Column:

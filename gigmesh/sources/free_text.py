@@ -41,44 +41,51 @@ def parse_lines(df: DataFrame, line: str = "line", as_of="1970-01-01") -> DataFr
     out = df.withColumn("__p", rest)
     out = out.withColumn("__price", text.parse_price(C("__p"), "line")).withColumn("__a", _cut(C("__p"), PRICE))
 
+    # Each text is searched once: later steps use what was found, and no missing part is parsed.
+    first = F.coalesce(*[F.when(C("__a").rlike("(?i)" + pattern), F.lit(k)) for k, (pattern, _) in enumerate(AGES)])
+    out = out.withColumn("__k", first)
     age, after = F.lit(fx.DEFAULT_AGE), C("__a")
-    for pattern, value in reversed(AGES):
-        found = C("__a").rlike("(?i)" + pattern)
-        age = F.when(found, F.lit(value)).otherwise(age)
-        after = F.when(found, _cut(C("__a"), pattern)).otherwise(after)
+    for k, (pattern, value) in enumerate(AGES):
+        age = F.when(C("__k") == k, F.lit(value)).otherwise(age)
+        after = F.when(C("__k") == k, _cut(C("__a"), pattern)).otherwise(after)
     out = out.withColumn("__age", age).withColumn("__t", strip(after))
 
     t = C("__t")
     ci, h24 = "(?i)" + CLOCK, CLOCK_24
-    twelve = t.rlike(ci)
-    full = t.rlike(h24)
-    shown = _with_minutes(F.regexp_extract(t, ci, 1), F.regexp_extract(t, ci, 2), F.lower(F.regexp_extract(t, ci, 3)))
-    hour = F.regexp_extract(t, h24, 1).try_cast("int")
+    out = out.withColumn("__twelve", F.regexp_extract(t, ci, 0))
+    out = out.withColumn("__full", F.when(C("__twelve") == "", F.regexp_extract(t, h24, 0)).otherwise(F.lit("")))
+    twelve, full = C("__twelve"), C("__full")
+    shown = _with_minutes(F.regexp_extract(twelve, ci, 1), F.regexp_extract(twelve, ci, 2), F.lower(F.regexp_extract(twelve, ci, 3)))
+    hour = F.regexp_extract(full, h24, 1).try_cast("int")
     display = F.when(hour > 12, hour - 12).otherwise(hour).cast("string")
-    shown24 = _with_minutes(display, F.regexp_extract(t, h24, 2), F.when(hour >= 12, F.lit("pm")).otherwise(F.lit("am")))
+    shown24 = _with_minutes(display, F.regexp_extract(full, h24, 2), F.when(hour >= 12, F.lit("pm")).otherwise(F.lit("am")))
     out = out.withColumn(
-        "__time", F.when(twelve, shown).when(full, shown24).otherwise(F.lit(fx.DEFAULT_TIME))
-    ).withColumn("__d", F.when(twelve, _cut(t, CLOCK)).when(full, _cut(t, CLOCK_24)).otherwise(t))
+        "__time", F.when(twelve != "", shown).when(full != "", shown24).otherwise(F.lit(fx.DEFAULT_TIME))
+    ).withColumn("__d", F.when(twelve != "", _cut(t, CLOCK)).when(full != "", _cut(t, CLOCK_24)).otherwise(t))
 
     d = C("__d")
-    slash = temporal.infer_year(
-        F.regexp_extract(d, SLASH_DATE, 1).try_cast("int"), F.regexp_extract(d, SLASH_DATE, 2).try_cast("int"), as_of, "two_weeks"
-    )
     named_ci = "(?i)" + NAMED_DATE
-    month = temporal.month_number(F.nullif(F.regexp_extract(d, named_ci, 1), F.lit("")))
-    named = temporal.infer_year(month, F.regexp_extract(d, named_ci, 2).try_cast("int"), as_of, "two_weeks")
-    out = out.withColumn("__slash", slash).withColumn("__named", named)
+    slash = lambda m: temporal.infer_year(
+        F.regexp_extract(m, SLASH_DATE, 1).try_cast("int"), F.regexp_extract(m, SLASH_DATE, 2).try_cast("int"), as_of, "two_weeks"
+    )
+    named = lambda m: temporal.infer_year(
+        temporal.month_number(F.regexp_extract(m, named_ci, 1)), F.regexp_extract(m, named_ci, 2).try_cast("int"), as_of, "two_weeks"
+    )
+    found = lambda pattern, read: text.bound(F.regexp_extract(d, pattern, 0), lambda m: F.when(m != "", read(m)))
+    out = out.withColumn("__slash", found(SLASH_DATE, slash))
+    out = out.withColumn("__named", F.when(C("__slash").isNull(), found(named_ci, named)))
     out = out.withColumn(
         "__r",
         F.when(C("__slash").isNotNull(), _cut(d, SLASH_DATE)).when(C("__named").isNotNull(), _cut(d, NAMED_DATE)).otherwise(d),
     )
 
     r = C("__r")
-    bands, venue = F.lit(""), r
-    for sep in reversed(fx.LINE_VENUE_SEPARATORS):
-        at = F.instr(F.lower(r), sep)
-        bands = F.when(at > 0, strip(F.substring(r, F.lit(1), at - 1))).otherwise(bands)
-        venue = F.when(at > 0, strip(F.substring(r, at + len(sep), F.lit(1 << 30)))).otherwise(venue)
+    out = out.withColumn("__low", F.lower(r))
+    sep = F.coalesce(*[F.when(C("__low").contains(s), F.lit(s)) for s in fx.LINE_VENUE_SEPARATORS])
+    out = out.withColumn("__sep", sep).withColumn("__at", F.instr(C("__low"), C("__sep")))
+    at = C("__at")
+    bands = F.when(at > 0, strip(F.substring(r, F.lit(1), at - 1))).otherwise(F.lit(""))
+    venue = F.when(at > 0, strip(F.substring(r, at + F.length("__sep"), F.lit(1 << 30)))).otherwise(r)
     out = out.withColumn("__bands", bands).withColumn("__venue", strip(venue))
     v = C("__venue")
     place = strip(F.regexp_replace(F.substring_index(v, ",", -1), r"(?i)\s+MA$", ""))
@@ -94,7 +101,8 @@ def parse_lines(df: DataFrame, line: str = "line", as_of="1970-01-01") -> DataFr
         C("__p").alias("raw_text"),
     )
     return out.withColumn("parsed", parsed).drop(
-        "__p", "__price", "__a", "__age", "__t", "__time", "__d", "__slash", "__named", "__r", "__bands", "__venue"
+        "__p", "__price", "__a", "__k", "__age", "__t", "__twelve", "__full", "__time", "__d", "__slash", "__named", "__r",
+        "__low", "__sep", "__at", "__bands", "__venue"
     )
 
 
