@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gigmesh import fixed_values as fx
 from gigmesh.functions import temporal, text
 from gigmesh.operators import dimension
-from gigmesh.runtime import computed_once
+from gigmesh.runtime import computed_once, cut_lineage
 
 
 def venue_id_by_rule(venue_id: Column, venue_name: Column) -> Column:
@@ -54,7 +54,8 @@ def normalize_listings(df: DataFrame, venues: DataFrame | None = None) -> DataFr
     """Clean every field; rows left without a performer are dropped.
 
     With a venue registry, ids and cities are looked up on the distinct
-    ``(venue_id, venue_name)`` pairs and joined back once.
+    ``(venue_id, venue_name)`` pairs and joined back once. Pairs and answers are stored tables, so rows are formed
+    once and move only if the answers are too many to be sent to them.
     """
     out = computed_once(df.withColumn("bands", text.normalize_bands(F.col("bands"))), "bands").where(F.size("bands") > 0)
     by_rule = venue_id_by_rule(F.col("venue_id"), F.col("venue_name"))
@@ -62,7 +63,8 @@ def normalize_listings(df: DataFrame, venues: DataFrame | None = None) -> DataFr
     if venues is None:
         new_id, place = F.coalesce(by_rule, fallback), location(F.col("venue_location"))
     else:
-        pairs = out.select("venue_id", "venue_name").distinct()
+        # The pairs of all rows: those of dropped ones answer for no row, and performers are not read for them.
+        pairs = cut_lineage(df.select("venue_id", "venue_name").distinct())
         probe = pairs.withColumn("probe", F.regexp_replace("venue_id", "[’‘`]", "'"))
         known = dimension.canonical_ids(probe, venues, "probe")
         final = probe.join(known, "probe", "left").select(
@@ -74,7 +76,7 @@ def normalize_listings(df: DataFrame, venues: DataFrame | None = None) -> DataFr
         same = F.col("r.venue_id").eqNullSafe(F.col("i.venue_id")) & F.col("r.venue_name").eqNullSafe(
             F.col("i.venue_name")
         )
-        out = out.alias("r").join(info.alias("i"), same, "left").select("r.*", "__id", "__place")
+        out = out.alias("r").join(cut_lineage(info).alias("i"), same, "left").select("r.*", "__id", "__place")
         new_id, place = F.col("__id"), location(F.col("venue_location"), F.col("__place"))
     return (
         out.withColumn("venue_id", new_id)
