@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gigmesh import fixed_values as fx
 from gigmesh.functions import temporal, text
 from gigmesh.operators import filters, grouping, numbering
+from gigmesh.runtime import cut_lineage
 
 C = F.col
 
@@ -99,8 +100,12 @@ def by_band(df: DataFrame) -> DataFrame:
 
 def by_venue(df: DataFrame) -> DataFrame:
     """One row per listing under its venue, venues sorted without their article."""
-    names = grouping.venue_names(df).select(
-        "venue_id", C("venue_name").alias("display_name"), C("venue_location").alias("display_location")
+    # Listings are formed once and stored, then names, so that their size is known: a few venues are sent to the listings.
+    df = cut_lineage(df.select(
+        "seq", "date", "venue_id", "venue_name", "venue_location", "bands", "age_requirement", "price_advance", "price_door", "time", "flags", "source_url"
+    ))
+    names = cut_lineage(
+        grouping.venue_names(df).select("venue_id", C("venue_name").alias("display_name"), C("venue_location").alias("display_location"))
     )
     links = F.transform(
         "bands",
