@@ -30,9 +30,11 @@ def _positions(lines: Column, test: Test) -> Column:
     return F.filter(marked, lambda p: p.isNotNull())
 
 
-def carry_forward(df: DataFrame, lines: str, is_heading: Test) -> DataFrame:
+def carry_forward(df: DataFrame, lines: str, is_heading: Test, read: Callable[[Column], Column] = lambda heading: heading) -> DataFrame:
     """Lines with the heading that precedes them: ``heading``, ``pos``, ``line``.
 
+    ``read`` makes ``heading`` from the heading's text, once per heading, not per line.
+
     Lines before the first heading have none and are dropped. Each text is cut at
     its headings, so a line is copied once however many headings there are.
     """
@@ -50,8 +52,11 @@ def carry_forward(df: DataFrame, lines: str, is_heading: Test) -> DataFrame:
             ).alias("body"),
         ),
     )
-    cut = marked.select(*keys, F.explode(sections).alias("s"))
-    return cut.select(*keys, F.col("s.heading").alias("heading"), F.col("s.at").alias("__at"), F.posexplode("s.body").alias("__i", "line")).select(
+    # Sections are taken apart before their lines are, so that a line does not carry its whole section.
+    cut = marked.select(*keys, F.explode(sections).alias("s")).select(
+        *keys, read(F.col("s.heading")).alias("heading"), F.col("s.at").alias("__at"), F.col("s.body").alias("__body")
+    )
+    return cut.select(*keys, "heading", "__at", F.posexplode("__body").alias("__i", "line")).select(
         *keys, "heading", (F.col("__at") + F.col("__i") + 1).alias("pos"), "line"
     )
 

@@ -145,16 +145,17 @@ def line_listings(df: DataFrame, as_of, html: str = "html") -> DataFrame:
     """A date line covers the show lines after it (those with a price or "pm")."""
     arr = df.select("seq", lines.lines_of(page_text(C(html))).alias("lines"))
     head = r"(?i)^(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+)?(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+\d{1,2}"
-    rows = lines.carry_forward(arr, "lines", lambda s: s.rlike(head))
+    rows = lines.carry_forward(arr, "lines", lambda s: s.rlike(head), lambda s: dates.month_day(s, as_of))
     rows = rows.where(C("line").contains("$") | F.lower("line").contains("pm"))
     clock = F.regexp_extract("line", r"(?i)(\d{1,2}(?::\d{2})?\s*(?:am|pm))", 1)
     price = text.parse_price(F.regexp_extract("line", r"(\$\d+(?:\s*/\s*\$?\d+)?)", 1))
+    rows = rows.withColumn("price", price)
     bare = F.regexp_replace("line", r"\$\d+(?:\s*/\s*\$?\d+)?", "")
     bare = F.regexp_replace(F.regexp_replace(bare, r"(?i)\d{1,2}(?::\d{2})?\s*(?:am|pm)", ""), r"(?i)(?:all ages|21\+|18\+|a/a)", "")
     out = as_listings(
-        rows, seq=_seq(), date=dates.month_day(C("heading"), as_of).cast("timestamp_ntz"),
+        rows, seq=_seq(), date=C("heading").cast("timestamp_ntz"),
         venue_id=F.lit("middleeast"), venue_name=F.lit("Middle East"), venue_location=F.lit("Cambridge"),
-        bands=text.split_bands(bare), age_requirement=F.lit("18+"), price_advance=price["advance"], price_door=price["door"],
+        bands=text.split_bands(bare), age_requirement=F.lit("18+"), price_advance=C("price.advance"), price_door=C("price.door"),
         time=temporal.parse_time(clock), flags=F.array(F.lit("@")), source=F.lit("scrape:middle_east"),
     )
     return out.where(C("date").isNotNull() & (F.size("bands") > 0))
