@@ -146,8 +146,8 @@ def _names(items: Column) -> Column:
 
 
 def api_a_listings(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """Events of the first API. Cancelled ones are dropped before anything is parsed."""
-    e = df.select("seq", F.from_json(payload, API_A).alias("e"))
+    """Events of the first API. Payloads are parsed once; of cancelled ones nothing else is read."""
+    e = computed_once(df.select("seq", F.from_json(payload, API_A).alias("e")), "e")
     status = F.lower(_or(C("e.dates.status.code"), ""))
     e = e.where(~status.isin(DROPPED_STATUS) & (F.size(F.coalesce("e._embedded.venues", F.array())) > 0))
     clock = _ntz(F.concat(F.lit("1970-01-01 "), _or(C("e.dates.start.localTime"), "20:00:00")), "yyyy-MM-dd HH:mm:ss")
@@ -177,8 +177,8 @@ def api_a_listings(df: DataFrame, payload: str = "payload") -> DataFrame:
 
 
 def api_b_listings(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """Events of the second API, dated by local time."""
-    e = df.select("seq", F.from_json(payload, API_B).alias("e")).where(C("e.venue").isNotNull())
+    """Events of the second API, dated by local time. Payloads are parsed once."""
+    e = computed_once(df.select("seq", F.from_json(payload, API_B).alias("e")), "e").where(C("e.venue").isNotNull())
     at = F.when(blank(C("e.datetime_local")), C("e.datetime_utc")).otherwise(C("e.datetime_local"))
     name = _or(C("e.venue.name"), "Unknown Venue")
     bands = F.coalesce(F.array_distinct(_names(C("e.performers"))), no_strings())
