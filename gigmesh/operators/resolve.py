@@ -2,11 +2,11 @@
 
 Steps of :func:`deduplicate`:
 
-1. reduce every listing to the fields the duplicate test reads and keep one
-   node per distinct combination and day (copies always match each other);
-2. split each day by connected groups of venue names, found on distinct names;
-3. elect leaders inside each day and venue group (:mod:`gigmesh.operators.cluster`);
-4. merge clusters with aggregates that combine map-side; unmatched rows pass by.
+1. split each day by connected groups of venue names, found on distinct names;
+2. move whole listings once, by day and venue group, and elect leaders in one sorted
+   pass over each block (:mod:`gigmesh.operators.elect`);
+3. merge clusters with aggregates that combine map-side, where a block's rows already
+   are together; unmatched rows pass by.
 """
 
 from __future__ import annotations
@@ -18,34 +18,41 @@ from pyspark.sql import types as T
 
 from gigmesh import fixed_values as fx
 from gigmesh.functions import fuzzy, temporal, text
-from gigmesh.operators import cluster
+from gigmesh.operators import cluster, elect
 from gigmesh.operators.similar import similar_pairs
 from gigmesh.runtime import cut_lineage
 
-SIGNATURE = ["day", "vkey", "vid", "head", "supports", "many", "time", "minutes", "adv", "door", "age"]
+
+#: Columns that the duplicate test reads.
+READ = ["seq", "date", "venue_id", "venue_name", "bands", "time", "price_advance", "price_door", "age_requirement"]
 
 
 # -- duplicate test -----------------------------------------------------------
 
 
-def features(listings: DataFrame) -> DataFrame:
-    """``seq`` and the fields that decide whether two listings are duplicates."""
+def feature_columns() -> dict[str, Column]:
+    """The fields that decide whether two listings are duplicates, by name."""
     name = F.when(text.blank(F.col("venue_name")), F.col("venue_id")).otherwise(F.col("venue_name"))
     support = F.transform(F.slice("bands", 2, 1 << 30), text.resolver_key)
-    return listings.select(
-        "seq",
-        F.to_date("date").alias("day"),
-        text.resolver_key(F.coalesce(name, F.lit(""))).alias("vkey"),
-        F.lower(F.coalesce("venue_id", F.lit(""))).alias("vid"),
-        F.when(F.size("bands") > 0, text.resolver_key(F.element_at("bands", 1))).alias("head"),
-        F.array_sort(F.array_distinct(F.coalesce(support, F.array().cast("array<string>")))).alias("supports"),
-        (F.size("bands") > 1).alias("many"),
-        F.coalesce("time", F.lit("")).alias("time"),
-        temporal.time_to_minutes(F.col("time")).alias("minutes"),
-        F.col("price_advance").alias("adv"),
-        F.col("price_door").alias("door"),
-        F.coalesce("age_requirement", F.lit("")).alias("age"),
-    )
+    return {
+        "day": F.to_date("date"),
+        "vkey": text.resolver_key(F.coalesce(name, F.lit(""))),
+        "vid": F.lower(F.coalesce("venue_id", F.lit(""))),
+        "head": F.when(F.size("bands") > 0, text.resolver_key(F.element_at("bands", 1))),
+        "supports": F.array_sort(F.array_distinct(F.coalesce(support, F.array().cast("array<string>")))),
+        "many": F.size("bands") > 1,
+        "time": F.coalesce("time", F.lit("")),
+        "minutes": temporal.time_to_minutes(F.col("time")),
+        "adv": F.col("price_advance"),
+        "door": F.col("price_door"),
+        "age": F.coalesce("age_requirement", F.lit("")),
+    }
+
+
+def features(listings: DataFrame) -> DataFrame:
+    """``seq`` and the fields that decide whether two listings are duplicates."""
+    return listings.select("seq", *[c.alias(n) for n, c in feature_columns().items()])
+
 
 def same_venue(pairs: DataFrame) -> DataFrame:
     """Keep pairs whose venue ids agree or whose venue names are close."""
@@ -157,30 +164,28 @@ def venue_groups(nodes: DataFrame) -> DataFrame:
             return labels
 
 
-def clusters(listings: DataFrame, size: int = cluster.FIRST_ROUND) -> DataFrame:
+def elected(listings: DataFrame) -> DataFrame:
+    """``listings`` with the ``leader`` of each row; rows without any match have none. Read twice, so best a stored table.
+
+    Rows move once, by day and venue group, and venue groups are found on distinct raw names.
+    """
+    columns, cols = listings.columns, feature_columns()
+    raw = listings.select("venue_id", "venue_name").distinct()
+    named = cut_lineage(raw.select("*", cols["vkey"].alias("vkey"), cols["vid"].alias("vid")))
+    places = named.join(venue_groups(named), "vkey").select("venue_id", "venue_name", F.col("vkey").alias("__vkey"), F.col("venue_group").alias("__group"))
+    same = F.col("r.venue_id").eqNullSafe(F.col("p.venue_id")) & F.col("r.venue_name").eqNullSafe(F.col("p.venue_name"))
+    rows = listings.alias("r").join(cut_lineage(places).alias("p"), same).select("r.*", "__vkey", "__group")
+    blocks = rows.repartition(cols["day"], "__group").sortWithinPartitions(cols["day"], "__group", "seq")
+    fields = [f"__{f}" for f in elect.FIELDS]
+    own = [cols[f].alias(f"__{f}") for f in ("day", *elect.FIELDS) if f != "vkey"]
+    block = ["__day", "__group"]
+    schema = T.StructType([*listings.schema.fields, T.StructField("leader", T.LongType())])
+    return blocks.select("*", *own).mapInArrow(lambda batches: elect.with_leaders(batches, columns, block, fields), schema)
+
+
+def clusters(listings: DataFrame) -> DataFrame:
     """``(seq, leader)`` for every listing of a cluster with two or more members."""
-    feats = features(listings)
-    # Half the bytes of the digest's text form; digests don't compress.
-    sig = F.unhex(F.md5(F.to_json(F.struct(*SIGNATURE), {"ignoreNullFields": "false"})))
-    signed = cut_lineage(feats.withColumn("sig", sig))
-    firsts = [F.any_value(c).alias(c) for c in SIGNATURE]
-    nodes = cut_lineage(signed.groupBy("sig").agg(F.min("seq").alias("pos"), F.count("*").alias("copies"), *firsts))
-    blocks = nodes.join(venue_groups(nodes), "vkey").select(
-        F.concat_ws("|", "day", "venue_group").alias("block"), "pos", *SIGNATURE
-    )
-    led = cluster.leaders(cut_lineage(blocks), duplicates, size).select("pos", "leader")
-    # Copies follow the node that stands for them.
-    known = cut_lineage(
-        nodes.join(led, "pos", "left").where("copies > 1 OR leader IS NOT NULL").select(
-            "sig", "pos", "copies", F.coalesce("leader", "pos").alias("leader")
-        )
-    )
-    own = known.select(F.col("pos").alias("seq"), "leader")
-    copied = known.where("copies > 1")
-    copies = (
-        signed.select("seq", "sig").join(copied, "sig").where("seq <> pos").select("seq", "leader")
-    )
-    return own.unionByName(copies)
+    return elected(listings.select(*READ)).where("leader IS NOT NULL").select("seq", "leader")
 
 
 # -- merge --------------------------------------------------------------------
@@ -226,6 +231,12 @@ def _first(value: Column, keep: Column) -> Column:
     return F.min(F.when(keep, F.struct(F.col("ord"), value.alias("v"))))["v"]
 
 
+def bases(members: DataFrame) -> DataFrame:
+    """``seq, bands, base_ord``: the row that leads each merge."""
+    first = members.groupBy("leader").agg(F.min(F.struct(merge_order().alias("ord"), "bands")).alias("base"))
+    return first.select(F.col("leader").alias("seq"), "base.bands", F.col("base.ord").alias("base_ord"))
+
+
 def merge_fields(members: DataFrame) -> DataFrame:
     """One row per cluster from ``leader`` plus listing columns; bands are the base's.
 
@@ -403,9 +414,8 @@ def fold_in_rounds(ranked: DataFrame, states: DataFrame, size: int) -> DataFrame
 
 def deduplicate(listings: DataFrame, size: int = cluster.FIRST_ROUND) -> DataFrame:
     """Listings with every cluster merged into one row at its leader's place."""
-    listings = cut_lineage(listings)
-    assigned = cut_lineage(clusters(listings, size))
-    rows = listings.join(assigned, "seq", "left")
+    # Stored rows of a cluster lie side by side, so merges combine before they move.
+    rows = cut_lineage(elected(cut_lineage(listings)))
     single = rows.where("leader IS NULL").drop("leader")
     members = rows.where("leader IS NOT NULL")
     merged = cut_lineage(merge_fields(members))

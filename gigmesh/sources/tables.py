@@ -54,8 +54,10 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
         .select("c_custkey", "n_name")
     )
+    # What listings keep of a price and a priority is formed before rows move.
     orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority", "o_orderstatus"
+        "o_orderkey", "o_custkey", "o_orderdate", F.floor(F.col("o_totalprice") / 20000).cast("int").alias("advance"),
+        F.substring("o_orderpriority", 1, 1).alias("priority"), "o_orderstatus",
     )
     placed = orders.join(places, F.col("o_custkey") == F.col("c_custkey"), "left").drop("o_custkey", "c_custkey")
     key = F.col("o_orderkey")
@@ -63,7 +65,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = placed.repartition("o_orderkey").join(billing, key == F.col("l_orderkey"), "left")
     venue = (F.coalesce("supp", F.lit(0)) % 12).cast("int") + 1
     name = F.element_at(text.literal_array(VENUES), venue)
-    advance = F.floor(F.col("o_totalprice") / 20000).cast("int")
+    advance = F.col("advance")
     none = F.array().cast("array<string>")
     out = rows.select(
         key.alias("seq"),
@@ -74,7 +76,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name").alias("venue_location"),
         F.coalesce(F.transform("lines", lambda x: x["p_name"]), none).alias("bands"),
         F.coalesce(
-            F.try_element_at(text.literal_map(AGES), F.substring("o_orderpriority", 1, 1)), F.lit("")
+            F.try_element_at(text.literal_map(AGES), F.col("priority")), F.lit("")
         ).alias("age_requirement"),
         advance.alias("price_advance"),
         F.when(key % 3 == 0, advance + 5).alias("price_door"),

@@ -201,7 +201,7 @@ def same_day_pairs(spark, d):
 
 @query("leader_clusters", "WITH RECURSIVE " + CLUSTERS + " SELECT seq, leader FROM assigned")
 def leader_clusters(spark, d):
-    return resolve.clusters(cut_lineage(normalized(spark, d)))
+    return resolve.clusters(cut_lineage(normalized(spark, d).select(*resolve.READ)))
 
 
 @query("duplicate_pairs", "WITH RECURSIVE " + CLUSTERS + """ SELECT v.day, a.leader, a.seq, v."similar", v.near_time, CAST(v.total AS INT) AS total,

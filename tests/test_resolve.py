@@ -233,3 +233,46 @@ def test_plan_has_no_cartesian_product(spark):
     df = frame(spark, dirty(10, 3))
     plan = resolve.merge_fields(df.withColumn("leader", F.col("seq")))._jdf.queryExecution().toString()
     assert "partial_min" in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("seed, batch, copies, kept", [(1, 7, 1 << 16, 1 << 26), (2, 10_000, 3, 40), (4, 1, 1, 0)])
+def test_sorted_pass_equals_pairs_in_rounds(spark, monkeypatch, seed, batch, copies, kept):
+    """Leaders by one pass, in batches that cut blocks, against the same test stated on pairs."""
+    from gigmesh.operators import elect
+
+    rows = dirty(160, seed, days=2)
+    for r, t in zip(rows[::3], ["", "late", "7pm", "8:30pm"] * 40):
+        r["time"] = t
+    df = frame(spark, rows)
+    groups = resolve.venue_groups(resolve.features(df))
+    nodes = resolve.features(df).join(groups, "vkey").withColumn("block", F.concat_ws("|", "day", "venue_group")).withColumn("pos", F.col("seq"))
+    want = {(r.pos, r.leader) for r in cluster.leaders(nodes, resolve.duplicates, 64).collect()}
+    monkeypatch.setattr(elect, "COPIES", copies)
+    monkeypatch.setattr(elect, "KEPT", kept)
+    table = nodes.select("seq", "block", *elect.FIELDS).orderBy("block", "seq").toArrow()
+    found = list(elect.with_leaders(iter(table.to_batches(batch)), ["seq"], ["block"], elect.FIELDS))
+    got = [(r["seq"], r["leader"]) for b in found for r in b.to_pylist()]
+    assert sorted(s for s, _ in got) == sorted(r["seq"] for r in rows)
+    assert {(s, leader) for s, leader in got if leader is not None} == want
+
+
+def test_listings_move_once_and_pairs_are_never_formed(spark):
+    rows = frame(spark, dirty(20, 3))
+    plan = resolve.elected(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 1 and "ArrowEvalPython" not in plan and "SortMergeJoin" not in plan
+
+
+def test_shuffle_files_go_when_their_table_is_written(spark):
+    import os
+
+    from gigmesh.runtime import CLEANUP, cut_lineage
+
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def held():
+        return {f for top in folders for r, _, names in os.walk(top) for f in names if f.endswith(".data")}
+
+    before = held()
+    table = cut_lineage(spark.range(1000).repartition(3, "id"))
+    assert not held() - before and spark.conf.get(CLEANUP) == "false"
+    assert table.count() == 1000
