@@ -209,11 +209,11 @@ def leader_clusters(spark, d):
   FROM assigned a JOIN votes v ON v.sa = a.leader AND v.sb = a.seq LEFT JOIN overlap o ON o.sa = v.sa AND o.sb = v.sb""")
 def duplicate_pairs(spark, d):
     """Each absorbed listing with its leader and the facts that made them one show."""
-    rows = cut_lineage(normalized(spark, d))
-    led = resolve.clusters(rows).where("seq <> leader")
-    feats = resolve.features(rows)
-    b = led.join(feats, "seq").alias("b")
-    pairs = feats.alias("a").join(b, C("a.seq") == C("b.leader"))
+    rows = cut_lineage(resolve.elected(cut_lineage(normalized(spark, d).select(*resolve.READ))))
+    cols = [c.alias(n) for n, c in resolve.feature_columns().items()]
+    a = rows.where("seq = leader").select("seq", *cols).alias("a")
+    b = rows.where("seq <> leader").select("seq", "leader", *cols).alias("b")
+    pairs = a.join(b, C("a.seq") == C("b.leader"))
     facts = resolve.match_facts(pairs).where(resolve.is_match())
     return facts.select(
         C("a.day").alias("day"), C("b.leader").alias("leader"), C("b.seq").alias("seq"), "similar", "near_time",
