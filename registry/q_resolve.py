@@ -232,8 +232,7 @@ def richness(spark, d):
   age_requirement, price_advance, price_door, "time", array_to_string(flags, '|') AS flags, source, source_url,
   array_to_string(genre_tags, '|') AS genre_tags, members FROM merged""")
 def merge_fold(spark, d):
-    rows = cut_lineage(normalized(spark, d))
-    members = rows.join(resolve.clusters(rows), "seq")
+    members = resolve.elected(cut_lineage(normalized(spark, d))).where("leader IS NOT NULL")
     return flat(resolve.merge_fields(members).drop("base_ord"))
 
 
