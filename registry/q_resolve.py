@@ -238,9 +238,9 @@ def merge_fold(spark, d):
 
 @query("band_fold", "WITH RECURSIVE " + BANDS + " SELECT seq, array_to_string(bands, '|') AS bands FROM billed")
 def band_fold(spark, d):
-    rows = cut_lineage(normalized(spark, d))
-    members = cut_lineage(rows.join(resolve.clusters(rows), "seq"))
-    return flat(resolve.merge_bands(members, cut_lineage(resolve.merge_fields(members))))
+    rows = cut_lineage(normalized(spark, d).drop("id", "venue_location"))
+    members = cut_lineage(resolve.elected(rows).where("leader IS NOT NULL"))
+    return flat(resolve.merge_bands(members, cut_lineage(resolve.bases(members))))
 
 
 @query("dedup_counts", "WITH RECURSIVE " + BANDS + """ SELECT (SELECT count(*) FROM norm) AS before, (SELECT count(*) FROM resolved) AS after,
