@@ -232,3 +232,79 @@ def test_codes_without_a_piece_are_classed_as_they_are_counted():
     model = m.Model(pieces, [{"piece": k, "tokens": 9 - k, "words": 1} for k in (7, 3, 0)])
     counted, classed = m.piece_table(pieces), model.table()
     assert classed.dtype == np.uint8 and all(classed[code] == model.classes[counted[code]] for code in range(0, 1 << 24, 4099))
+
+
+def test_all_subwords_are_the_longest_known_prefixes_of_what_is_left():
+    pieces = m.read_pieces(m.VOCABULARY)
+    known = dict(pieces)
+    texts = ["the ofthe né x 日本 zq9 a", "", " \n", "x" * 1000 + " thatndou " + "ing" * 40, "é" * 90]
+    raw = "".join(texts).encode()
+    w = m.Words(tb.Slice(0, len(texts), np.frombuffer(raw, np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])))
+    want, times = [], []
+    for word in [x for t in texts for x in t.split()]:
+        left, n = word.encode(), 0
+        while left:
+            piece = next(left[:k] for k in (3, 2, 1) if left[:k] in known)
+            want.append(2 * known[piece] + (n > 0))
+            left, n = left[len(piece) :], n + 1
+        times.append(n)
+    numbers, found = m.cutter(pieces)(w)
+    assert numbers.tolist() == want and found.tolist() == times
+
+
+def test_every_subword_of_every_text_is_predicted(spark, table, docs):
+    """The query's score, one subword at a time; before, what follows a word's first subword was left to counts."""
+    rows = docs[:40] + docs[-8:-1]
+    model, _ = m.fit(m.split(table(rows)), m.VOCABULARY, leading=False)
+    p, pieces = {k: v.astype(np.float64) for k, v in m.Attention(model.weights, model.prior).p.items()}, dict(m.read_pieces(m.VOCABULARY))
+
+    def cut(word):
+        left, out = word.encode(), []
+        while left:
+            piece = next(left[:k] for k in (3, 2, 1) if left[:k] in pieces)
+            out.append(2 * pieces[piece] + bool(out))
+            left = left[len(piece) :]
+        return out
+
+    train = [words(text) for doc_id, text in rows if not left_out(doc_id)]
+    counts, whole = Counter(x for t in train for w in t for x in cut(w)), Counter(w for t in train for w in t)
+    own = {x: k for k, x in enumerate(sorted(counts, key=lambda x: (-counts[x], x))[: m.MORE])}
+    tokens, kinds = Counter(), Counter()
+    for w, n in whole.items():
+        first = own.get(cut(w)[0], m.OTHER)
+        tokens[first] += n
+        kinds[first] += 1
+
+    def inside(x):
+        """What a subword is expected within its id."""
+        if x in own:
+            return 1
+        rarer = sum(n for y, n in counts.items() if y % 2 == x % 2 and y not in own)
+        return (counts[x] + 1) / (rarer + len(pieces) - sum(y % 2 == x % 2 for y in own))
+
+    def plain(text):
+        parts = [cut(w) for w in words(text)]
+        ids = [own.get(x, m.MORE if x % 2 else m.OTHER) for q in parts for x in q] + [m.END]
+        begin = [k for x, k in own.items() if x % 2 == 0] + [m.OTHER, m.END]
+        p_id, p_begin = [], []
+        for t in range(len(ids)):
+            first = max(0, t // m.BLOCK - 1) * m.BLOCK
+            seen = [m.BEGIN if j == 0 else ids[j - 1] for j in range(first, t + 1)]
+            place = m.BLOCK + t % m.BLOCK
+            q = p["q"][seen[-1]] + p["pq"][t % m.BLOCK]
+            a = np.exp([q @ (p["k"][i] + p["pk"][place - len(seen) + 1 + j]) / 4 for j, i in enumerate(seen)])
+            e = np.exp(np.tanh(a @ p["v"][seen] / a.sum() + p["r"][seen[-1]]) @ p["out"] + p["bias"] + model.prior)
+            p_id.append(e[ids[t]] / e.sum())
+            p_begin.append(e[begin].sum() / e.sum())
+        total, t = math.log10(p_id[-1] / p_begin[-1]), 0
+        for w, q in zip(words(text), parts, strict=True):
+            spelled = inside(q[0]) * p_begin[t + len(q)] * math.prod(p_id[t + i] * inside(q[i]) for i in range(1, len(q)))
+            known = (whole[w] + 1) / (tokens[ids[t]] + kinds[ids[t]] + 1)
+            total += math.log10(p_id[t] / p_begin[t]) + math.log10(m.SPELLED * spelled + (1 - m.SPELLED) * known)
+            t += len(q)
+        return total
+
+    got = {r.doc_id: r.score for r in m.scores(table(rows), leading=False).collect()}
+    for doc_id, text in rows:
+        if doc_id is not None and doc_id != 5 and doc_id < 903:
+            assert math.isclose(got[doc_id], plain(text), rel_tol=2e-5, abs_tol=1e-4), doc_id
