@@ -10,6 +10,9 @@ Subsets of up to three rare marks are selective where single marks are not. Keys
 rule each other out never meet. A small bitmap of all marks bounds the overlap of those that meet, before any
 ratio is computed. How frequent marks are is measured on the strings at hand: those of characters that make
 up more than one in ``SHARE`` of all, so at most ``SHARE`` times ``OCCURRENCES`` numbers reach the driver.
+
+Strings of few different characters, such as numbers, share keys with very many others. How often keys would meet is
+counted first; where that is more work than one in ``WORTH`` of all pairs, :mod:`gigmesh.operators.all_pairs` compares these directly. Both are exact.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 
 from gigmesh import fixed_values as fx
 from gigmesh.functions import fuzzy
+from gigmesh.operators.all_pairs import all_pairs
 from gigmesh.runtime import computed_once, cut_lineage
 
 SHARE = 64
@@ -28,6 +32,8 @@ STEPS = 8
 TRIPLES, PAIRS = 4, 14
 #: Occurrences of a frequent character that are counted one by one.
 OCCURRENCES = 8
+#: A meeting of keys costs about this many comparisons of a pair in a block; beginning with blocks costs ``BEGIN``.
+WORTH, BEGIN = 16, 1 << 20
 _LATER = 1 << 21
 _PRIVATE = 0xE000
 _BITS = 63
@@ -104,9 +110,19 @@ def posted(marked_names: DataFrame, percent: int, longer: bool) -> DataFrame:
     return cut.select(F.explode(keys).alias("key"), "s", "bucket", "n", "low_bits", "high_bits")
 
 
+def meetings(known: DataFrame, percent: int) -> int:
+    """How often keys of :func:`marked` names meet: one number reaches the driver."""
+    counts = lambda longer: posted(known, percent, longer).groupBy("key").count()
+    x, y = counts(True).withColumnRenamed("count", "n"), counts(False).withColumnRenamed("count", "m")
+    return x.join(y, "key").agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0] or 0
+
+
 def candidates(names: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs ``a < b`` of column ``s`` that share a key and whose lengths allow the ratio."""
-    known = cut_lineage(marked(names))
+    return _met(cut_lineage(marked(names)), percent)
+
+
+def _met(known: DataFrame, percent: int) -> DataFrame:
     x, y = posted(known, percent, True).alias("x"), posted(known, percent, False).alias("y")
     once = (F.col("x.bucket") < F.col("y.bucket")) | ((F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.s") < F.col("y.s")))
     lost = lambda a, b: sum(
@@ -126,4 +142,7 @@ def similar_pairs(df: DataFrame, column: str, percent: int = fx.NAME_RATIO, stri
     """
     names = cut_lineage(df.select(F.col(column).alias("s")).where(F.col("s") != "").distinct())
     test = fuzzy.ratio_above if strict else fuzzy.ratio_at_least
-    return candidates(names, percent).where(test(F.col("a"), F.col("b"), percent))
+    known, count = cut_lineage(marked(names)), names.count()
+    if meetings(known, percent) * WORTH > count * (count - 1) / 2 + BEGIN:
+        return all_pairs(names, count, percent, strict)
+    return _met(known, percent).where(test(F.col("a"), F.col("b"), percent))

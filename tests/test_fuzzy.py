@@ -167,3 +167,32 @@ def test_any_close(spark):
     got = {r.i: r.r for r in df.select("i", fuzzy.any_close("a", "b").alias("r")).collect()}
     assert got == {1: True, 2: False, 3: False, 4: False}
     assert df.select(F.max("i")).first()[0] == 4
+
+
+@pytest.mark.parametrize("percent, strict, group", [(80, False, 40), (90, True, 1000), (60, False, 7)])
+def test_all_pairs_equal_a_plain_loop(spark, monkeypatch, percent, strict, group):
+    import random
+
+    from gigmesh.operators import all_pairs
+
+    r = random.Random(percent)
+    names = {"".join(r.choices("0123 é日", k=r.choice([1, 3, 9, 12, 15, 16, 17, 31, 33, 64, 65, 90]))) for _ in range(130)}
+    names |= {n[:-1] + "0" for n in list(names)[:60]} - {""}
+    monkeypatch.setattr(all_pairs, "GROUP", group)
+    monkeypatch.setattr(all_pairs, "LEFT", 11)
+    monkeypatch.setattr(all_pairs, "RIGHT", 5)
+    df = spark.createDataFrame([(n,) for n in names], "s string")
+    got = [tuple(x) for x in all_pairs.all_pairs(df, len(names), percent, strict).collect()]
+    ratio = lambda a, b: 200 * fuzzy.lcs_of(a, b) - percent * (len(a) + len(b))
+    want = {(a, b) for a in names for b in names if a < b and (ratio(a, b) > 0 if strict else ratio(a, b) >= 0)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_numbered_names_are_not_joined_by_keys(spark, monkeypatch):
+    """Numbers share keys with too many others: 6000 such names took 340 task seconds by their keys."""
+    monkeypatch.setattr(similar, "BEGIN", 0)
+    names = [f"{i:09d} {i % 25}" for i in range(400)]
+    found = similar_pairs(spark.createDataFrame([(n,) for n in names], "n string"), "n")
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {(a, b) for a in names for b in names if a < b and 200 * fuzzy.lcs_of(a, b) >= 80 * (len(a) + len(b))}
+    assert {tuple(r) for r in found.collect()} == want
